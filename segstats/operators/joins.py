@@ -1,0 +1,24 @@
+"""Join helpers that keep broadcasts behind a size check."""
+
+from __future__ import annotations
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Largest key set (rows) broadcast to every executor; beyond it the join is
+# planned as an ordinary shuffle join.
+BROADCAST_ROW_LIMIT = 2_000_000
+
+
+def checked_broadcast(small: DataFrame, row_limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+    """``broadcast(small)`` if it has at most ``row_limit`` rows, else ``small`` as is.
+
+    The side is persisted (memory and disk, recomputed from lineage if an
+    executor is lost) before it is counted, so the check does not compute it
+    twice.
+    """
+    small = small.persist(StorageLevel.MEMORY_AND_DISK)
+    if small.count() <= row_limit:
+        return F.broadcast(small)
+    return small
