@@ -26,8 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from segstats.functions.exprs import in_values, label_text, nan_as_null, ordinal_in
-from segstats.operators.roles import require_columns, validate_roles
+from segstats.functions.exprs import field_type, in_values, is_numeric_type, label_text, nan_as_null, ordinal_in
+from segstats.operators.materialize import materialize
+from segstats.operators.roles import bad_label, refuse_roles, require_columns, validate_roles
 
 DEFAULT_POPULATIONS = ("No", "Yes")
 QUARTILES = (0.25, 0.5, 0.75)
@@ -76,21 +77,57 @@ def distribution_by_label(
     iqr_<name>, min_<name>, max_<name>``; statistics are doubles and NULL for
     a population with no valid value. Refuses unexpected labels and a
     non-numeric measure (R1).
+
+    Plan (exact): ONE scan counts rows per (label, value) with map-side
+    partial aggregation; that aggregate is checkpointed, the refusals read it,
+    and the statistics are weighted aggregates over it (``percentile`` with a
+    frequency argument), so the quartile state per population is one counter
+    per distinct value. ``method='approx'`` validates in one scan and uses
+    ``percentile_approx`` on the rows (bounded memory for continuous values).
     """
-    validate_roles(df, label, measure, populations)
-    rows = (
-        _population_rows(df, measure, label, populations, status)
-        .withColumn("_w", F.lit(1))
-        .unionByName(_zero_rows(df, populations, status))
-    )
-    agg = rows.groupBy(status).agg(
-        F.sum("_w").cast("bigint").alias("customer_count"),
-        F.count("_m").alias(f"valid_{name}_count"),
-        F.avg("_m").alias(f"mean_{name}"),
-        _quartiles(F.col("_m"), method, accuracy).alias("_q"),
-        F.min("_m").alias(f"min_{name}"),
-        F.max("_m").alias(f"max_{name}"),
-    )
+    require_columns(df, [measure, label])
+    if method not in ("exact", "approx"):
+        raise ValueError(f"method must be 'exact' or 'approx'; got {method!r}")
+    numeric = is_numeric_type(field_type(df, measure))
+    lab = label_text(df, label)
+    # A text measure is refused whenever rows exist; it is never cast.
+    m = nan_as_null(df, measure).cast("double") if numeric else F.lit(None).cast("double")
+    if method == "exact":
+        pairs = materialize(df.groupBy(lab.alias(status), m.alias("_m")).agg(F.count(F.lit(1)).alias("_n")))
+        n = F.col("_n")
+        got = pairs.agg(
+            F.sum(n).alias("row_count"), F.sum(F.when(bad_label(F.col(status), populations), n)).alias("bad_labels")
+        ).first()
+        counts = {k: int(v or 0) for k, v in got.asDict().items()}
+        refuse_roles(df, label, measure, populations, counts, pairs, status)
+        rows = pairs.where(in_values(F.col(status), populations)).unionByName(
+            _zero_rows(df, populations, status).withColumnRenamed("_w", "_n")
+        )
+        valid = F.sum(F.when(F.col("_m").isNotNull(), n)).cast("bigint")
+        agg = rows.groupBy(status).agg(
+            F.sum(n).cast("bigint").alias("customer_count"),
+            F.coalesce(valid, F.lit(0).cast("bigint")).alias(f"valid_{name}_count"),
+            F.try_divide(F.sum(F.col("_m") * n), valid).alias(f"mean_{name}"),
+            F.percentile(F.col("_m"), F.array(*[F.lit(p) for p in QUARTILES]), n).alias("_q"),
+            F.min("_m").alias(f"min_{name}"),
+            F.max("_m").alias(f"max_{name}"),
+        )
+    else:
+        validate_roles(df, label, measure, populations)
+        rows = (
+            df.select(lab.alias(status), m.alias("_m"))
+            .where(in_values(F.col(status), populations))
+            .withColumn("_w", F.lit(1))
+            .unionByName(_zero_rows(df, populations, status))
+        )
+        agg = rows.groupBy(status).agg(
+            F.sum("_w").cast("bigint").alias("customer_count"),
+            F.count("_m").alias(f"valid_{name}_count"),
+            F.avg("_m").alias(f"mean_{name}"),
+            _quartiles(F.col("_m"), method, accuracy).alias("_q"),
+            F.min("_m").alias(f"min_{name}"),
+            F.max("_m").alias(f"max_{name}"),
+        )
     return agg.select(
         status,
         "customer_count",

@@ -45,6 +45,49 @@ def require_columns(df: DataFrame, columns: Sequence[str]) -> None:
         )
 
 
+def bad_label(lab: Column, expected_labels: Sequence[str]) -> Column:
+    """A present label outside the expected values (exact, case-sensitive text)."""
+    return lab.isNotNull() & ~in_values(lab, expected_labels)
+
+
+def refuse_roles(
+    df: DataFrame,
+    label: str,
+    measure: str,
+    expected_labels: Sequence[str],
+    counts: Mapping[str, int],
+    examples: DataFrame,
+    example_column: str,
+) -> None:
+    """Raise the R1 refusals, in order, from already computed counts.
+
+    ``counts`` holds ``row_count`` and ``bad_labels``; ``examples`` is any
+    DataFrame whose ``example_column`` holds the label text, read only when a
+    refusal needs to quote offending values (a bounded ``distinct().limit()``).
+    """
+    if counts["bad_labels"]:
+        c = F.col(example_column)
+        found = [
+            r[0]
+            for r in examples.where(bad_label(c, expected_labels))
+            .select(c.alias("v"))
+            .distinct()
+            .orderBy("v")
+            .limit(EXAMPLE_LIMIT)
+            .collect()
+        ]
+        raise ValueError(
+            f"Column '{label}' holds value(s) outside {list(expected_labels)}: {found}. "
+            "The label defines the populations being compared, so an unexpected value "
+            "cannot be classified."
+        )
+    if counts["row_count"] > 0 and not is_numeric_type(field_type(df, measure)):
+        raise ValueError(
+            f"Column '{measure}' must be numeric to be described statistically; "
+            f"its type is '{field_type(df, measure).simpleString()}'."
+        )
+
+
 def validate_roles(
     df: DataFrame,
     label: str,
@@ -61,30 +104,15 @@ def validate_roles(
     ``counters`` are extra boolean conditions counted in the same aggregate, so
     an operator's own integrity checks cost no additional scan. They are only
     evaluated on a numeric measure. Returns the row count and every counter.
+    Operators that also need an aggregate of the input compute these counts
+    from that aggregate instead (see ``refuse_roles``), scanning it once.
     """
     require_columns(df, [measure, label])
     numeric = is_numeric_type(field_type(df, measure))
     lab = label_text(df, label)
-    bad_label = lab.isNotNull() & ~in_values(lab, expected_labels)
-
-    aggs = [F.count(F.lit(1)).alias("row_count"), F.count_if(bad_label).alias("bad_labels")]
+    aggs = [F.count(F.lit(1)).alias("row_count"), F.count_if(bad_label(lab, expected_labels)).alias("bad_labels")]
     extra = dict(counters or {}) if numeric else {}
     aggs += [F.count_if(cond).alias(name) for name, cond in extra.items()]
-    counts = df.agg(*aggs).first().asDict()
-
-    if counts["bad_labels"]:
-        examples = [
-            r[0]
-            for r in df.where(bad_label).select(lab.alias("v")).distinct().orderBy("v").limit(EXAMPLE_LIMIT).collect()
-        ]
-        raise ValueError(
-            f"Column '{label}' holds value(s) outside {list(expected_labels)}: {examples}. "
-            "The label defines the populations being compared, so an unexpected value "
-            "cannot be classified."
-        )
-    if counts["row_count"] > 0 and not numeric:
-        raise ValueError(
-            f"Column '{measure}' must be numeric to be described statistically; "
-            f"its type is '{field_type(df, measure).simpleString()}'."
-        )
-    return {k: int(v) for k, v in counts.items()}
+    counts = {k: int(v) for k, v in df.agg(*aggs).first().asDict().items()}
+    refuse_roles(df, label, measure, expected_labels, counts, df.select(lab.alias("_label")), "_label")
+    return counts

@@ -25,14 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segstats.functions.exprs import (
+    field_type,
     in_values,
+    is_numeric_type,
     label_text,
     nan_as_null,
     ordinal_in,
     percent,
     ratio,
 )
-from segstats.operators.roles import require_columns, validate_roles
+from segstats.operators.materialize import materialize
+from segstats.operators.roles import bad_label, refuse_roles, require_columns
 
 # --- Fixed values: status names of the reference reports ---------------------
 RETAINED_LABEL = "Retained"
@@ -71,26 +74,39 @@ def rate_by_value(
     churn_rate`` (a proportion). Rows with a missing measure enter no row; no
     value is invented for gaps. Refuses (``ValueError``) unexpected labels, a
     non-numeric measure, and any row with a measure but no label.
+
+    Plan: ONE scan of the input, counted per (value, label) with map-side
+    partial aggregation, written once to the shared checkpoint folder. The
+    refusals and the result both read that small aggregate.
     """
-    m = nan_as_null(df, measure)
-    lab = label_text(df, label)
-    counts = validate_roles(
-        df, label, measure, (negative, positive), {"unclassified": m.isNotNull() & lab.isNull()}
+    require_columns(df, [measure, label])
+    numeric = is_numeric_type(field_type(df, measure))
+    pairs = materialize(
+        df.groupBy(nan_as_null(df, measure).alias(value_name), label_text(df, label).alias("_label")).agg(
+            F.count(F.lit(1)).alias("_n")
+        )
     )
-    if counts.get("unclassified", 0):
+    v, lab, n = F.col(value_name), F.col("_label"), F.col("_n")
+    checks = [
+        F.sum(n).alias("row_count"),
+        F.sum(F.when(bad_label(lab, (negative, positive)), n)).alias("bad_labels"),
+        F.sum(F.when(v.isNotNull() & lab.isNull(), n) if numeric else F.lit(0)).alias("unclassified"),
+    ]
+    counts = {k: int(x or 0) for k, x in pairs.agg(*checks).first().asDict().items()}
+    refuse_roles(df, label, measure, (negative, positive), counts, pairs, "_label")
+    if counts["unclassified"]:
         raise ValueError(
             f"{counts['unclassified']} customer(s) with a recorded '{measure}' have no "
             f"recorded '{label}' value. Those records need investigating before a rate "
             "for their value can be reported."
         )
     return (
-        df.select(m.alias(value_name), lab.alias("_label"))
-        .where(F.col(value_name).isNotNull())
+        pairs.where(v.isNotNull())
         .groupBy(value_name)
         .agg(
-            F.count(F.lit(1)).alias("customer_count"),
-            F.count_if(F.col("_label") == positive).alias("churned_count"),
-            F.count_if(F.col("_label") == negative).alias("retained_count"),
+            F.sum(n).alias("customer_count"),
+            F.sum(F.when(lab == positive, n).otherwise(F.lit(0))).alias("churned_count"),
+            F.sum(F.when(lab == negative, n).otherwise(F.lit(0))).alias("retained_count"),
         )
         .withColumn("churn_rate", ratio(F.col("churned_count"), F.col("customer_count")))
         .orderBy(value_name)
@@ -115,26 +131,36 @@ def slice_vs_baseline(
     contribution, overall counts and rate, rate difference and relative rate.
     A missing or out-of-range measure is outside the slice but inside the
     overall counts. Refuses a slice row without a label (R9).
+
+    Plan: the refusal counters and the result counters are ONE global
+    aggregate (one scan, one partial row per task, no shuffle of rows); its
+    single row is checkpointed, checked, and turned into the result.
     """
-    m = nan_as_null(df, measure)
+    require_columns(df, [measure, label])
+    numeric = is_numeric_type(field_type(df, measure))
     lab = label_text(df, label)
-    in_slice = m.between(low, high)
-    counts = validate_roles(
-        df, label, measure, (negative, positive), {"unclassified": in_slice & lab.isNull()}
+    # A text measure is refused below whenever rows exist; it is never compared.
+    in_slice = nan_as_null(df, measure).between(low, high) if numeric else F.lit(False)
+    totals = materialize(
+        df.agg(
+            F.count(F.lit(1)).alias("overall_customer_count"),
+            F.count_if(bad_label(lab, (negative, positive))).alias("_bad_labels"),
+            F.count_if(in_slice & lab.isNull()).alias("_unclassified"),
+            F.count_if(in_slice).alias("slice_customer_count"),
+            F.count_if(in_slice & (lab == positive)).alias("slice_churned_count"),
+            F.count_if(in_slice & (lab == negative)).alias("slice_retained_count"),
+            F.count_if(lab == positive).alias("overall_churned_count"),
+        )
     )
-    if counts.get("unclassified", 0):
+    got = totals.first()
+    counts = {"row_count": got["overall_customer_count"], "bad_labels": got["_bad_labels"]}
+    refuse_roles(df, label, measure, (negative, positive), counts, df.select(lab.alias("_label")), "_label")
+    if got["_unclassified"]:
         raise ValueError(
-            f"The {low}-{high} slice holds {counts['unclassified']} customer(s) with no "
+            f"The {low}-{high} slice holds {got['_unclassified']} customer(s) with no "
             f"recorded '{label}' value. Those records need investigating before a rate "
             "for this region can be reported."
         )
-    totals = df.agg(
-        F.count_if(in_slice).alias("slice_customer_count"),
-        F.count_if(in_slice & (lab == positive)).alias("slice_churned_count"),
-        F.count_if(in_slice & (lab == negative)).alias("slice_retained_count"),
-        F.count(F.lit(1)).alias("overall_customer_count"),
-        F.count_if(lab == positive).alias("overall_churned_count"),
-    )
     slice_rate = ratio(F.col("slice_churned_count"), F.col("slice_customer_count"))
     overall_rate = ratio(F.col("overall_churned_count"), F.col("overall_customer_count"))
     return totals.select(
