@@ -6,11 +6,10 @@ a missing label belong to no population.
 
 Plan shape: every statistic is a ``groupBy(population).agg()``. Counts, mean,
 min and max are algebraic (map-side partial aggregation, so the few hot
-population keys are collapsed per task before the shuffle). Quartiles use the
-exact interpolating ``percentile``; its per-population state is one counter per
-*distinct* measure value, which is small for month counts and other discrete
-measures. For a continuous measure pass ``method="approx"``
-(``percentile_approx``, bounded memory, rank error ``1/accuracy``).
+population keys are collapsed per task before the shuffle). Exact quartiles
+(linear interpolation) come from ``quantiles.exact_quantiles``, whose
+per-task state stays bounded even for a continuous measure; ``method="approx"``
+uses ``percentile_approx`` (rank error ``1/accuracy``) in a single pass.
 
 Empty populations still get their row: the expected values are unioned in as
 zero-weight rows before the aggregation. Per-population fences and bounds are
@@ -28,6 +27,7 @@ from pyspark.sql.window import Window
 
 from segstats.functions.exprs import field_type, in_values, is_numeric_type, label_text, nan_as_null, ordinal_in
 from segstats.operators.materialize import materialize
+from segstats.operators.quantiles import quantile_frame
 from segstats.operators.roles import bad_label, refuse_roles, require_columns, validate_roles
 
 DEFAULT_POPULATIONS = ("No", "Yes")
@@ -104,13 +104,18 @@ def distribution_by_label(
             _zero_rows(df, populations, status).withColumnRenamed("_w", "_n")
         )
         valid = F.sum(F.when(F.col("_m").isNotNull(), n)).cast("bigint")
-        agg = rows.groupBy(status).agg(
-            F.sum(n).cast("bigint").alias("customer_count"),
-            F.coalesce(valid, F.lit(0).cast("bigint")).alias(f"valid_{name}_count"),
-            F.try_divide(F.sum(F.col("_m") * n), valid).alias(f"mean_{name}"),
-            F.percentile(F.col("_m"), F.array(*[F.lit(p) for p in QUARTILES]), n).alias("_q"),
-            F.min("_m").alias(f"min_{name}"),
-            F.max("_m").alias(f"max_{name}"),
+        q = quantile_frame(rows, status, "_m", QUARTILES, ["_q1", "_q2", "_q3"], weight="_n")
+        agg = (
+            rows.groupBy(status)
+            .agg(
+                F.sum(n).cast("bigint").alias("customer_count"),
+                F.coalesce(valid, F.lit(0).cast("bigint")).alias(f"valid_{name}_count"),
+                F.try_divide(F.sum(F.col("_m") * n), valid).alias(f"mean_{name}"),
+                F.min("_m").alias(f"min_{name}"),
+                F.max("_m").alias(f"max_{name}"),
+            )
+            .join(F.broadcast(q), status, "left")
+            .withColumn("_q", F.array("_q1", "_q2", "_q3"))
         )
     else:
         validate_roles(df, label, measure, populations)
@@ -295,12 +300,16 @@ def histogram_by_label(
 
 def _fences(obs: DataFrame, df: DataFrame, populations, status, whis, method, accuracy) -> DataFrame:
     """Per population (one row each): n, quartiles and the whisker fences."""
-    q = (
-        obs.withColumn("_w", F.lit(1))
-        .unionByName(_zero_rows(df, populations, status))
-        .groupBy(status)
-        .agg(F.sum("_w").cast("bigint").alias("n"), _quartiles(F.col("_m"), method, accuracy).alias("_q"))
-    )
+    counted = obs.withColumn("_w", F.lit(1)).unionByName(_zero_rows(df, populations, status)).groupBy(status)
+    if method == "exact":
+        qf = quantile_frame(obs, status, "_m", QUARTILES, ["_q1", "_q2", "_q3"])
+        q = (
+            counted.agg(F.sum("_w").cast("bigint").alias("n"))
+            .join(F.broadcast(qf), status, "left")
+            .withColumn("_q", F.array("_q1", "_q2", "_q3"))
+        )
+    else:
+        q = counted.agg(F.sum("_w").cast("bigint").alias("n"), _quartiles(F.col("_m"), method, accuracy).alias("_q"))
     iqr = F.col("_q")[2] - F.col("_q")[0]
     return q.select(
         status,

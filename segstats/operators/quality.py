@@ -32,9 +32,11 @@ from segstats.functions.exprs import (
     readability_class,
 )
 from segstats.operators.joins import checked_broadcast
+from segstats.operators.quantiles import exact_quantiles
 from segstats.operators.roles import require_columns
 
 READABILITY_CLASSES = ("missing", "blank", "non_numeric", "convertible")
+QUARTILES = (0.25, 0.5, 0.75)
 SAMPLE_SIZE = 10
 
 
@@ -511,8 +513,9 @@ def product_residual(df: DataFrame, total: str, a: str, b: str, tolerance: float
 def describe_columns(df: DataFrame, method: str = "exact", accuracy: int = 100_000) -> DataFrame:
     """Summary statistics per column, in column order.
 
-    Numeric columns: count, mean, std (sample), min, 25/50/75 % (linear
-    interpolation; ``method='approx'`` for bounded memory), max. Other
+    Numeric columns: count, mean, std (sample), min, 25/50/75 % (exact linear
+    interpolation with bounded per-task state; ``method='approx'`` for one
+    pass), max. Other
     columns: count, unique, top (most frequent, ties to the smallest value),
     freq. Columns: ``column_name, position, kind, count, unique, top, freq,
     mean, std, min, p25, p50, p75, max``.
@@ -529,19 +532,28 @@ def describe_columns(df: DataFrame, method: str = "exact", accuracy: int = 100_0
         aggs = []
         for i, c in enumerate(numeric):
             x = nan_as_null(df, c).cast("double")
-            q = (
-                F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-                if method == "exact"
-                else F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), accuracy)
-            )
             aggs += [
                 F.count(x).alias(f"n{i}"),
                 F.avg(x).alias(f"mean{i}"),
                 F.stddev_samp(x).alias(f"std{i}"),
                 F.min(x).alias(f"min{i}"),
-                q.alias(f"q{i}"),
                 F.max(x).alias(f"max{i}"),
             ]
+            if method == "approx":
+                aggs.append(F.percentile_approx(x, F.array(*[F.lit(p) for p in QUARTILES]), accuracy).alias(f"q{i}"))
+        if method == "exact":
+            # Bounded-state exact quartiles for every numeric column in one pass per round.
+            long = df.select(*[nan_as_null(df, c).cast("double").alias(c) for c in numeric]).unpivot(
+                [], numeric, "column_name", "_v"
+            )
+            qs = exact_quantiles(long, "column_name", "_v", QUARTILES)
+        null_q = [None, None, None]
+
+        def quart(i: int, c: str, j: int) -> Column:
+            if method == "approx":
+                return F.col(f"q{i}")[j]
+            return F.lit(qs.get(c, null_q)[j]).cast("double")
+
         parts.append(
             df.agg(*aggs).select(
                 _rows(
@@ -557,9 +569,9 @@ def describe_columns(df: DataFrame, method: str = "exact", accuracy: int = 100_0
                             F.col(f"mean{i}").alias("mean"),
                             F.col(f"std{i}").alias("std"),
                             F.col(f"min{i}").alias("min"),
-                            F.col(f"q{i}")[0].alias("p25"),
-                            F.col(f"q{i}")[1].alias("p50"),
-                            F.col(f"q{i}")[2].alias("p75"),
+                            quart(i, c, 0).alias("p25"),
+                            quart(i, c, 1).alias("p50"),
+                            quart(i, c, 2).alias("p75"),
                             F.col(f"max{i}").alias("max"),
                         )
                         for i, c in enumerate(numeric)
