@@ -185,7 +185,6 @@ def observed_range(
 ) -> DataFrame:
     """Per population: plotted observation count and range, plus the shared range (D3)."""
     obs = _observations(df, measure, label, populations, status)
-    shared = obs.select(F.struct(F.min("_m").alias("lo"), F.max("_m").alias("hi"))).scalar()
     per = (
         obs.withColumn("_w", F.lit(1))
         .unionByName(_zero_rows(df, populations, status))
@@ -196,13 +195,15 @@ def observed_range(
             F.max("_m").alias("population_max"),
         )
     )
+    # One row per expected population: the shared range is a window over that bounded set.
+    everyone = Window.partitionBy()
     return per.select(
         status,
         "observation_count",
         "population_min",
         "population_max",
-        shared["lo"].alias("range_min"),
-        shared["hi"].alias("range_max"),
+        F.min("population_min").over(everyone).alias("range_min"),
+        F.max("population_max").over(everyone).alias("range_max"),
         ordinal_in(F.col(status), populations).alias("_ordinal"),
     ).orderBy("_ordinal").drop("_ordinal")
 
@@ -298,28 +299,42 @@ def histogram_by_label(
 # D6 / D7 ---------------------------------------------------------------------
 
 
-def _fences(obs: DataFrame, df: DataFrame, populations, status, whis, method, accuracy) -> DataFrame:
+def _observation_counts(df, measure, label, populations, status) -> DataFrame:
+    """(status, _m, _n): observations counted per value, computed once and checkpointed.
+
+    Every later pass (quartile narrowing, whiskers, fliers) reads this
+    aggregate instead of re-evaluating the input and its upstream plan.
+    """
+    obs = _observations(df, measure, label, populations, status)
+    return materialize(obs.groupBy(status, "_m").agg(F.count(F.lit(1)).alias("_n")))
+
+
+def _fences(pairs: DataFrame, df: DataFrame, populations, status, whis, method, accuracy) -> DataFrame:
     """Per population (one row each): n, quartiles and the whisker fences."""
-    counted = obs.withColumn("_w", F.lit(1)).unionByName(_zero_rows(df, populations, status)).groupBy(status)
+    counted = (
+        pairs.unionByName(_zero_rows(df, populations, status).withColumnRenamed("_w", "_n"))
+        .groupBy(status)
+        .agg(F.sum("_n").cast("bigint").alias("n"))
+    )
     if method == "exact":
-        qf = quantile_frame(obs, status, "_m", QUARTILES, ["_q1", "_q2", "_q3"])
-        q = (
-            counted.agg(F.sum("_w").cast("bigint").alias("n"))
-            .join(F.broadcast(qf), status, "left")
-            .withColumn("_q", F.array("_q1", "_q2", "_q3"))
-        )
+        qf = quantile_frame(pairs, status, "_m", QUARTILES, ["_q1", "_q2", "_q3"], weight="_n")
     else:
-        q = counted.agg(F.sum("_w").cast("bigint").alias("n"), _quartiles(F.col("_m"), method, accuracy).alias("_q"))
-    iqr = F.col("_q")[2] - F.col("_q")[0]
+        # percentile_approx weighs rows, so the counted values are expanded back.
+        rows = pairs.select(status, "_m", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_i"))
+        qf = rows.groupBy(status).agg(_quartiles(F.col("_m"), method, accuracy).alias("_q")).select(
+            status, *[F.col("_q")[i].alias(f"_q{i + 1}") for i in range(3)]
+        )
+    q = counted.join(F.broadcast(qf), status, "left")
+    iqr = F.col("_q3") - F.col("_q1")
     return q.select(
         status,
         "n",
-        F.col("_q")[0].alias("q1"),
-        F.col("_q")[1].alias("median"),
-        F.col("_q")[2].alias("q3"),
+        F.col("_q1").alias("q1"),
+        F.col("_q2").alias("median"),
+        F.col("_q3").alias("q3"),
         iqr.alias("iqr"),
-        (F.col("_q")[0] - F.lit(float(whis)) * iqr).alias("_lo_fence"),
-        (F.col("_q")[2] + F.lit(float(whis)) * iqr).alias("_hi_fence"),
+        (F.col("_q1") - F.lit(float(whis)) * iqr).alias("_lo_fence"),
+        (F.col("_q3") + F.lit(float(whis)) * iqr).alias("_hi_fence"),
     )
 
 
@@ -341,16 +356,16 @@ def box_plot_stats(
     fences. Columns: ``churn_status, n, q1, median, q3, iqr, lower_whisker,
     upper_whisker, flier_count``.
     """
-    obs = _observations(df, measure, label, populations, status)
-    fences = _fences(obs, df, populations, status, whis, method, accuracy)
-    m = F.col("_m")
+    pairs = _observation_counts(df, measure, label, populations, status)
+    fences = _fences(pairs, df, populations, status, whis, method, accuracy)
+    m, n = F.col("_m"), F.col("_n")
     inner = (
-        obs.join(F.broadcast(fences.select(status, "_lo_fence", "_hi_fence")), status)
+        pairs.join(F.broadcast(fences.select(status, "_lo_fence", "_hi_fence")), status)
         .groupBy(status)
         .agg(
             F.min(F.when(m >= F.col("_lo_fence"), m)).alias("_lo_in"),
             F.max(F.when(m <= F.col("_hi_fence"), m)).alias("_hi_in"),
-            F.count_if((m < F.col("_lo_fence")) | (m > F.col("_hi_fence"))).alias("_fliers"),
+            F.sum(F.when((m < F.col("_lo_fence")) | (m > F.col("_hi_fence")), n)).alias("_fliers"),
         )
     )
     return (
@@ -382,12 +397,13 @@ def box_plot_fliers(
     accuracy: int = DEFAULT_ACCURACY,
     status: str = "churn_status",
 ) -> DataFrame:
-    """The individual observations beyond the whiskers (D7); stays distributed."""
-    obs = _observations(df, measure, label, populations, status)
-    fences = _fences(obs, df, populations, status, whis, method, accuracy)
+    """The individual observations beyond the whiskers, one row each (D7); stays distributed."""
+    pairs = _observation_counts(df, measure, label, populations, status)
+    fences = _fences(pairs, df, populations, status, whis, method, accuracy)
     m = F.col("_m")
     return (
-        obs.join(F.broadcast(fences.select(status, "_lo_fence", "_hi_fence")), status)
+        pairs.join(F.broadcast(fences.select(status, "_lo_fence", "_hi_fence")), status)
         .where((m < F.col("_lo_fence")) | (m > F.col("_hi_fence")))
-        .select(status, m.alias(measure))
+        .select(status, m.alias(measure), F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_i"))
+        .drop("_i")
     )
