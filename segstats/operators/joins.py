@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from segstats.operators.materialize import materialize
+
 # Largest key set (rows) broadcast to every executor; beyond it the join is
 # planned as an ordinary shuffle join.
 BROADCAST_ROW_LIMIT = 2_000_000
@@ -14,11 +15,11 @@ BROADCAST_ROW_LIMIT = 2_000_000
 def checked_broadcast(small: DataFrame, row_limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """``broadcast(small)`` if it has at most ``row_limit`` rows, else ``small`` as is.
 
-    The side is persisted (memory and disk, recomputed from lineage if an
-    executor is lost) before it is counted, so the check does not compute it
-    twice.
+    The side is checkpointed to the shared checkpoint folder before it is
+    counted, so the check does not compute it twice, no executor memory is
+    held afterwards, and a lost executor does not recompute it.
     """
-    small = small.persist(StorageLevel.MEMORY_AND_DISK)
+    small = materialize(small)
     if small.count() <= row_limit:
         return F.broadcast(small)
     return small
