@@ -19,6 +19,7 @@ population, or as scalar subqueries (one value each).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -268,28 +269,43 @@ def histogram_by_label(
     Bins are closed on the left, the last one on both sides. Columns:
     ``churn_status, bin_index, bin_low, bin_high, observation_count,
     population_count``.
+
+    Plan: the first edge is a multiple of ``width``, so every observation can
+    be counted by its absolute bin ``floor(m / width)`` in ONE aggregation
+    (partial per task; at most bins x populations rows), checkpointed; the
+    shared bounds and the final bins are derived from that small result.
     """
+    if not width > 0:
+        raise ValueError(f"width must be positive; got {width}")
+    w = float(width)
     obs = _observations(df, measure, label, populations, status)
-    b = _bounds(obs, width, max_bins).select(F.struct("lo", "nb")).scalar()
-    w = F.lit(float(width))
-    binned = obs.select(
-        status,
-        F.least(F.floor((F.col("_m") - b["lo"]) / w), b["nb"] - 1).cast("int").alias("bin_index"),
-        F.lit(1).alias("_w"),
+    m = F.col("_m")
+    a = F.floor(m / F.lit(w))
+    # Exact against the edges a * width, whatever the rounding of m / width.
+    a = F.when(m < a * F.lit(w), a - 1).when(m >= (a + 1) * F.lit(w), a + 1).otherwise(a)
+    per_bin = materialize(
+        obs.groupBy(status, a.alias("_a")).agg(F.count(F.lit(1)).alias("_n"), F.max("_m").alias("_mx"))
     )
+    r = per_bin.agg(F.min("_a").alias("amin"), F.max("_mx").alias("mx")).first()
+    amin = r["amin"] if r["amin"] is not None else 0
+    lo = float(amin) * w if r["amin"] is not None else 0.0
+    nb = max(math.ceil((r["mx"] - lo) / w), 1) if r["mx"] is not None else 1
+    if nb > max_bins:
+        raise ValueError(f"{nb} bins of width {width} exceed max_bins={max_bins}; choose a wider width")
+    binned = per_bin.select(status, F.least(F.col("_a") - F.lit(amin), F.lit(nb - 1)).cast("int").alias("bin_index"), "_n")
     spine = (
-        df.sparkSession.range(1)
-        .select(F.explode(F.sequence(F.lit(0), b["nb"] - 1)).alias("bin_index"))
-        .select(F.explode(F.array(*[F.lit(p) for p in populations])).alias(status), "bin_index", F.lit(0).alias("_w"))
+        df.sparkSession.range(nb)
+        .select(F.col("id").cast("int").alias("bin_index"))
+        .select(F.explode(F.array(*[F.lit(p) for p in populations])).alias(status), "bin_index", F.lit(0).cast("bigint").alias("_n"))
     )
     counts = binned.unionByName(spine).groupBy(status, "bin_index").agg(
-        F.sum("_w").cast("bigint").alias("observation_count")
+        F.sum("_n").cast("bigint").alias("observation_count")
     )
     return counts.select(
         status,
         "bin_index",
-        (b["lo"] + F.col("bin_index") * w).alias("bin_low"),
-        (b["lo"] + (F.col("bin_index") + 1) * w).alias("bin_high"),
+        (F.lit(lo) + F.col("bin_index") * F.lit(w)).alias("bin_low"),
+        (F.lit(lo) + (F.col("bin_index") + 1) * F.lit(w)).alias("bin_high"),
         "observation_count",
         F.sum("observation_count").over(Window.partitionBy(status)).cast("bigint").alias("population_count"),
         ordinal_in(F.col(status), populations).alias("_ordinal"),

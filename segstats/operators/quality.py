@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 from segstats.functions.exprs import (
     in_values,
-    is_floating_type,
     is_numeric_type,
     nan_as_null,
     numeric_value,

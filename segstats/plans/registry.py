@@ -51,10 +51,6 @@ def _round(df: DataFrame, cols, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(F.col(c), digits).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
-def _t(name):
-    return lambda spark, d: load_table(spark, d, name)
-
-
 D1_STATS = ["mean_tenure", "median_tenure", "q1_tenure", "q3_tenure", "iqr_tenure", "min_tenure", "max_tenure"]
 BOX_STATS = ["q1", "median", "q3", "iqr", "lower_whisker", "upper_whisker"]
 
