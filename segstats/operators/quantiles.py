@@ -6,7 +6,9 @@ computes the same numbers (linear interpolation between the two order
 statistics around ``p * (n - 1)``, as pandas and ``percentile`` do) by
 narrowing, for every target rank, the range of values that can hold it:
 
-1. one aggregate gives each group's weight ``n``, ``min`` and ``max``;
+1. one aggregate gives each group's weight ``n``, row count, ``min`` and
+   ``max``; when every group has at most ``max_candidates`` rows its state
+   is already bounded and Spark's weighted ``percentile`` finishes the job;
 2. while a target's range still holds more than ``max_candidates`` rows, one
    scan counts the rows of every open range in ``buckets`` equal-width
    buckets (partial aggregation, a few thousand result rows) and keeps the
@@ -57,6 +59,12 @@ def exact_quantiles(
         F.sum("_w").alias("n"), F.count(F.lit(1)).alias("r"), F.min("_v").alias("lo"), F.max("_v").alias("hi")
     ).collect()
 
+    # Small groups already have bounded state: one weighted exact percentile.
+    if all(int(r["r"]) <= max_candidates for r in stats):
+        probs_col = F.array(*[F.lit(float(p)) for p in probs])
+        got = rows.groupBy("_g").agg(F.percentile("_v", probs_col, F.col("_w")).alias("_q")).collect()
+        return {r["_g"]: list(r["_q"]) for r in got}
+
     # One target per (group, rank); ranks are 0-based positions in sorted order.
     targets: dict[int, dict] = {}
     plan: dict[object, list[tuple[int, int, int, int, float]]] = {}

@@ -99,3 +99,15 @@ def test_reconcile_slice(spark):
     r = one(reconcile_slice(rate_by_value(df), slice_vs_baseline(df)))
     assert r["reconciles"] is True
     assert (r["value_customer_count"], r["value_churned_count"], r["value_retained_count"]) == (5, 3, 2)
+
+
+def test_refuses_text_tenure_with_value_error(spark):
+    df = spark.createDataFrame([("twelve", "No"), ("8", "Yes")], "tenure string, Churn string")
+    with pytest.raises(ValueError, match="numeric"):
+        slice_vs_baseline(df)
+
+
+def test_label_refusal_comes_before_type_refusal(spark):
+    df = spark.createDataFrame([("twelve", "Maybe")], "tenure string, Churn string")
+    with pytest.raises(ValueError, match="outside"):
+        slice_vs_baseline(df)
