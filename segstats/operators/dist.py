@@ -49,7 +49,8 @@ def _population_rows(df: DataFrame, measure: str, label: str, populations: Seque
     """(status, _m) for rows inside a population; the measure as double, NaN as NULL."""
     m = nan_as_null(df, measure).cast("double")
     lab = label_text(df, label)
-    return df.select(lab.alias(status), m.alias("_m")).where(in_values(F.col(status), populations))
+    # In a filter NULL drops the row like false does, so plain IN (pushed to the scan) suffices.
+    return df.select(lab.alias(status), m.alias("_m")).where(F.col(status).isin(list(populations)))
 
 
 def _zero_rows(df: DataFrame, populations: Sequence[str], status: str) -> DataFrame:
@@ -161,17 +162,15 @@ def population_observations(
     status: str = "churn_status",
 ) -> DataFrame:
     """The raw, non-missing observations of every population (D2). Stays distributed."""
-    require_columns(df, [measure, label])
-    return (
-        _population_rows(df, measure, label, populations, status)
-        .where(F.col("_m").isNotNull())
-        .withColumnRenamed("_m", measure)
-    )
+    return _observations(df, measure, label, populations, status).withColumnRenamed("_m", measure)
 
 
 def _observations(df, measure, label, populations, status) -> DataFrame:
     require_columns(df, [measure, label])
-    return _population_rows(df, measure, label, populations, status).where(F.col("_m").isNotNull())
+    # The plain IS NOT NULL on the stored column reaches the scan; the NaN test stays above it.
+    return _population_rows(df.where(df[measure].isNotNull()), measure, label, populations, status).where(
+        F.col("_m").isNotNull()
+    )
 
 
 # D3 --------------------------------------------------------------------------
