@@ -123,7 +123,7 @@ def distribution_by_label(
         validate_roles(df, label, measure, populations)
         rows = (
             df.select(lab.alias(status), m.alias("_m"))
-            .where(in_values(F.col(status), populations))
+            .where(F.col(status).isin(list(populations)))
             .withColumn("_w", F.lit(1))
             .unionByName(_zero_rows(df, populations, status))
         )

@@ -524,11 +524,12 @@ def describe_columns(df: DataFrame, method: str = "exact", accuracy: int = 100_0
 
     Numeric columns: count, mean, std (sample), min, 25/50/75 % (exact linear
     interpolation with bounded per-task state; ``method='approx'`` for one
-    pass), max. Other
-    columns: count, unique, top (most frequent, ties to the smallest value),
-    freq. Columns: ``column_name, position, kind, count, unique, top, freq,
-    mean, std, min, p25, p50, p75, max``.
+    pass), max. Other columns: count, unique, top (most frequent, ties to the
+    smallest value), freq. Columns: ``column_name, position, kind, count,
+    unique, top, freq, mean, std, min, p25, p50, p75, max``.
     """
+    if method not in ("exact", "approx"):
+        raise ValueError(f"method must be 'exact' or 'approx'; got {method!r}")
     cols = list(df.columns)
     numeric = [c for c in cols if is_numeric_type(df.schema[c].dataType)]
     text = [c for c in cols if c not in numeric]
@@ -619,9 +620,8 @@ def describe_columns(df: DataFrame, method: str = "exact", accuracy: int = 100_0
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select(F.col("column_name"), F.col("position").cast("int").alias("position"), *[
-        c for c in ["kind", "count", "unique", "top", "freq", "mean", "std", "min", "p25", "p50", "p75", "max"]
-    ]).orderBy("position")
+    stats = ["kind", "count", "unique", "top", "freq", "mean", "std", "min", "p25", "p50", "p75", "max"]
+    return out.select("column_name", F.col("position").cast("int").alias("position"), *stats).orderBy("position")
 
 
 # Q18 -------------------------------------------------------------------------
