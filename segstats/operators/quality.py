@@ -745,4 +745,4 @@ def quality_report(df: DataFrame, config: QualityConfig) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out.orderBy("step", "section", "item", F.asc_nulls_first("column_name"), F.desc_nulls_last("row_count"), "value")
