@@ -32,3 +32,30 @@ def test_stream_matches_batch(spark):
             b["customer_count"], b["churned_count"], b["retained_count"],
         )
         assert s["unclassified_count"] == 0 and s["unexpected_label_count"] == 0
+
+
+def test_stream_segment_counts_match_batch(spark):
+    from segstats import segment_rates
+    from segstats.streaming import stream_segment_counts
+
+    schema = "Contract string, Churn string"
+    data = [("One year", "Yes"), ("One year", "No"), (None, "Yes"), ("Weekly", "No"), ("Two year", None)]
+    src = shared_dir(spark, "stream-seg")
+    spark.createDataFrame(data, schema).write.parquet(src + "/a")
+    q = (
+        stream_segment_counts(spark.readStream.schema(schema).parquet(src + "/*"))
+        .writeStream.format("memory")
+        .queryName("segment_stream")
+        .outputMode("complete")
+        .option("checkpointLocation", shared_dir(spark, "stream-seg-ckpt"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    q.awaitTermination(120)
+    got = {r["contract"]: (r["customer_count"], r["churned_count"]) for r in rows(spark.table("segment_stream"))}
+    batch = {
+        r["contract"]: (r["customer_count"], r["churned_count"])
+        for r in rows(segment_rates(spark.createDataFrame(data, schema), 50.0))
+        if r["customer_count"] > 0
+    }
+    assert got == batch
