@@ -359,6 +359,8 @@ def segment_rates(
             "baseline_percent is expected as a percentage between 0 and 100; "
             f"got {baseline_percent}."
         )
+    # Segment values compare as text, like labels (an integer 1 matches "1").
+    expected = tuple(str(v) for v in expected)
     seg = label_text(df, segment)
     lab = label_text(df, label)
     churned = F.coalesce((lab == positive).cast("int"), F.lit(0))

@@ -111,3 +111,15 @@ def test_box_plot_empty_population(spark):
     out = rows(box_plot_stats(frame(spark, [1, 2, 3], ["No"] * 3)))
     yes = out[1]
     assert yes["churn_status"] == "Yes" and yes["n"] == 0 and yes["q1"] is None and yes["flier_count"] == 0
+
+
+def test_histogram_fractional_width_matches_numpy(spark):
+    rng = np.random.default_rng(5)
+    values = np.round(rng.normal(10, 4, 400), 2)
+    df = frame(spark, [float(v) for v in values], ["No"] * 400)
+    edges_ = edges(df, width=2.5)
+    lo = np.floor(values.min() / 2.5) * 2.5
+    assert edges_[0] == lo and edges_[-1] >= values.max()
+    expected, _ = np.histogram(values, bins=edges_)
+    got = [r["observation_count"] for r in rows(histogram_by_label(df, width=2.5)) if r["churn_status"] == "No"]
+    assert got == list(expected)

@@ -107,3 +107,11 @@ def test_status_table_empty(spark):
     assert [(r["status"], r["customer_count"], r["percent"]) for r in out] == [
         ("Retained", 0, 0.0), ("Churned", 0, 0.0), ("Total", 0, 100.0),
     ]
+
+
+def test_numeric_segment_compares_as_text(spark):
+    df = spark.createDataFrame([(1, "Yes"), (1, "No"), (2, "No"), (None, "Yes")], "Contract long, Churn string")
+    out = rows(segment_rates(df, 50.0, expected=(1, 2, 3)))
+    assert [(r["contract"], r["value_status"], r["customer_count"]) for r in out] == [
+        ("1", "expected", 2), ("2", "expected", 1), ("3", "expected", 0), (None, "missing", 1),
+    ]
