@@ -75,25 +75,31 @@ def rate_by_value(
     value is invented for gaps. Refuses (``ValueError``) unexpected labels, a
     non-numeric measure, and any row with a measure but no label.
 
-    Plan: ONE scan of the input, counted per (value, label) with map-side
-    partial aggregation, written once to the shared checkpoint folder. The
-    refusals and the result both read that small aggregate.
+    Plan: ONE scan of the input, aggregated per value (map-side partial
+    aggregation, one shuffle on the value) together with the refusal counters,
+    and written once to the shared checkpoint folder. The refusals and the
+    result both read that small per-value table; no second shuffle.
     """
     require_columns(df, [measure, label])
     numeric = is_numeric_type(field_type(df, measure))
-    pairs = materialize(
-        df.groupBy(nan_as_null(df, measure).alias(value_name), label_text(df, label).alias("_label")).agg(
-            F.count(F.lit(1)).alias("_n")
+    lab = label_text(df, label)
+    per_value = materialize(
+        df.groupBy(nan_as_null(df, measure).alias(value_name)).agg(
+            F.count(F.lit(1)).alias("customer_count"),
+            F.count_if(lab == positive).alias("churned_count"),
+            F.count_if(lab == negative).alias("retained_count"),
+            F.count_if(lab.isNull()).alias("_no_label"),
+            F.count_if(bad_label(lab, (negative, positive))).alias("_bad_labels"),
         )
     )
-    v, lab, n = F.col(value_name), F.col("_label"), F.col("_n")
+    v = F.col(value_name)
     checks = [
-        F.sum(n).alias("row_count"),
-        F.sum(F.when(bad_label(lab, (negative, positive)), n)).alias("bad_labels"),
-        F.sum(F.when(v.isNotNull() & lab.isNull(), n) if numeric else F.lit(0)).alias("unclassified"),
+        F.sum("customer_count").alias("row_count"),
+        F.sum("_bad_labels").alias("bad_labels"),
+        F.sum(F.when(v.isNotNull(), F.col("_no_label")) if numeric else F.lit(0)).alias("unclassified"),
     ]
-    counts = {k: int(x or 0) for k, x in pairs.agg(*checks).first().asDict().items()}
-    refuse_roles(df, label, measure, (negative, positive), counts, pairs, "_label")
+    counts = {k: int(x or 0) for k, x in per_value.agg(*checks).first().asDict().items()}
+    refuse_roles(df, label, measure, (negative, positive), counts, df.select(lab.alias("_label")), "_label")
     if counts["unclassified"]:
         raise ValueError(
             f"{counts['unclassified']} customer(s) with a recorded '{measure}' have no "
@@ -101,14 +107,14 @@ def rate_by_value(
             "for their value can be reported."
         )
     return (
-        pairs.where(v.isNotNull())
-        .groupBy(value_name)
-        .agg(
-            F.sum(n).alias("customer_count"),
-            F.sum(F.when(lab == positive, n).otherwise(F.lit(0))).alias("churned_count"),
-            F.sum(F.when(lab == negative, n).otherwise(F.lit(0))).alias("retained_count"),
+        per_value.where(v.isNotNull())
+        .select(
+            value_name,
+            "customer_count",
+            "churned_count",
+            "retained_count",
+            ratio(F.col("churned_count"), F.col("customer_count")).alias("churn_rate"),
         )
-        .withColumn("churn_rate", ratio(F.col("churned_count"), F.col("customer_count")))
         .orderBy(value_name)
     )
 
