@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 
 from segstats.functions.exprs import field_type, in_values, is_numeric_type, label_text, nan_as_null, ordinal_in
 from segstats.operators.materialize import materialize
-from segstats.operators.quantiles import quantile_frame
+from segstats.operators.quantiles import exact_quantiles, quantile_frame
 from segstats.operators.roles import bad_label, refuse_roles, require_columns, validate_roles
 
 DEFAULT_POPULATIONS = ("No", "Yes")
@@ -96,17 +96,29 @@ def distribution_by_label(
     m = nan_as_null(df, measure).cast("double") if numeric else F.lit(None).cast("double")
     if method == "exact":
         pairs = materialize(df.groupBy(lab.alias(status), m.alias("_m")).agg(F.count(F.lit(1)).alias("_n")))
-        n = F.col("_n")
-        got = pairs.agg(
-            F.sum(n).alias("row_count"), F.sum(F.when(bad_label(F.col(status), populations), n)).alias("bad_labels")
-        ).first()
-        counts = {k: int(v or 0) for k, v in got.asDict().items()}
+        n, st, mv = F.col("_n"), F.col(status), F.col("_m")
+        # Refusal counters and the quantile statistics in one pass; one row per
+        # population plus one (NULL key) for every other label: a bounded collect.
+        got = (
+            pairs.groupBy(F.when(in_values(st, populations), st).alias("_g"))
+            .agg(
+                F.sum(n).alias("total"),
+                F.sum(F.when(bad_label(st, populations), n)).alias("bad"),
+                F.sum(F.when(mv.isNotNull(), n)).alias("n"),
+                F.count(mv).alias("r"),
+                F.min(mv).alias("lo"),
+                F.max(mv).alias("hi"),
+            )
+            .collect()
+        )
+        counts = {"row_count": sum(int(r["total"]) for r in got), "bad_labels": sum(int(r["bad"] or 0) for r in got)}
         refuse_roles(df, label, measure, populations, counts, pairs, status)
-        rows = pairs.where(in_values(F.col(status), populations)).unionByName(
+        stats = [r.asDict() for r in got if r["_g"] is not None and r["n"]]
+        rows = pairs.where(in_values(st, populations)).unionByName(
             _zero_rows(df, populations, status).withColumnRenamed("_w", "_n")
         )
         valid = F.sum(F.when(F.col("_m").isNotNull(), n)).cast("bigint")
-        q = quantile_frame(rows, status, "_m", QUARTILES, ["_q1", "_q2", "_q3"], weight="_n")
+        q = quantile_frame(rows, status, "_m", QUARTILES, ["_q1", "_q2", "_q3"], weight="_n", stats=stats)
         agg = (
             rows.groupBy(status)
             .agg(
@@ -325,21 +337,37 @@ def _observation_counts(df, measure, label, populations, status) -> DataFrame:
 
 
 def _fences(pairs: DataFrame, df: DataFrame, populations, status, whis, method, accuracy) -> DataFrame:
-    """Per population (one row each): n, quartiles and the whisker fences."""
-    counted = (
-        pairs.unionByName(_zero_rows(df, populations, status).withColumnRenamed("_w", "_n"))
-        .groupBy(status)
-        .agg(F.sum("_n").cast("bigint").alias("n"))
-    )
+    """Per population (one row each): n, quartiles and the whisker fences.
+
+    Exact: one pass over the value counts gives each population's size and
+    range (a bounded collect), the quartiles follow from ``exact_quantiles``,
+    and the fence rows are a small DataFrame with one row per population.
+    """
     if method == "exact":
-        qf = quantile_frame(pairs, status, "_m", QUARTILES, ["_q1", "_q2", "_q3"], weight="_n")
+        got = (
+            pairs.groupBy(F.col(status).alias("_g"))
+            .agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("r"), F.min("_m").alias("lo"), F.max("_m").alias("hi"))
+            .collect()
+        )
+        stats = [r.asDict() for r in got]
+        quart = exact_quantiles(pairs, status, "_m", QUARTILES, weight="_n", stats=stats)
+        size = {r["_g"]: int(r["n"]) for r in got}
+        q = df.sparkSession.createDataFrame(
+            [(p, size.get(p, 0), *quart.get(p, [None, None, None])) for p in populations],
+            f"`{status}` string, n bigint, _q1 double, _q2 double, _q3 double",
+        )
     else:
+        counted = (
+            pairs.unionByName(_zero_rows(df, populations, status).withColumnRenamed("_w", "_n"))
+            .groupBy(status)
+            .agg(F.sum("_n").cast("bigint").alias("n"))
+        )
         # percentile_approx weighs rows, so the counted values are expanded back.
         rows = pairs.select(status, "_m", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_i"))
         qf = rows.groupBy(status).agg(_quartiles(F.col("_m"), method, accuracy).alias("_q")).select(
             status, *[F.col("_q")[i].alias(f"_q{i + 1}") for i in range(3)]
         )
-    q = counted.join(F.broadcast(qf), status, "left")
+        q = counted.join(F.broadcast(qf), status, "left")
     iqr = F.col("_q3") - F.col("_q1")
     return q.select(
         status,

@@ -24,7 +24,7 @@ bounded set (populations, column names).
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,11 +43,16 @@ def exact_quantiles(
     weight: str | None = None,
     max_candidates: int = MAX_CANDIDATES,
     buckets: int = BUCKETS,
+    stats: Sequence[Mapping] | None = None,
 ) -> dict[object, list[float | None]]:
     """``{group value: [quantile per prob]}``; groups without a value are absent.
 
     ``data`` holds ``group``, a double ``value`` (NULL rows are ignored) and
     optionally an integral ``weight`` (a row stands for ``weight`` rows).
+    ``stats`` may pass the per-group statistics of step 1 when the caller has
+    already computed them in its own aggregate: one mapping per group with a
+    value, keys ``_g`` (group), ``n`` (total weight), ``r`` (rows), ``lo``,
+    ``hi`` (min and max value).
     """
     spark = data.sparkSession
     w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
@@ -55,9 +60,12 @@ def exact_quantiles(
         F.col(group).alias("_g"), F.col(value).cast("double").alias("_v"), w.alias("_w")
     ).where(F.col("_w") > 0)
 
-    stats = rows.groupBy("_g").agg(
-        F.sum("_w").alias("n"), F.count(F.lit(1)).alias("r"), F.min("_v").alias("lo"), F.max("_v").alias("hi")
-    ).collect()
+    if stats is None:
+        stats = rows.groupBy("_g").agg(
+            F.sum("_w").alias("n"), F.count(F.lit(1)).alias("r"), F.min("_v").alias("lo"), F.max("_v").alias("hi")
+        ).collect()
+    if not stats:
+        return {}
 
     # Small groups already have bounded state: one weighted exact percentile.
     if all(int(r["r"]) <= max_candidates for r in stats):
