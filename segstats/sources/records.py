@@ -38,7 +38,18 @@ def _header(spark: SparkSession, path: str, sep: str, multi_line: bool) -> list[
     )
     if not first:
         return []
-    return [str(v) if v is not None else f"_c{i}" for i, v in enumerate(first[0])]
+    names: list[str] = []
+    seen: dict[str, int] = {}
+    for i, v in enumerate(first[0]):
+        name = str(v) if v is not None else f"Unnamed: {i}"
+        # A repeated header name gets a numbered suffix: a, a.1, a.2, ...
+        base, k = name, seen.get(name, 0)
+        while name in names:
+            k += 1
+            name = f"{base}.{k}"
+        seen[base] = k
+        names.append(name)
+    return names
 
 
 def read_records(
@@ -57,6 +68,8 @@ def read_records(
       need ``multi_line=True`` (the file is then read whole, not split);
     * a row with fewer fields than the header is padded with NULL; a row with
       more fields is refused with ``ValueError``;
+    * without ``schema`` the header names the columns; a repeated name gets a
+      numbered suffix (``a``, ``a.1``) and an empty one ``Unnamed: <i>``;
     * with ``schema`` the columns are cast to it (a value that does not fit
       fails the job); otherwise, with ``infer_types``, a column whose present
       values are all integers becomes ``bigint``, all numbers ``double``, all

@@ -53,3 +53,10 @@ def test_schema_given(spark):
 def test_preview(spark):
     df = spark.range(100).withColumnRenamed("id", "k")
     assert [r["k"] for r in rows(preview(df, 5, ["k"]))] == [0, 1, 2, 3, 4]
+
+
+def test_duplicate_header_names(spark):
+    path = write(spark, "a,a,b,a\n1,2,3,4\n")
+    df = read_records(spark, path)
+    assert df.columns == ["a", "a.1", "b", "a.2"]
+    assert rows(df) == [{"a": 1, "a.1": 2, "b": 3, "a.2": 4}]
