@@ -536,8 +536,6 @@ def describe_columns(df: DataFrame, method: str = "exact", accuracy: int = 100_0
     pos = {c: i for i, c in enumerate(cols)}
     parts = []
     null_d = F.lit(None).cast("double")
-    null_s = F.lit(None).cast("string")
-    null_l = F.lit(None).cast("bigint")
     if numeric:
         aggs = []
         for i, c in enumerate(numeric):
@@ -551,42 +549,32 @@ def describe_columns(df: DataFrame, method: str = "exact", accuracy: int = 100_0
             ]
             if method == "approx":
                 aggs.append(F.percentile_approx(x, F.array(*[F.lit(p) for p in QUARTILES]), accuracy).alias(f"q{i}"))
+        # One row whatever the table size: the per-column statistics.
+        got = df.agg(*aggs).first()
         if method == "exact":
-            # Bounded-state exact quartiles for every numeric column in one pass per round.
+            # Bounded-state exact quartiles; count, min and max above are their step-1 statistics.
             long = df.select(*[nan_as_null(df, c).cast("double").alias(c) for c in numeric]).unpivot(
                 [], numeric, "column_name", "_v"
             )
-            qs = exact_quantiles(long, "column_name", "_v", QUARTILES)
-        null_q = [None, None, None]
-
-        def quart(i: int, c: str, j: int) -> Column:
-            if method == "approx":
-                return F.col(f"q{i}")[j]
-            return F.lit(qs.get(c, null_q)[j]).cast("double")
-
+            stats = [
+                {"_g": c, "n": got[f"n{i}"], "r": got[f"n{i}"], "lo": got[f"min{i}"], "hi": got[f"max{i}"]}
+                for i, c in enumerate(numeric)
+                if got[f"n{i}"]
+            ]
+            qs = exact_quantiles(long, "column_name", "_v", QUARTILES, stats=stats)
+        else:
+            qs = {c: list(got[f"q{i}"]) for i, c in enumerate(numeric) if got[f"q{i}"] is not None}
         parts.append(
-            df.agg(*aggs).select(
-                _rows(
-                    [
-                        F.struct(
-                            F.lit(c).alias("column_name"),
-                            F.lit(pos[c]).alias("position"),
-                            F.lit("numeric").alias("kind"),
-                            F.col(f"n{i}").alias("count"),
-                            null_l.alias("unique"),
-                            null_s.alias("top"),
-                            null_l.alias("freq"),
-                            F.col(f"mean{i}").alias("mean"),
-                            F.col(f"std{i}").alias("std"),
-                            F.col(f"min{i}").alias("min"),
-                            quart(i, c, 0).alias("p25"),
-                            quart(i, c, 1).alias("p50"),
-                            quart(i, c, 2).alias("p75"),
-                            F.col(f"max{i}").alias("max"),
-                        )
-                        for i, c in enumerate(numeric)
-                    ]
-                )
+            df.sparkSession.createDataFrame(
+                [
+                    (
+                        c, pos[c], "numeric", got[f"n{i}"], None, None, None, got[f"mean{i}"], got[f"std{i}"],
+                        got[f"min{i}"], *qs.get(c, [None, None, None]), got[f"max{i}"],
+                    )
+                    for i, c in enumerate(numeric)
+                ],
+                "column_name string, position int, kind string, count bigint, unique bigint, top string, "
+                "freq bigint, mean double, std double, min double, p25 double, p50 double, p75 double, max double",
             )
         )
     if text:

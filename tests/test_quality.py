@@ -206,3 +206,12 @@ def test_quality_report(spark):
     assert by[("below_minimum", "below_count", "tenure", None)]["row_count"] == 1
     assert by[("outside_domain", "outside_count", "SeniorCitizen", None)]["row_count"] == 2
     assert by[("duplicates", "duplicate_ids", "customerID", None)]["row_count"] == 0
+
+
+def test_describe_approx_and_empty_numeric(spark):
+    df = spark.createDataFrame([(1.0, None), (3.0, None)], "a double, b double")
+    out = {r["column_name"]: r for r in rows(describe_columns(df, method="approx"))}
+    assert out["a"]["p50"] in (1.0, 3.0) and out["a"]["count"] == 2
+    exact = {r["column_name"]: r for r in rows(describe_columns(df))}
+    assert exact["a"]["p50"] == 2.0
+    assert exact["b"]["count"] == 0 and exact["b"]["p50"] is None and exact["b"]["mean"] is None
