@@ -81,11 +81,12 @@ def distribution_by_label(
     non-numeric measure (R1).
 
     Plan (exact): ONE scan counts rows per (label, value) with map-side
-    partial aggregation; that aggregate is checkpointed, the refusals read it,
-    and the statistics are weighted aggregates over it (``percentile`` with a
-    frequency argument), so the quartile state per population is one counter
-    per distinct value. ``method='approx'`` validates in one scan and uses
-    ``percentile_approx`` on the rows (bounded memory for continuous values).
+    partial aggregation; that aggregate is checkpointed. One pass over it
+    yields the refusal counters and each population's size and range (a
+    collect of at most one row per population plus one), the quartiles come
+    from ``exact_quantiles`` (bounded per-task state), and count, mean, min
+    and max are weighted aggregates over it. ``method='approx'`` validates in
+    one scan and uses ``percentile_approx`` on the rows.
     """
     require_columns(df, [measure, label])
     if method not in ("exact", "approx"):
