@@ -87,3 +87,8 @@ def test_refuses_unexpected_label(spark, label):
 def test_refuses_text_tenure(spark):
     with pytest.raises(ValueError, match="numeric"):
         rate_by_value(frame(spark, ["12", "8"], ["No", "Yes"], "tenure string, Churn string"))
+
+
+def test_refuses_integer_label_column(spark):
+    with pytest.raises(ValueError, match="outside"):
+        rate_by_value(spark.createDataFrame([(1, 1), (2, 0)], "tenure bigint, Churn bigint"))

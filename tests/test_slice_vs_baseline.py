@@ -111,3 +111,8 @@ def test_label_refusal_comes_before_type_refusal(spark):
     df = spark.createDataFrame([("twelve", "Maybe")], "tenure string, Churn string")
     with pytest.raises(ValueError, match="outside"):
         slice_vs_baseline(df)
+
+
+def test_refuses_integer_label_column(spark):
+    with pytest.raises(ValueError, match="outside"):
+        slice_vs_baseline(spark.createDataFrame([(1, 1), (2, 0)], "tenure bigint, Churn bigint"))
