@@ -13,8 +13,10 @@ narrowing, for every target rank, the range of values that can hold it:
    scan counts the rows of every open range in ``buckets`` equal-width
    buckets (partial aggregation, a few thousand result rows) and keeps the
    bucket holding the rank, with its exact min and max as the new range;
-3. a final scan groups the few remaining candidates by value and ranks them
-   with a window per target (at most ``max_candidates`` rows per window).
+   targets in the same range share it, so a row meets only a few ranges;
+3. a final scan groups the remaining candidates by value and accumulates
+   their weight with a window per range (at most ``max_candidates`` values
+   per window); each target then picks the value holding its rank.
 
 The driver only ever sees the per-group statistics and the bucket histograms
 (``targets * buckets`` rows); the data stays distributed. Groups must be a
@@ -73,71 +75,93 @@ def exact_quantiles(
         got = rows.groupBy("_g").agg(F.percentile("_v", probs_col, F.col("_w")).alias("_q")).collect()
         return {r["_g"]: list(r["_q"]) for r in got}
 
-    # One target per (group, rank); ranks are 0-based positions in sorted order.
+    # Targets are (group, rank) pairs, ranks 0-based in sorted order. Targets
+    # whose candidate range is the same share it: a "range" is (group, lo, hi)
+    # with ``below`` = weight of the group's values under ``lo``. All targets
+    # of a group start in one range, and neighbouring ranks usually stay in
+    # one, so each row meets only a few ranges.
+    gtype = rows.schema["_g"].dataType.simpleString()
+    ranges: dict[int, dict] = {}
+    range_of: dict[tuple, int] = {}
     targets: dict[int, dict] = {}
     plan: dict[object, list[tuple[int, int, int, int, float]]] = {}
-    for s in stats:
-        n = int(s["n"])
+
+    def range_id(g, lo, hi, below, r) -> int:
+        key = (g, lo, hi)
+        if key not in range_of:
+            range_of[key] = len(ranges)
+            ranges[range_of[key]] = {"g": g, "lo": lo, "hi": hi, "below": below, "rows": r}
+        return range_of[key]
+
+    for s_ in stats:
+        n = int(s_["n"])
+        rid = range_id(s_["_g"], s_["lo"], s_["hi"], 0, int(s_["r"]))
         for p in probs:
             pos = p * (n - 1)
             k0, k1 = math.floor(pos), math.ceil(pos)
             ids = []
             for k in (k0, k1):
-                key = next((t for t, d in targets.items() if d["g"] == s["_g"] and d["k"] == k), None)
+                key = next((t for t, d in targets.items() if d["g"] == s_["_g"] and d["k"] == k), None)
                 if key is None:
                     key = len(targets)
-                    targets[key] = {"g": s["_g"], "k": k, "lo": s["lo"], "hi": s["hi"], "below": 0, "rows": int(s["r"])}
+                    targets[key] = {"g": s_["_g"], "k": k, "rid": rid}
                 ids.append(key)
-            plan.setdefault(s["_g"], []).append((ids[0], ids[1], k0, k1, pos))
+            plan.setdefault(s_["_g"], []).append((ids[0], ids[1], k0, k1, pos))
 
-    def frame(ids) -> DataFrame:
-        return spark.createDataFrame(
-            [(t, targets[t]["g"], float(targets[t]["lo"]), float(targets[t]["hi"])) for t in ids],
-            f"_t int, _g {rows.schema['_g'].dataType.simpleString()}, _lo double, _hi double",
+    def tagged(rids) -> DataFrame:
+        """``rows`` inside the given ranges, tagged with the range id (one broadcast row per range)."""
+        rf = spark.createDataFrame(
+            [(r, ranges[r]["g"], float(ranges[r]["lo"]), float(ranges[r]["hi"])) for r in rids],
+            f"_rid int, _g {gtype}, _lo double, _hi double",
         )
+        return rows.join(F.broadcast(rf), "_g").where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
 
     for _ in range(MAX_ROUNDS):
-        open_ids = [t for t, d in targets.items() if d["rows"] > max_candidates and d["lo"] < d["hi"]]
-        if not open_ids:
+        live = {d["rid"] for d in targets.values()}
+        open_rids = [r for r in live if ranges[r]["rows"] > max_candidates and ranges[r]["lo"] < ranges[r]["hi"]]
+        if not open_rids:
             break
         width = F.col("_hi") - F.col("_lo")
         bucket = F.least(F.floor((F.col("_v") - F.col("_lo")) / width * F.lit(buckets)), F.lit(buckets - 1))
         hist = (
-            rows.join(F.broadcast(frame(open_ids)), "_g")
-            .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-            .groupBy("_t", bucket.alias("_b"))
+            tagged(open_rids)
+            .groupBy("_rid", bucket.alias("_b"))
             .agg(F.sum("_w").alias("n"), F.count(F.lit(1)).alias("r"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
             .collect()
         )
-        by_target: dict[int, list] = {}
+        by_range: dict[int, list] = {}
         for h in hist:
-            by_target.setdefault(h["_t"], []).append(h)
-        for t in open_ids:
-            d = targets[t]
-            before = d["below"]
-            for h in sorted(by_target.get(t, []), key=lambda x: x["_b"]):
+            by_range.setdefault(h["_rid"], []).append(h)
+        for d in targets.values():
+            old = ranges[d["rid"]]
+            if d["rid"] not in by_range:
+                continue
+            before = old["below"]
+            for h in sorted(by_range[d["rid"]], key=lambda x: x["_b"]):
                 if before + h["n"] > d["k"]:
-                    d.update(lo=h["lo"], hi=h["hi"], below=before, rows=int(h["r"]))
+                    d["rid"] = range_id(old["g"], h["lo"], h["hi"], before, int(h["r"]))
                     break
                 before += h["n"]
 
-    # Final exact ranking of the remaining candidates, one window per target.
+    # Final exact ranking of the remaining candidates: cumulative weight per
+    # range (at most ``max_candidates`` values each), then each target picks
+    # the value holding its rank.
     found: dict[int, float] = {}
-    if targets:
+    live = sorted({d["rid"] for d in targets.values()})
+    if live:
         tf = spark.createDataFrame(
-            [(t, d["g"], float(d["lo"]), float(d["hi"]), int(d["below"]), int(d["k"])) for t, d in targets.items()],
-            f"_t int, _g {rows.schema['_g'].dataType.simpleString()}, _lo double, _hi double, _below bigint, _k bigint",
-        )
-        cand = (
-            rows.join(F.broadcast(tf), "_g")
-            .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-            .groupBy("_t", "_below", "_k", "_v")
-            .agg(F.sum("_w").alias("_n"))
+            [(t, d["rid"], int(ranges[d["rid"]]["below"]), int(d["k"])) for t, d in targets.items()],
+            "_t int, _rid int, _below bigint, _k bigint",
         )
-        cum = F.sum("_n").over(Window.partitionBy("_t").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+        cand = tagged(live).groupBy("_rid", "_v").agg(F.sum("_w").alias("_n"))
+        cum = F.sum("_n").over(Window.partitionBy("_rid").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
         picked = (
-            cand.withColumn("_end", F.col("_below") + cum)
-            .where((F.col("_end") - F.col("_n") <= F.col("_k")) & (F.col("_k") < F.col("_end")))
+            cand.withColumn("_cum", cum)
+            .join(F.broadcast(tf), "_rid")
+            .where(
+                (F.col("_below") + F.col("_cum") - F.col("_n") <= F.col("_k"))
+                & (F.col("_k") < F.col("_below") + F.col("_cum"))
+            )
             .select("_t", "_v")
             .collect()
         )
