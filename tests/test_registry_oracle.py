@@ -46,3 +46,14 @@ def test_query_matches_oracle(spark, con, name):
     idx = [rel.columns.index(c) for c in sdf.columns]
     want = [_norm(tuple(r[i] for i in idx)) for r in rel.fetchall()]
     assert sorted(got, key=_key) == sorted(want, key=_key)
+
+
+SPARK_TO_DUCKDB = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
+@pytest.mark.parametrize("name", sorted(queries()))
+def test_query_types_match_oracle(spark, con, name):
+    sdf = queries()[name](spark, SF_DIR)
+    spark_types = {f.name: SPARK_TO_DUCKDB.get(f.dataType.simpleString()) for f in sdf.schema.fields}
+    rel = con.sql(oracle_sql()[name])
+    assert spark_types == {c: str(t) for c, t in zip(rel.columns, rel.types)}
