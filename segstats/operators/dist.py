@@ -198,27 +198,31 @@ def observed_range(
 ) -> DataFrame:
     """Per population: plotted observation count and range, plus the shared range (D3)."""
     obs = _observations(df, measure, label, populations, status)
-    per = (
-        obs.withColumn("_w", F.lit(1))
-        .unionByName(_zero_rows(df, populations, status))
-        .groupBy(status)
+    # One scan; the result has one row per expected population, so it is collected
+    # (bounded) and the shared range is taken across those rows.
+    per = {
+        r[status]: r
+        for r in obs.groupBy(status)
         .agg(
-            F.sum("_w").cast("bigint").alias("observation_count"),
+            F.count(F.lit(1)).alias("observation_count"),
             F.min("_m").alias("population_min"),
             F.max("_m").alias("population_max"),
         )
+        .collect()
+    }
+    mins = [r["population_min"] for r in per.values() if r["population_min"] is not None]
+    maxs = [r["population_max"] for r in per.values() if r["population_max"] is not None]
+    lo, hi = (min(mins) if mins else None), (max(maxs) if maxs else None)
+    return df.sparkSession.createDataFrame(
+        [
+            (p, per[p]["observation_count"], per[p]["population_min"], per[p]["population_max"], lo, hi)
+            if p in per
+            else (p, 0, None, None, lo, hi)
+            for p in populations
+        ],
+        f"`{status}` string, observation_count bigint, population_min double, population_max double, "
+        "range_min double, range_max double",
     )
-    # One row per expected population: the shared range is a window over that bounded set.
-    everyone = Window.partitionBy()
-    return per.select(
-        status,
-        "observation_count",
-        "population_min",
-        "population_max",
-        F.min("population_min").over(everyone).alias("range_min"),
-        F.max("population_max").over(everyone).alias("range_max"),
-        ordinal_in(F.col(status), populations).alias("_ordinal"),
-    ).orderBy("_ordinal").drop("_ordinal")
 
 
 # D4 --------------------------------------------------------------------------
