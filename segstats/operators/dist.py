@@ -54,7 +54,8 @@ def _population_rows(df: DataFrame, measure: str, label: str, populations: Seque
 
 
 def _zero_rows(df: DataFrame, populations: Sequence[str], status: str) -> DataFrame:
-    return df.sparkSession.createDataFrame([(p,) for p in populations], f"{status} string").select(
+    # A handful of rows: one partition, so the union adds one task, not one per core.
+    return df.sparkSession.createDataFrame([(p,) for p in populations], f"{status} string").coalesce(1).select(
         status, F.lit(None).cast("double").alias("_m"), F.lit(0).alias("_w")
     )
 
@@ -310,7 +311,7 @@ def histogram_by_label(
         raise ValueError(f"{nb} bins of width {width} exceed max_bins={max_bins}; choose a wider width")
     binned = per_bin.select(status, F.least(F.col("_a") - F.lit(amin), F.lit(nb - 1)).cast("int").alias("bin_index"), "_n")
     spine = (
-        df.sparkSession.range(nb)
+        df.sparkSession.range(0, nb, 1, 1)
         .select(F.col("id").cast("int").alias("bin_index"))
         .select(F.explode(F.array(*[F.lit(p) for p in populations])).alias(status), "bin_index", F.lit(0).cast("bigint").alias("_n"))
     )

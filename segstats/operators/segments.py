@@ -52,7 +52,8 @@ MISSING_STATUS = "missing"
 def _zero_weight_rows(df: DataFrame, column: str, values: Sequence, dtype: str) -> DataFrame:
     """One row per value with weight 0, to be unioned before an aggregation."""
     spark = df.sparkSession
-    return spark.createDataFrame([(v,) for v in values], f"{column} {dtype}").select(
+    # A handful of rows: one partition, so the union adds one task, not one per core.
+    return spark.createDataFrame([(v,) for v in values], f"{column} {dtype}").coalesce(1).select(
         F.col(column), F.lit(0).alias("_w")
     )
 
@@ -317,7 +318,7 @@ def status_table(
     )
     if with_total:
         body = body.unionByName(
-            df.sparkSession.range(1).select(
+            df.sparkSession.range(0, 1, 1, 1).select(
                 F.lit(TOTAL_LABEL).alias("status"),
                 total.cast("bigint").alias("customer_count"),
                 F.lit(100.0).alias("percent"),

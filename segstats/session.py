@@ -13,8 +13,14 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int | None = None) -> SparkSession:
-    """A local session configured the way the tests and the bench expect."""
+def local_session(
+    cores: int | str = "*", shuffle_partitions: int | None = None, event_log_dir: str | None = None
+) -> SparkSession:
+    """A local session configured the way the tests and the bench expect.
+
+    ``event_log_dir`` turns on Spark's event log there (stage and task times
+    without the web UI, which stays off).
+    """
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("segstats")
@@ -26,6 +32,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int | None = None)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("SEGSTATS_DRIVER_MEMORY", "8g"))
     )
+    if event_log_dir:
+        builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_log_dir)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
