@@ -5,7 +5,8 @@ import math
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from segstats.plans.registry import ORACLE_SQL, QUERIES
 from segstats.sources.tables import TABLES
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -28,7 +29,7 @@ def _key(row):
 
 
 def test_every_query_has_oracle():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE_SQL)
 
 
 def test_entry_runs(spark):
@@ -37,11 +38,11 @@ def test_entry_runs(spark):
     assert len(df.collect()) > 0
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
-    sdf = queries()[name](spark, SF_DIR)
+    sdf = QUERIES[name](spark, SF_DIR)
     got = [_norm(tuple(r)) for r in sdf.collect()]
-    rel = con.sql(oracle_sql()[name])
+    rel = con.sql(ORACLE_SQL[name])
     assert sorted(sdf.columns) == sorted(rel.columns)
     idx = [rel.columns.index(c) for c in sdf.columns]
     want = [_norm(tuple(r[i] for i in idx)) for r in rel.fetchall()]
@@ -51,9 +52,9 @@ def test_query_matches_oracle(spark, con, name):
 SPARK_TO_DUCKDB = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_types_match_oracle(spark, con, name):
-    sdf = queries()[name](spark, SF_DIR)
+    sdf = QUERIES[name](spark, SF_DIR)
     spark_types = {f.name: SPARK_TO_DUCKDB.get(f.dataType.simpleString()) for f in sdf.schema.fields}
-    rel = con.sql(oracle_sql()[name])
+    rel = con.sql(ORACLE_SQL[name])
     assert spark_types == {c: str(t) for c, t in zip(rel.columns, rel.types)}
