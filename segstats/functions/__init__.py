@@ -4,7 +4,6 @@ from segstats.functions.exprs import (
     BLANK_PATTERN,
     NUMERIC_TEXT_PATTERN,
     WHITESPACE_CLASS,
-    as_col,
     in_values,
     is_blank,
     is_floating_type,
@@ -22,7 +21,6 @@ __all__ = [
     "BLANK_PATTERN",
     "NUMERIC_TEXT_PATTERN",
     "WHITESPACE_CLASS",
-    "as_col",
     "in_values",
     "is_blank",
     "is_floating_type",

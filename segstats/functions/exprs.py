@@ -39,11 +39,6 @@ NUMERIC_TEXT_PATTERN = r"(?i)^(\s*[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?\s*|[+-]?inf
 # -----------------------------------------------------------------------------
 
 
-def as_col(c: str | Column) -> Column:
-    """Accept a column name or a Column."""
-    return F.col(c) if isinstance(c, str) else c
-
-
 def is_numeric_type(dt: DataType) -> bool:
     """Numeric in the sense of the analyses: Spark numeric, never boolean."""
     return isinstance(dt, NumericType) and not isinstance(dt, BooleanType)
@@ -65,6 +60,13 @@ def nan_as_null(df: DataFrame, name: str) -> Column:
     return c
 
 
+def row_key(df: DataFrame, name: str) -> Column:
+    """The column as a grouping or hashing key: NaN is missing, and the two zeros are one value."""
+    if is_floating_type(field_type(df, name)):
+        return nan_as_null(df, name) + F.lit(0.0).cast(field_type(df, name))
+    return df[name]
+
+
 def label_text(df: DataFrame, name: str) -> Column:
     """A label compared as text, case-sensitively.
 

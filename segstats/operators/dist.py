@@ -7,14 +7,13 @@ a missing label belong to no population.
 Plan shape: every statistic is a ``groupBy(population).agg()``. Counts, mean,
 min and max are algebraic (map-side partial aggregation, so the few hot
 population keys are collapsed per task before the shuffle). Exact quartiles
-(linear interpolation) come from ``quantiles.exact_quantiles``, whose
-per-task state stays bounded even for a continuous measure; ``method="approx"``
-uses ``percentile_approx`` (rank error ``1/accuracy``) in a single pass.
-
-Empty populations still get their row: the expected values are unioned in as
-zero-weight rows before the aggregation. Per-population fences and bounds are
-attached by a broadcast join whose right side has at most one row per expected
-population, or as scalar subqueries (one value each).
+(linear interpolation) come from ``quantiles.exact_quantiles``: the first scan
+also brackets their ranks, a second one counts the values in the brackets, and
+no copy of the input is written. ``method="approx"`` uses ``percentile_approx``
+(rank error ``1/accuracy``) in a single pass.
+
+Empty populations still get their row. Per-population fences are attached by a
+broadcast join whose right side has one row per expected population.
 """
 
 from __future__ import annotations
@@ -24,25 +23,32 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
 from segstats.functions.exprs import field_type, in_values, is_numeric_type, label_text, nan_as_null, ordinal_in
-from segstats.operators.materialize import materialize
-from segstats.operators.quantiles import exact_quantiles, quantile_frame
-from segstats.operators.roles import bad_label, refuse_roles, require_columns, validate_roles
+from segstats.operators.quantiles import bracket_columns, exact_quantiles
+from segstats.operators.roles import bad_label, refuse_roles, require_columns
 
 DEFAULT_POPULATIONS = ("No", "Yes")
 QUARTILES = (0.25, 0.5, 0.75)
 DEFAULT_ACCURACY = 100_000
 
 
-def _quartiles(m: Column, method: str, accuracy: int) -> Column:
-    probs = F.array(*[F.lit(p) for p in QUARTILES])
-    if method == "exact":
-        return F.percentile(m, probs)
+def _check_method(method: str) -> None:
+    if method not in ("exact", "approx"):
+        raise ValueError(f"method must be 'exact' or 'approx'; got {method!r}")
+
+
+def _quartile_columns(m: Column, method: str, accuracy: int) -> list[Column]:
+    """What an aggregate per population must hold for its quartiles."""
     if method == "approx":
-        return F.percentile_approx(m, probs, accuracy)
-    raise ValueError(f"method must be 'exact' or 'approx'; got {method!r}")
+        return [F.percentile_approx(m, F.array(*map(F.lit, QUARTILES)), accuracy).alias("_q")]
+    return bracket_columns(m, QUARTILES)
+
+
+def _quartiles(rows: DataFrame, status: str, got: Sequence[dict], method: str) -> dict[object, list]:
+    """Quartiles per population from the aggregate's rows (``_g`` and the columns above)."""
+    if method == "approx":
+        return {r["_g"]: list(r["_q"]) for r in got if r["_q"] is not None}
+    return exact_quantiles(rows, status, "_m", QUARTILES, first=got)
 
 
 def _population_rows(df: DataFrame, measure: str, label: str, populations: Sequence[str], status: str) -> DataFrame:
@@ -53,13 +59,6 @@ def _population_rows(df: DataFrame, measure: str, label: str, populations: Seque
     return df.select(lab.alias(status), m.alias("_m")).where(F.col(status).isin(list(populations)))
 
 
-def _zero_rows(df: DataFrame, populations: Sequence[str], status: str) -> DataFrame:
-    # A handful of rows: one partition, so the union adds one task, not one per core.
-    return df.sparkSession.createDataFrame([(p,) for p in populations], f"{status} string").coalesce(1).select(
-        status, F.lit(None).cast("double").alias("_m"), F.lit(0).alias("_w")
-    )
-
-
 # D1 --------------------------------------------------------------------------
 
 
@@ -81,88 +80,53 @@ def distribution_by_label(
     a population with no valid value. Refuses unexpected labels and a
     non-numeric measure (R1).
 
-    Plan (exact): ONE scan counts rows per (label, value) with map-side
-    partial aggregation; that aggregate is checkpointed. One pass over it
-    yields the refusal counters and each population's size and range (a
-    collect of at most one row per population plus one), the quartiles come
-    from ``exact_quantiles`` (bounded per-task state), and count, mean, min
-    and max are weighted aggregates over it. ``method='approx'`` validates in
-    one scan and uses ``percentile_approx`` on the rows.
+    Plan: one scan aggregates per population (and one group for all other
+    labels) the refusal counters, the counts and the ends, and brackets the
+    quartiles; a bounded collect of at most one row per population plus one.
+    ``exact`` takes one more scan of the two columns, which counts the values
+    in the brackets (see ``exact_quantiles``).
     """
     require_columns(df, [measure, label])
-    if method not in ("exact", "approx"):
-        raise ValueError(f"method must be 'exact' or 'approx'; got {method!r}")
+    _check_method(method)
     numeric = is_numeric_type(field_type(df, measure))
     lab = label_text(df, label)
     # A text measure is refused whenever rows exist; it is never cast.
     m = nan_as_null(df, measure).cast("double") if numeric else F.lit(None).cast("double")
-    if method == "exact":
-        pairs = materialize(df.groupBy(lab.alias(status), m.alias("_m")).agg(F.count(F.lit(1)).alias("_n")))
-        n, st, mv = F.col("_n"), F.col(status), F.col("_m")
-        # Refusal counters and the quantile statistics in one pass; one row per
-        # population plus one (NULL key) for every other label: a bounded collect.
-        got = (
-            pairs.groupBy(F.when(in_values(st, populations), st).alias("_g"))
-            .agg(
-                F.sum(n).alias("total"),
-                F.sum(F.when(bad_label(st, populations), n)).alias("bad"),
-                F.sum(F.when(mv.isNotNull(), n)).alias("n"),
-                F.count(mv).alias("r"),
-                F.min(mv).alias("lo"),
-                F.max(mv).alias("hi"),
-            )
-            .collect()
-        )
-        counts = {"row_count": sum(int(r["total"]) for r in got), "bad_labels": sum(int(r["bad"] or 0) for r in got)}
-        refuse_roles(df, label, measure, populations, counts, pairs, status)
-        stats = [r.asDict() for r in got if r["_g"] is not None and r["n"]]
-        rows = pairs.where(in_values(st, populations)).unionByName(
-            _zero_rows(df, populations, status).withColumnRenamed("_w", "_n")
-        )
-        valid = F.sum(F.when(F.col("_m").isNotNull(), n)).cast("bigint")
-        q = quantile_frame(rows, status, "_m", QUARTILES, ["_q1", "_q2", "_q3"], weight="_n", stats=stats)
-        agg = (
-            rows.groupBy(status)
-            .agg(
-                F.sum(n).cast("bigint").alias("customer_count"),
-                F.coalesce(valid, F.lit(0).cast("bigint")).alias(f"valid_{name}_count"),
-                F.try_divide(F.sum(F.col("_m") * n), valid).alias(f"mean_{name}"),
-                F.min("_m").alias(f"min_{name}"),
-                F.max("_m").alias(f"max_{name}"),
-            )
-            .join(F.broadcast(q), status, "left")
-            .withColumn("_q", F.array("_q1", "_q2", "_q3"))
-        )
-    else:
-        validate_roles(df, label, measure, populations)
-        rows = (
-            df.select(lab.alias(status), m.alias("_m"))
-            .where(F.col(status).isin(list(populations)))
-            .withColumn("_w", F.lit(1))
-            .unionByName(_zero_rows(df, populations, status))
+    st, mv = F.col(status), F.col("_m")
+    rows = df.select(lab.alias(status), m.alias("_m"))
+    got = [
+        r.asDict()
+        for r in rows.groupBy(F.when(in_values(st, populations), st).alias("_g"))
+        .agg(
+            F.count(F.lit(1)).alias("total"),
+            F.count_if(bad_label(st, populations)).alias("bad"),
+            F.count(mv).alias("valid"),
+            F.avg(mv).alias("mean"),
+            F.min(mv).alias("least"),
+            F.max(mv).alias("most"),
+            *_quartile_columns(mv, method, accuracy),
         )
-        agg = rows.groupBy(status).agg(
-            F.sum("_w").cast("bigint").alias("customer_count"),
-            F.count("_m").alias(f"valid_{name}_count"),
-            F.avg("_m").alias(f"mean_{name}"),
-            _quartiles(F.col("_m"), method, accuracy).alias("_q"),
-            F.min("_m").alias(f"min_{name}"),
-            F.max("_m").alias(f"max_{name}"),
+        .collect()
+    ]
+    counts = {"row_count": sum(r["total"] for r in got), "bad_labels": sum(r["bad"] for r in got)}
+    refuse_roles(df, label, measure, populations, counts, rows, status)
+    got = [r for r in got if r["_g"] is not None]
+    quart = _quartiles(rows.where(st.isin(list(populations))), status, got, method)
+    by = {r["_g"]: r for r in got}
+    out = []
+    for p in populations:
+        r = by.get(p, {"total": 0, "valid": 0, "mean": None, "least": None, "most": None})
+        q1, median, q3 = quart.get(p, [None] * 3)
+        iqr = None if q1 is None else q3 - q1
+        out.append(
+            (p, r["total"], r["total"] - r["valid"], r["valid"], r["mean"], median, q1, q3, iqr, r["least"], r["most"])
         )
-    return agg.select(
-        status,
-        "customer_count",
-        (F.col("customer_count") - F.col(f"valid_{name}_count")).alias(f"missing_{name}_count"),
-        f"valid_{name}_count",
-        f"mean_{name}",
-        F.col("_q")[1].alias(f"median_{name}"),
-        F.col("_q")[0].alias(f"q1_{name}"),
-        F.col("_q")[2].alias(f"q3_{name}"),
-        (F.col("_q")[2] - F.col("_q")[0]).alias(f"iqr_{name}"),
-        f"min_{name}",
-        f"max_{name}",
-        ordinal_in(F.col(status), populations).alias("_ordinal"),
-    ).orderBy("_ordinal").drop("_ordinal")
+    names = ["mean", "median", "q1", "q3", "iqr", "min", "max"]
+    return df.sparkSession.createDataFrame(
+        out,
+        f"`{status}` string, customer_count bigint, `missing_{name}_count` bigint, `valid_{name}_count` bigint, "
+        + ", ".join(f"`{n}_{name}` double" for n in names),
+    )
 
 
 # D2 --------------------------------------------------------------------------
@@ -229,20 +193,25 @@ def observed_range(
 # D4 --------------------------------------------------------------------------
 
 
-def _bounds(obs: DataFrame, width: float, max_bins: int) -> DataFrame:
-    """One row: first edge ``lo`` (a multiple of width) and number of bars ``nb``."""
+def _check_width(width: float) -> float:
     if not width > 0:
         raise ValueError(f"width must be positive; got {width}")
-    w = F.lit(float(width))
-    r = obs.agg(F.min("_m").alias("_min"), F.max("_m").alias("_max"))
-    lo = F.coalesce(F.floor(F.col("_min") / w) * w, F.lit(0.0)).cast("double")
-    r = r.select(lo.alias("lo"), "_max")
-    nb = F.greatest(F.coalesce(F.ceil((F.col("_max") - F.col("lo")) / w), F.lit(1)), F.lit(1)).cast("int")
-    nb = F.when(
-        nb > F.lit(max_bins),
-        F.raise_error(F.lit(f"more than {max_bins} bins of width {width}; choose a wider width")),
-    ).otherwise(nb)
-    return r.select("lo", nb.alias("nb"))
+    return float(width)
+
+
+def _bars(low: float | None, high: float | None, width: float) -> tuple[float, int]:
+    """First edge (a multiple of ``width``) and number of bars for an observed range."""
+    if low is None:
+        return 0.0, 1
+    if not (math.isfinite(low) and math.isfinite(high)):
+        raise ValueError(f"no histogram over an infinite range: {low} to {high}")
+    first = math.floor(low / width) * width
+    return first, max(math.ceil((high - first) / width), 1)
+
+
+def _numbers(df: DataFrame, count: int, name: str) -> DataFrame:
+    """0 to ``count - 1``, spread over more partitions the more there are."""
+    return df.sparkSession.range(0, count, 1, 1 + count // 1_000_000).select(F.col("id").alias(name))
 
 
 def shared_bin_edges(
@@ -251,22 +220,21 @@ def shared_bin_edges(
     label: str = "Churn",
     populations: Sequence[str] = DEFAULT_POPULATIONS,
     width: float = 6,
-    max_bins: int = 100_000,
 ) -> DataFrame:
     """Histogram edges shared by all populations, one row per edge.
 
     Edges start at ``floor(min / width) * width`` and step by ``width`` until
     one reaches the maximum; at least one bar; ``[0, width]`` when there is no
-    observation. Columns: ``edge_index, edge``.
+    observation. Columns: ``edge_index, edge``. The observed range is read at
+    call time (one row); the edges are a partitioned range, however many.
     """
+    w = _check_width(width)
     obs = _observations(df, measure, label, populations, "_status")
-    b = _bounds(obs, width, max_bins)
-    w = float(width)
-    return b.select(
-        F.posexplode(
-            F.transform(F.sequence(F.lit(0), F.col("nb")), lambda i: F.col("lo") + i * F.lit(w))
-        ).alias("edge_index", "edge")
-    ).select(F.col("edge_index").cast("int"), "edge")
+    ends = obs.agg(F.min("_m").alias("low"), F.max("_m").alias("high")).first()
+    first, bars = _bars(ends["low"], ends["high"], w)
+    return _numbers(df, bars + 1, "edge_index").select(
+        "edge_index", (F.lit(first) + F.col("edge_index") * F.lit(w)).alias("edge")
+    )
 
 
 # D5 --------------------------------------------------------------------------
@@ -278,7 +246,6 @@ def histogram_by_label(
     label: str = "Churn",
     populations: Sequence[str] = DEFAULT_POPULATIONS,
     width: float = 6,
-    max_bins: int = 100_000,
     status: str = "churn_status",
 ) -> DataFrame:
     """Counts (not shares) per population per shared bin; empty bins are 0.
@@ -287,44 +254,42 @@ def histogram_by_label(
     ``churn_status, bin_index, bin_low, bin_high, observation_count,
     population_count``.
 
-    Plan: the first edge is a multiple of ``width``, so every observation can
-    be counted by its absolute bin ``floor(m / width)`` in ONE aggregation
-    (partial per task; at most bins x populations rows), checkpointed; the
-    shared bounds and the final bins are derived from that small result.
+    Plan: one scan for each population's count and range (a bounded collect),
+    one that counts the observations per population and bin (partial per
+    task), unioned with a partitioned range of empty bins.
     """
-    if not width > 0:
-        raise ValueError(f"width must be positive; got {width}")
-    w = float(width)
+    w = _check_width(width)
     obs = _observations(df, measure, label, populations, status)
+    per = {
+        r[status]: r
+        for r in obs.groupBy(status)
+        .agg(F.count(F.lit(1)).alias("n"), F.min("_m").alias("low"), F.max("_m").alias("high"))
+        .collect()
+    }
+    low = min((r["low"] for r in per.values()), default=None)
+    first, bars = _bars(low, max((r["high"] for r in per.values()), default=None), w)
     m = F.col("_m")
-    a = F.floor(m / F.lit(w))
-    # Exact against the edges a * width, whatever the rounding of m / width.
-    a = F.when(m < a * F.lit(w), a - 1).when(m >= (a + 1) * F.lit(w), a + 1).otherwise(a)
-    per_bin = materialize(
-        obs.groupBy(status, a.alias("_a")).agg(F.count(F.lit(1)).alias("_n"), F.max("_m").alias("_mx"))
-    )
-    r = per_bin.agg(F.min("_a").alias("amin"), F.max("_mx").alias("mx")).first()
-    amin = r["amin"] if r["amin"] is not None else 0
-    lo = float(amin) * w if r["amin"] is not None else 0.0
-    nb = max(math.ceil((r["mx"] - lo) / w), 1) if r["mx"] is not None else 1
-    if nb > max_bins:
-        raise ValueError(f"{nb} bins of width {width} exceed max_bins={max_bins}; choose a wider width")
-    binned = per_bin.select(status, F.least(F.col("_a") - F.lit(amin), F.lit(nb - 1)).cast("int").alias("bin_index"), "_n")
-    spine = (
-        df.sparkSession.range(0, nb, 1, 1)
-        .select(F.col("id").cast("int").alias("bin_index"))
-        .select(F.explode(F.array(*[F.lit(p) for p in populations])).alias(status), "bin_index", F.lit(0).cast("bigint").alias("_n"))
+    start = F.lit(first)
+    b = F.floor((m - start) / F.lit(w))
+    # Exact against the edges start + i * width, whatever the rounding of the division.
+    b = F.when(m < start + b * F.lit(w), b - 1).when(m >= start + (b + 1) * F.lit(w), b + 1).otherwise(b)
+    binned = obs.select(status, F.greatest(F.least(b, F.lit(bars - 1)), F.lit(0)).cast("long").alias("bin_index"), F.lit(1).alias("_n"))
+    spine = _numbers(df, bars, "bin_index").select(
+        F.explode(F.array(*[F.lit(p) for p in populations])).alias(status), "bin_index", F.lit(0).alias("_n")
     )
     counts = binned.unionByName(spine).groupBy(status, "bin_index").agg(
         F.sum("_n").cast("bigint").alias("observation_count")
     )
+    size = F.lit(0)
+    for p, r in per.items():
+        size = F.when(F.col(status) == p, F.lit(r["n"])).otherwise(size)
     return counts.select(
         status,
         "bin_index",
-        (F.lit(lo) + F.col("bin_index") * F.lit(w)).alias("bin_low"),
-        (F.lit(lo) + (F.col("bin_index") + 1) * F.lit(w)).alias("bin_high"),
+        (start + F.col("bin_index") * F.lit(w)).alias("bin_low"),
+        (start + (F.col("bin_index") + 1) * F.lit(w)).alias("bin_high"),
         "observation_count",
-        F.sum("observation_count").over(Window.partitionBy(status)).cast("bigint").alias("population_count"),
+        size.cast("bigint").alias("population_count"),
         ordinal_in(F.col(status), populations).alias("_ordinal"),
     ).orderBy("_ordinal", "bin_index").drop("_ordinal")
 
@@ -332,59 +297,33 @@ def histogram_by_label(
 # D6 / D7 ---------------------------------------------------------------------
 
 
-def _observation_counts(df, measure, label, populations, status) -> DataFrame:
-    """(status, _m, _n): observations counted per value, computed once and checkpointed.
-
-    Every later pass (quartile narrowing, whiskers, fliers) reads this
-    aggregate instead of re-evaluating the input and its upstream plan.
-    """
-    obs = _observations(df, measure, label, populations, status)
-    return materialize(obs.groupBy(status, "_m").agg(F.count(F.lit(1)).alias("_n")))
-
-
-def _fences(pairs: DataFrame, df: DataFrame, populations, status, whis, method, accuracy) -> DataFrame:
+def _fences(obs: DataFrame, populations, status, whis, method, accuracy) -> DataFrame:
     """Per population (one row each): n, quartiles and the whisker fences.
 
-    Exact: one pass over the value counts gives each population's size and
-    range (a bounded collect), the quartiles follow from ``exact_quantiles``,
-    and the fence rows are a small DataFrame with one row per population.
+    One scan of the observations counts them and brackets (or approximates)
+    the quartiles, a second one counts the values in the brackets; the fence
+    rows are a small DataFrame with one row per population.
     """
-    if method == "exact":
-        got = (
-            pairs.groupBy(F.col(status).alias("_g"))
-            .agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("r"), F.min("_m").alias("lo"), F.max("_m").alias("hi"))
-            .collect()
-        )
-        stats = [r.asDict() for r in got]
-        quart = exact_quantiles(pairs, status, "_m", QUARTILES, weight="_n", stats=stats)
-        size = {r["_g"]: int(r["n"]) for r in got}
-        q = df.sparkSession.createDataFrame(
-            [(p, size.get(p, 0), *quart.get(p, [None, None, None])) for p in populations],
-            f"`{status}` string, n bigint, _q1 double, _q2 double, _q3 double",
-        )
-    else:
-        counted = (
-            pairs.unionByName(_zero_rows(df, populations, status).withColumnRenamed("_w", "_n"))
-            .groupBy(status)
-            .agg(F.sum("_n").cast("bigint").alias("n"))
-        )
-        # percentile_approx weighs rows, so the counted values are expanded back.
-        rows = pairs.select(status, "_m", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_i"))
-        qf = rows.groupBy(status).agg(_quartiles(F.col("_m"), method, accuracy).alias("_q")).select(
-            status, *[F.col("_q")[i].alias(f"_q{i + 1}") for i in range(3)]
-        )
-        q = counted.join(F.broadcast(qf), status, "left")
-    iqr = F.col("_q3") - F.col("_q1")
-    return q.select(
-        status,
-        "n",
-        F.col("_q1").alias("q1"),
-        F.col("_q2").alias("median"),
-        F.col("_q3").alias("q3"),
-        iqr.alias("iqr"),
-        (F.col("_q1") - F.lit(float(whis)) * iqr).alias("_lo_fence"),
-        (F.col("_q3") + F.lit(float(whis)) * iqr).alias("_hi_fence"),
-    )
+    _check_method(method)
+    m = F.col("_m")
+    got = [
+        r.asDict()
+        for r in obs.groupBy(F.col(status).alias("_g"))
+        .agg(F.count(F.lit(1)).alias("size"), *_quartile_columns(m, method, accuracy))
+        .collect()
+    ]
+    quart = _quartiles(obs, status, got, method)
+    size = {r["_g"]: r["size"] for r in got}
+    out = []
+    for p in populations:
+        q1, q2, q3 = quart.get(p, [None] * 3)
+        reach = None if q1 is None else float(whis) * (q3 - q1)
+        fences = (None, None) if q1 is None else (q1 - reach, q3 + reach)
+        out.append((p, size.get(p, 0), q1, q2, q3, None if q1 is None else q3 - q1, *fences))
+    return obs.sparkSession.createDataFrame(
+        out,
+        f"`{status}` string, n bigint, q1 double, median double, q3 double, iqr double, _lo_fence double, _hi_fence double",
+    ).coalesce(1)
 
 
 def box_plot_stats(
@@ -405,16 +344,16 @@ def box_plot_stats(
     fences. Columns: ``churn_status, n, q1, median, q3, iqr, lower_whisker,
     upper_whisker, flier_count``.
     """
-    pairs = _observation_counts(df, measure, label, populations, status)
-    fences = _fences(pairs, df, populations, status, whis, method, accuracy)
-    m, n = F.col("_m"), F.col("_n")
+    obs = _observations(df, measure, label, populations, status)
+    fences = _fences(obs, populations, status, whis, method, accuracy)
+    m = F.col("_m")
     inner = (
-        pairs.join(F.broadcast(fences.select(status, "_lo_fence", "_hi_fence")), status)
+        obs.join(F.broadcast(fences.select(status, "_lo_fence", "_hi_fence")), status)
         .groupBy(status)
         .agg(
             F.min(F.when(m >= F.col("_lo_fence"), m)).alias("_lo_in"),
             F.max(F.when(m <= F.col("_hi_fence"), m)).alias("_hi_in"),
-            F.sum(F.when((m < F.col("_lo_fence")) | (m > F.col("_hi_fence")), n)).alias("_fliers"),
+            F.count_if((m < F.col("_lo_fence")) | (m > F.col("_hi_fence"))).alias("_fliers"),
         )
     )
     return (
@@ -447,12 +386,11 @@ def box_plot_fliers(
     status: str = "churn_status",
 ) -> DataFrame:
     """The individual observations beyond the whiskers, one row each (D7); stays distributed."""
-    pairs = _observation_counts(df, measure, label, populations, status)
-    fences = _fences(pairs, df, populations, status, whis, method, accuracy)
+    obs = _observations(df, measure, label, populations, status)
+    fences = _fences(obs, populations, status, whis, method, accuracy)
     m = F.col("_m")
     return (
-        pairs.join(F.broadcast(fences.select(status, "_lo_fence", "_hi_fence")), status)
+        obs.join(F.broadcast(fences.select(status, "_lo_fence", "_hi_fence")), status)
         .where((m < F.col("_lo_fence")) | (m > F.col("_hi_fence")))
-        .select(status, m.alias(measure), F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_i"))
-        .drop("_i")
+        .select(status, m.alias(measure))
     )

@@ -29,9 +29,9 @@ from segstats.functions.exprs import (
     ordinal_in,
     percent,
     readability_class,
+    row_key,
 )
-from segstats.operators.joins import checked_broadcast
-from segstats.operators.quantiles import exact_quantiles
+from segstats.operators.quantiles import bracket_columns, exact_quantiles
 from segstats.operators.roles import require_columns
 
 READABILITY_CLASSES = ("missing", "blank", "non_numeric", "convertible")
@@ -109,38 +109,45 @@ def missing_by_column(df: DataFrame) -> DataFrame:
 # Q1 / Q2 ---------------------------------------------------------------------
 
 
-def count_duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Rows equal to an earlier row, summed as (group size - 1); missing equals missing (Q1).
-
-    Exact, in two steps so the wide rows are not shuffled: a 64-bit
-    fingerprint of each row is counted first (8 bytes per row cross the
-    shuffle, after map-side combining); only rows whose fingerprint repeats
-    are then grouped by their full values, which removes any fingerprint
-    collision. The repeated-fingerprint set is broadcast only when its size
-    is checked to be small; otherwise the semi join shuffles.
+def _repeats(df: DataFrame, cols: Sequence[str], name: str) -> DataFrame:
+    """Rows equal in ``cols`` to an earlier one, as the sum of (group size - 1).
+
+    Exact, and wide rows are not shuffled: a 64-bit fingerprint of each row is
+    counted first (8 bytes a row, combined in the tasks); only rows whose
+    fingerprint repeats are then grouped by their full values, which removes
+    any fingerprint collision. The semi join is left to Spark: it broadcasts
+    the repeated fingerprints when they are small and splits hot ones when not.
     """
-    cols = list(columns) if columns is not None else list(df.columns)
-    require_columns(df, cols)
-    fp = F.xxhash64(*[df[c] for c in cols]).alias("_fp")
-    keyed = df.select(fp, *[df[c] for c in cols])
+    keyed = df.select(*[row_key(df, c).alias(f"_k{i}") for i, c in enumerate(cols)])
+    keyed = keyed.withColumn("_fp", F.xxhash64(*keyed.columns))
     repeated = keyed.groupBy("_fp").count().where(F.col("count") > 1).select("_fp")
-    candidates = keyed.join(checked_broadcast(repeated), "_fp", "left_semi")
     return (
-        candidates.groupBy(*cols)
+        keyed.join(repeated, "_fp", "left_semi")
+        .groupBy(*[f"_k{i}" for i in range(len(cols))])
         .count()
-        .agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
+        .agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("bigint").alias(name))
     )
 
 
+def count_duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Rows equal to an earlier row; missing, NaN included, equals missing (Q1)."""
+    cols = list(columns) if columns is not None else list(df.columns)
+    require_columns(df, cols)
+    return _repeats(df, cols, "duplicate_rows")
+
+
 def count_duplicate_ids(df: DataFrame, id_column: str) -> DataFrame:
-    """Repeats of an id value; a second missing id also counts (Q2).
+    """Repeats of an id value; a second missing id, NaN included, also counts (Q2).
 
-    ``count(*) - count(distinct id)`` would miss repeated NULL ids, so the
-    ids are grouped (NULL is a group) and (size - 1) summed.
+    Ids of a fixed few bytes are counted as they are; texts and other wide ids
+    go by fingerprint first, so they are not shuffled.
     """
     require_columns(df, [id_column])
+    kind = df.schema[id_column].dataType
+    if not (is_numeric_type(kind) or kind.typeName() in ("boolean", "date", "timestamp", "timestamp_ntz")):
+        return _repeats(df, [id_column], "duplicate_ids")
     return (
-        df.groupBy(df[id_column])
+        df.groupBy(row_key(df, id_column).alias("_id"))
         .count()
         .agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("bigint").alias("duplicate_ids"))
     )
@@ -159,11 +166,12 @@ def categorical_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]
 
 
 def categorical_profile(df: DataFrame, columns: Sequence[str] | None = None, exclude: Sequence[str] = ()) -> DataFrame:
-    """Every value of each categorical column with count and percent of all rows (Q5).
+    """How often each value of each text column occurs, as a count and as a percent of the rows (Q5).
 
-    Missing values are a value of their own. Order: column order, most
-    frequent first, then value. Columns: ``column_name, value, value_count,
-    value_percent``. All columns are unpivoted and counted in one aggregation.
+    A missing value counts as a value. Order: column order, most frequent
+    first, then value. Columns: ``column_name, value, value_count,
+    value_percent``. All columns are unpivoted and counted in one aggregation,
+    whose exchange also gives the number of rows: one scan.
     """
     cols = list(columns) if columns is not None else categorical_columns(df, exclude)
     require_columns(df, cols)
@@ -171,11 +179,12 @@ def categorical_profile(df: DataFrame, columns: Sequence[str] | None = None, exc
         return df.sparkSession.createDataFrame(
             [], "column_name string, value string, value_count bigint, value_percent double"
         )
-    total = df.select(F.count(F.lit(1))).scalar()
     long = df.select(*[nan_as_null(df, c).cast("string").alias(c) for c in cols]).unpivot(
         [], cols, "column_name", "value"
     )
     counted = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("value_count"))
+    # Every column has each row once, so the counts add up to the rows times the columns.
+    total = counted.groupBy().agg((F.sum("value_count") / len(cols)).alias("n")).scalar()
     return (
         counted.select(
             "column_name",
@@ -302,7 +311,7 @@ def numeric_readability(df: DataFrame, column: str) -> DataFrame:
     stored_type, value_class, row_count``. One scan, no shuffle.
     """
     require_columns(df, [column])
-    cls = readability_class(df[column])
+    cls = readability_class(nan_as_null(df, column))
     counts = df.agg(*[F.count_if(cls == F.lit(k)).alias(f"_{k}") for k in READABILITY_CLASSES])
     stored = df.schema[column].dataType.simpleString()
     return counts.select(
@@ -323,15 +332,16 @@ def numeric_readability(df: DataFrame, column: str) -> DataFrame:
 def class_context(df: DataFrame, column: str, by: str, value_class: str = "blank") -> DataFrame:
     """Distribution of ``by`` over the rows of one readability class (Q11).
 
-    Missing ``by`` values are left out. Most frequent first. Columns:
+    Missing ``by`` values, NaN included, are left out. Most frequent first. Columns:
     ``<by>, row_count``.
     """
     require_columns(df, [column, by])
     if value_class not in READABILITY_CLASSES:
         raise ValueError(f"value_class must be one of {READABILITY_CLASSES}; got {value_class!r}")
+    key = nan_as_null(df, by)
     return (
-        df.where((readability_class(df[column]) == value_class) & df[by].isNotNull())
-        .groupBy(df[by])
+        df.where((readability_class(nan_as_null(df, column)) == value_class) & key.isNotNull())
+        .groupBy(key.alias(by))
         .agg(F.count(F.lit(1)).alias("row_count"))
         .orderBy(F.desc("row_count"), F.asc(by))
     )
@@ -347,16 +357,16 @@ def affected_sample(
     """Up to ``n`` affected rows (context columns) plus the total affected count (Q12).
 
     Top-k by ``order_by`` (``TakeOrderedAndProject``): each task keeps its own
-    ``n`` best rows, so no full sort and no collect of affected rows.
+    ``n`` best rows, so no full sort and no collect of affected rows. The count
+    is a scan of its own that reads the predicate's columns alone. When no row
+    is affected, one row of missing context columns tells the count of 0.
     """
     require_columns(df, [*context, *order_by])
     affected = df.where(predicate)
-    total = affected.select(F.count(F.lit(1))).scalar()
-    return (
-        affected.orderBy(*order_by)
-        .limit(n)
-        .select(*[df[c] for c in context], total.alias("affected_count"))
-    )
+    total = affected.agg(F.count(F.lit(1)).alias("affected_count"))
+    sample = affected.orderBy(*order_by).limit(n).select(*[df[c] for c in context])
+    # One row to the left, at most n to the right.
+    return total.join(F.broadcast(sample), F.lit(True), "left").select(*[f"`{c}`" for c in context], "affected_count")
 
 
 def readability_sample(
@@ -364,7 +374,7 @@ def readability_sample(
 ) -> DataFrame:
     """Q12 for the readability check: rows whose value is not convertible."""
     require_columns(df, [column])
-    return affected_sample(df, readability_class(df[column]) != "convertible", context, order_by, n)
+    return affected_sample(df, readability_class(nan_as_null(df, column)) != "convertible", context, order_by, n)
 
 
 # Q13 - Q15 -------------------------------------------------------------------
@@ -499,8 +509,10 @@ def product_residual(df: DataFrame, total: str, a: str, b: str, tolerance: float
     min_difference, max_difference``. One scan, no shuffle.
     """
     require_columns(df, [total, a, b])
-    t = numeric_value(df[total]) if not is_numeric_type(df.schema[total].dataType) else nan_as_null(df, total)
-    diff = (t.cast("double") - df[a] * df[b]).alias("_d")
+    t = nan_as_null(df, total) if is_numeric_type(df.schema[total].dataType) else numeric_value(df[total])
+    # Factors multiply as doubles: NaN is missing and whole numbers do not overflow.
+    product = nan_as_null(df, a).cast("double") * nan_as_null(df, b).cast("double")
+    diff = (t.cast("double") - product).alias("_d")
     d = F.col("_d")
     return (
         df.select(diff)
@@ -523,8 +535,8 @@ def describe_columns(df: DataFrame, method: str = "exact", accuracy: int = 100_0
     """Summary statistics per column, in column order.
 
     Numeric columns: count, mean, std (sample), min, 25/50/75 % (exact linear
-    interpolation with bounded per-task state; ``method='approx'`` for one
-    pass), max. Other columns: count, unique, top (most frequent, ties to the
+    interpolation by narrowing ranks, one more scan; ``method='approx'`` for
+    one pass), max. Other columns: count, unique, top (most frequent, ties to the
     smallest value), freq. Columns: ``column_name, position, kind, count,
     unique, top, freq, mean, std, min, p25, p50, p75, max``.
     """
@@ -547,21 +559,21 @@ def describe_columns(df: DataFrame, method: str = "exact", accuracy: int = 100_0
                 F.min(x).alias(f"min{i}"),
                 F.max(x).alias(f"max{i}"),
             ]
-            if method == "approx":
+            if method == "exact":
+                aggs += bracket_columns(x, QUARTILES, f"b{i}_")
+            else:
                 aggs.append(F.percentile_approx(x, F.array(*[F.lit(p) for p in QUARTILES]), accuracy).alias(f"q{i}"))
         # One row whatever the table size: the per-column statistics.
         got = df.agg(*aggs).first()
         if method == "exact":
-            # Bounded-state exact quartiles; count, min and max above are their step-1 statistics.
+            # The aggregate above also brackets the quartiles; one more scan counts the values in the brackets.
             long = df.select(*[nan_as_null(df, c).cast("double").alias(c) for c in numeric]).unpivot(
                 [], numeric, "column_name", "_v"
             )
-            stats = [
-                {"_g": c, "n": got[f"n{i}"], "r": got[f"n{i}"], "lo": got[f"min{i}"], "hi": got[f"max{i}"]}
-                for i, c in enumerate(numeric)
-                if got[f"n{i}"]
+            first = [
+                {"_g": c} | {k: got[f"b{i}_{k}"] for k in ("n", "lo", "hi", "near")} for i, c in enumerate(numeric)
             ]
-            qs = exact_quantiles(long, "column_name", "_v", QUARTILES, stats=stats)
+            qs = exact_quantiles(long, "column_name", "_v", QUARTILES, first=first)
         else:
             qs = {c: list(got[f"q{i}"]) for i, c in enumerate(numeric) if got[f"q{i}"] is not None}
         parts.append(
@@ -626,9 +638,10 @@ class QualityConfig:
     minimums: Mapping[str, float] = field(default_factory=dict)
     domains: Mapping[str, Sequence] = field(default_factory=dict)
     range_columns: tuple[str, ...] = ()
-
-
-REPORT_SCHEMA = "section string, item string, column_name string, value string, row_count bigint, metric double"
+    #: The column whose distribution over blank texts is told, and the context shown with affected rows per
+    #: checked column (its first column orders the rows).
+    blank_context_column: str | None = None
+    contexts: Mapping[str, Sequence[str]] = field(default_factory=dict)
 
 
 def quality_report(df: DataFrame, config: QualityConfig) -> DataFrame:
@@ -638,13 +651,15 @@ def quality_report(df: DataFrame, config: QualityConfig) -> DataFrame:
     ``step`` for ordering. Every single-row counter (shape, missing per
     column, readability classes, below-minimum, outside-domain, range) is
     fused into ONE global aggregate; value counts come from the operators
-    above. Each part scans only the columns it needs.
+    above. Each part scans only the columns it needs. Affected records of a
+    checked column with a context are shown as JSON of the context columns, up
+    to ten each, with the number affected as ``row_count``.
     """
     c = config
     counters = [F.count(F.lit(1)).alias("_rows")]
     counters += [F.count_if(_missing(df, col)).alias(f"_miss{i}") for i, col in enumerate(df.columns)]
     if c.numeric_text_column:
-        cls = readability_class(df[c.numeric_text_column])
+        cls = readability_class(nan_as_null(df, c.numeric_text_column))
         counters += [F.count_if(cls == F.lit(k)).alias(f"_rd_{k}") for k in READABILITY_CLASSES]
     for i, (col, mn) in enumerate(c.minimums.items()):
         x = nan_as_null(df, col)
@@ -730,6 +745,28 @@ def quality_report(df: DataFrame, config: QualityConfig) -> DataFrame:
                 outside_domain(df, col, vals).where(~F.col("in_domain")), 7, "outside_domain", "value_count", col, F.col(col), F.col("row_count")
             )
         )
+    if c.numeric_text_column and c.blank_context_column:
+        by = c.blank_context_column
+        parts.append(
+            lit_part(class_context(df, c.numeric_text_column, by), 5, "blank_context", by, c.numeric_text_column, F.col(by), F.col("row_count"))
+        )
+    for col, mn in c.minimums.items():
+        parts.append(
+            lit_part(below_minimum_values(df, col, mn), 6, "below_minimum", "value_count", col, F.col(col), F.col("row_count"))
+        )
+    affected = []
+    if c.numeric_text_column:
+        unreadable = readability_class(nan_as_null(df, c.numeric_text_column)) != "convertible"
+        affected.append((5, "readability", c.numeric_text_column, unreadable))
+    affected += [(6, "below_minimum", col, nan_as_null(df, col) < F.lit(mn)) for col, mn in c.minimums.items()]
+    affected += [
+        (7, "outside_domain", col, ~in_values(nan_as_null(df, col), list(vals))) for col, vals in c.domains.items()
+    ]
+    for step, section, col, wrong in affected:
+        if context := list(c.contexts.get(col, ())):
+            sample = affected_sample(df, wrong, context, context[:1]).where(F.col("affected_count") > 0)
+            shown = F.to_json(F.struct(*context), {"ignoreNullFields": "false"})
+            parts.append(lit_part(sample, step, section, "affected_record", col, shown, F.col("affected_count")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -1,26 +1,22 @@
-"""Exact interpolated quantiles per group with bounded per-task state.
+"""Exact interpolated quantiles per group by narrowing ranks.
 
 Spark's exact ``percentile`` keeps one counter per distinct value of a group
 inside one task, which is unbounded for a continuous measure. This helper
-computes the same numbers (linear interpolation between the two order
-statistics around ``p * (n - 1)``, as pandas and ``percentile`` do) by
-narrowing, for every target rank, the range of values that can hold it:
-
-1. one aggregate gives each group's weight ``n``, row count, ``min`` and
-   ``max``; when every group has at most ``max_candidates`` rows its state
-   is already bounded and Spark's weighted ``percentile`` finishes the job;
-2. while a target's range still holds more than ``max_candidates`` rows, one
-   scan counts the rows of every open range in ``buckets`` equal-width
-   buckets (partial aggregation, a few thousand result rows) and keeps the
-   bucket holding the rank, with its exact min and max as the new range;
-   targets in the same range share it, so a row meets only a few ranges;
-3. a final scan groups the remaining candidates by value and accumulates
-   their weight with a window per range (at most ``max_candidates`` values
-   per window); each target then picks the value holding its rank.
-
-The driver only ever sees the per-group statistics and the bucket histograms
-(``targets * buckets`` rows); the data stays distributed. Groups must be a
-bounded set (populations, column names).
+returns the same numbers (linear interpolation between the two order
+statistics around ``p * (n - 1)``) from a few scans with bounded state:
+
+1. a first aggregate gives each group's count, minimum and maximum, and
+   ``percentile_approx`` a little below and above every probability. Those two
+   values bracket the wanted ranks whatever the values are, infinities included;
+2. while the brackets may hold more than ``ROWS_AT_ONCE`` rows, one scan counts
+   the rows below and inside every bracket and takes a grid of approximate
+   percentiles inside it; the grid cell that holds the rank is the new bracket;
+3. a last scan counts each distinct value inside the brackets, and the rows
+   between them; the ranks are read off these counts.
+
+Ranks shrink by a factor of thousands a scan, so 600,000 rows take two scans
+and 10^12 take four. A repeated value, however often, is one counted value.
+Groups must be a bounded set (populations, column names).
 """
 
 from __future__ import annotations
@@ -28,13 +24,60 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-MAX_CANDIDATES = 100_000
-BUCKETS = 1024
-MAX_ROUNDS = 64
+#: Rank error of the approximate percentiles (1 / ACCURACY), cells of a grid, and rows counted value by value.
+ACCURACY = 10_000
+GRID = 500
+ROWS_AT_ONCE = 20_000
+
+
+def bracket_columns(value: Column, probs: Sequence[float], prefix: str = "") -> list[Column]:
+    """The columns of step 1, to be put into any aggregate per group (NULL values are ignored)."""
+    near = [min(max(p + side * 2.0 / ACCURACY, 0.0), 1.0) for p in probs for side in (-1, 1)]
+    return [
+        F.count(value).alias(f"{prefix}n"),
+        F.min(value).alias(f"{prefix}lo"),
+        F.max(value).alias(f"{prefix}hi"),
+        F.percentile_approx(value, F.array(*[F.lit(p) for p in near]), ACCURACY).alias(f"{prefix}near"),
+    ]
+
+
+class _Target:
+    """The wanted ranks of one probability in one group, and the bracket of values that holds them."""
+
+    def __init__(self, n: int, p: float, low: float, high: float, widest: tuple[float, float]):
+        self.position = p * (n - 1)
+        self.ranks = (math.floor(self.position), math.ceil(self.position))
+        self.n = n
+        self.widest = widest
+        edge = 2.0 / ACCURACY
+        self.low = widest[0] if p <= edge else low
+        self.high = widest[1] if p >= 1 - edge else high
+        self.share = 4.0 / ACCURACY + 2.0 / max(n, 1)
+
+    def rows(self) -> float:
+        """Rows that may lie strictly inside the bracket."""
+        return 0 if self.low == self.high else self.share * self.n
+
+    def widen(self) -> None:
+        self.low, self.high = self.widest
+        self.share = 1.0
+
+    def narrow(self, below: int, inside: int, grid: Sequence[float]) -> None:
+        """A new bracket from the exact counts and the grid inside the old one."""
+        first, last = self.ranks[0] - below, self.ranks[1] - below
+        if first < 0 or last >= inside:  # an approximate end was off
+            return self.widen()
+        slack = 2.0 / ACCURACY
+        a = math.floor((first / inside - slack) * GRID) - 1
+        b = math.ceil((last / inside + slack) * GRID) + 1
+        if a > 0:
+            self.low = grid[a]
+        if b < GRID:
+            self.high = grid[b]
+        self.share *= (b - a) / GRID + 2 * slack
 
 
 def exact_quantiles(
@@ -42,151 +85,100 @@ def exact_quantiles(
     group: str,
     value: str,
     probs: Sequence[float],
-    weight: str | None = None,
-    max_candidates: int = MAX_CANDIDATES,
-    buckets: int = BUCKETS,
-    stats: Sequence[Mapping] | None = None,
+    first: Sequence[Mapping] | None = None,
+    rows_at_once: int = ROWS_AT_ONCE,
 ) -> dict[object, list[float | None]]:
     """``{group value: [quantile per prob]}``; groups without a value are absent.
 
-    ``data`` holds ``group``, a double ``value`` (NULL rows are ignored) and
-    optionally an integral ``weight`` (a row stands for ``weight`` rows).
-    ``stats`` may pass the per-group statistics of step 1 when the caller has
-    already computed them in its own aggregate: one mapping per group with a
-    value, keys ``_g`` (group), ``n`` (total weight), ``r`` (rows), ``lo``,
-    ``hi`` (min and max value).
+    ``data`` holds ``group`` and ``value`` (NULL rows are ignored). ``first``
+    may pass the result of step 1 from the caller's own aggregate: mappings
+    with ``_g`` (group) and the columns of ``bracket_columns``.
     """
-    spark = data.sparkSession
-    w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
-    rows = data.where(F.col(value).isNotNull()).select(
-        F.col(group).alias("_g"), F.col(value).cast("double").alias("_v"), w.alias("_w")
-    ).where(F.col("_w") > 0)
-
-    if stats is None:
-        stats = rows.groupBy("_g").agg(
-            F.sum("_w").alias("n"), F.count(F.lit(1)).alias("r"), F.min("_v").alias("lo"), F.max("_v").alias("hi")
-        ).collect()
-    if not stats:
+    rows = data.select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    if first is None:
+        first = [r.asDict() for r in rows.groupBy("_g").agg(*bracket_columns(F.col("_v"), probs)).collect()]
+    targets = {
+        r["_g"]: [
+            _Target(r["n"], p, r["near"][2 * i], r["near"][2 * i + 1], (r["lo"], r["hi"]))
+            for i, p in enumerate(probs)
+        ]
+        for r in first
+        if r["n"]
+    }
+    if not targets:
         return {}
+    group_type = rows.schema["_g"].dataType.simpleString()
 
-    # Small groups already have bounded state: one weighted exact percentile.
-    if all(int(r["r"]) <= max_candidates for r in stats):
-        probs_col = F.array(*[F.lit(float(p)) for p in probs])
-        got = rows.groupBy("_g").agg(F.percentile("_v", probs_col, F.col("_w")).alias("_q")).collect()
-        return {r["_g"]: list(r["_q"]) for r in got}
-
-    # Targets are (group, rank) pairs, ranks 0-based in sorted order. Targets
-    # whose candidate range is the same share it: a "range" is (group, lo, hi)
-    # with ``below`` = weight of the group's values under ``lo``. All targets
-    # of a group start in one range, and neighbouring ranks usually stay in
-    # one, so each row meets only a few ranges.
-    gtype = rows.schema["_g"].dataType.simpleString()
-    ranges: dict[int, dict] = {}
-    range_of: dict[tuple, int] = {}
-    targets: dict[int, dict] = {}
-    plan: dict[object, list[tuple[int, int, int, int, float]]] = {}
-
-    def range_id(g, lo, hi, below, r) -> int:
-        key = (g, lo, hi)
-        if key not in range_of:
-            range_of[key] = len(ranges)
-            ranges[range_of[key]] = {"g": g, "lo": lo, "hi": hi, "below": below, "rows": r}
-        return range_of[key]
-
-    for s_ in stats:
-        n = int(s_["n"])
-        rid = range_id(s_["_g"], s_["lo"], s_["hi"], 0, int(s_["r"]))
-        for p in probs:
-            pos = p * (n - 1)
-            k0, k1 = math.floor(pos), math.ceil(pos)
-            ids = []
-            for k in (k0, k1):
-                key = next((t for t, d in targets.items() if d["g"] == s_["_g"] and d["k"] == k), None)
-                if key is None:
-                    key = len(targets)
-                    targets[key] = {"g": s_["_g"], "k": k, "rid": rid}
-                ids.append(key)
-            plan.setdefault(s_["_g"], []).append((ids[0], ids[1], k0, k1, pos))
-
-    def tagged(rids) -> DataFrame:
-        """``rows`` inside the given ranges, tagged with the range id (one broadcast row per range)."""
-        rf = spark.createDataFrame(
-            [(r, ranges[r]["g"], float(ranges[r]["lo"]), float(ranges[r]["hi"])) for r in rids],
-            f"_rid int, _g {gtype}, _lo double, _hi double",
+    def bracketed() -> DataFrame:
+        """Rows with their group's brackets: one small row per group, broadcast."""
+        frame = rows.sparkSession.createDataFrame(
+            [(g, [t.low for t in ts], [t.high for t in ts]) for g, ts in targets.items()],
+            f"_g {group_type}, _lo array<double>, _hi array<double>",
         )
-        return rows.join(F.broadcast(rf), "_g").where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-
-    for _ in range(MAX_ROUNDS):
-        live = {d["rid"] for d in targets.values()}
-        open_rids = [r for r in live if ranges[r]["rows"] > max_candidates and ranges[r]["lo"] < ranges[r]["hi"]]
-        if not open_rids:
+        return rows.join(F.broadcast(frame.coalesce(1)), "_g")
+
+    found: dict[tuple, float] = {}
+    while True:
+        while max(t.rows() for ts in targets.values() for t in ts) > rows_at_once:
+            _narrow(bracketed(), targets, len(probs))
+        found = _values_at_ranks(bracketed(), targets, len(probs))
+        missed = [t for g, ts in targets.items() for t in ts if not all((g, k) in found for k in t.ranks)]
+        if not missed:
             break
-        width = F.col("_hi") - F.col("_lo")
-        bucket = F.least(F.floor((F.col("_v") - F.col("_lo")) / width * F.lit(buckets)), F.lit(buckets - 1))
-        hist = (
-            tagged(open_rids)
-            .groupBy("_rid", bucket.alias("_b"))
-            .agg(F.sum("_w").alias("n"), F.count(F.lit(1)).alias("r"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
-            .collect()
-        )
-        by_range: dict[int, list] = {}
-        for h in hist:
-            by_range.setdefault(h["_rid"], []).append(h)
-        for d in targets.values():
-            old = ranges[d["rid"]]
-            if d["rid"] not in by_range:
-                continue
-            before = old["below"]
-            for h in sorted(by_range[d["rid"]], key=lambda x: x["_b"]):
-                if before + h["n"] > d["k"]:
-                    d["rid"] = range_id(old["g"], h["lo"], h["hi"], before, int(h["r"]))
-                    break
-                before += h["n"]
-
-    # Final exact ranking of the remaining candidates: cumulative weight per
-    # range (at most ``max_candidates`` values each), then each target picks
-    # the value holding its rank.
-    found: dict[int, float] = {}
-    live = sorted({d["rid"] for d in targets.values()})
-    if live:
-        tf = spark.createDataFrame(
-            [(t, d["rid"], int(ranges[d["rid"]]["below"]), int(d["k"])) for t, d in targets.items()],
-            "_t int, _rid int, _below bigint, _k bigint",
-        )
-        cand = tagged(live).groupBy("_rid", "_v").agg(F.sum("_w").alias("_n"))
-        cum = F.sum("_n").over(Window.partitionBy("_rid").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-        picked = (
-            cand.withColumn("_cum", cum)
-            .join(F.broadcast(tf), "_rid")
-            .where(
-                (F.col("_below") + F.col("_cum") - F.col("_n") <= F.col("_k"))
-                & (F.col("_k") < F.col("_below") + F.col("_cum"))
-            )
-            .select("_t", "_v")
-            .collect()
-        )
-        found = {r["_t"]: r["_v"] for r in picked}
-
-    # Interpolate exactly as Spark's ``percentile`` does.
+        for t in missed:  # an approximate end was off after all
+            t.widen()
     out: dict[object, list[float | None]] = {}
-    for g, items in plan.items():
-        out[g] = [
-            found[a] if a == b else (k1 - pos) * found[a] + (pos - k0) * found[b] for a, b, k0, k1, pos in items
-        ]
+    for g, ts in targets.items():
+        out[g] = []
+        for t in ts:
+            (k0, k1), pos = t.ranks, t.position
+            a, b = found[g, k0], found[g, k1]
+            out[g].append(a if k0 == k1 else (k1 - pos) * a + (pos - k0) * b)
     return out
 
 
-def quantile_frame(
-    data: DataFrame,
-    group: str,
-    value: str,
-    probs: Sequence[float],
-    names: Sequence[str],
-    weight: str | None = None,
-    **kw,
-) -> DataFrame:
-    """``exact_quantiles`` as a small DataFrame: ``group`` plus one double column per name."""
-    q = exact_quantiles(data, group, value, probs, weight, **kw)
-    gtype = data.schema[group].dataType.simpleString()
-    schema = f"`{group}` {gtype}, " + ", ".join(f"`{n}` double" for n in names)
-    return data.sparkSession.createDataFrame([(g, *vals) for g, vals in q.items()], schema)
+def _narrow(rows: DataFrame, targets: Mapping[object, list[_Target]], count: int) -> None:
+    """One scan: exact counts below and inside every bracket and a grid of percentiles inside; then new brackets."""
+    v = F.col("_v")
+    grid = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
+    aggs = []
+    for i in range(count):
+        inside = (v >= F.col("_lo")[i]) & (v <= F.col("_hi")[i])
+        aggs += [
+            F.count_if(v < F.col("_lo")[i]).alias(f"below{i}"),
+            F.count_if(inside).alias(f"inside{i}"),
+            F.percentile_approx(F.when(inside, v), grid, ACCURACY).alias(f"grid{i}"),
+        ]
+    for r in rows.groupBy("_g").agg(*aggs).collect():
+        for i, t in enumerate(targets[r["_g"]]):
+            if t.low != t.high:
+                t.narrow(r[f"below{i}"], r[f"inside{i}"], r[f"grid{i}"] or [])
+
+
+def _values_at_ranks(rows: DataFrame, targets: Mapping[object, list[_Target]], count: int) -> dict[tuple, float]:
+    """The value at every wanted rank: values inside brackets are counted one by one, the rest by the gap they fill."""
+    v = F.col("_v")
+    inside, above = F.lit(False), F.lit(0)
+    for i in range(count):
+        inside = inside | ((v >= F.col("_lo")[i]) & (v <= F.col("_hi")[i]))
+        above = above + (v > F.col("_hi")[i]).cast("int")
+    counted = rows.groupBy("_g", above.alias("_above"), F.when(inside, v).alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+    # Rows outside all brackets sort by how many brackets they lie above, before the values of the next one.
+    per_group: dict[object, list[tuple]] = {}
+    for r in counted.collect():
+        per_group.setdefault(r["_g"], []).append((r["_above"], r["_at"], r["_n"]))
+    found: dict[tuple, float] = {}
+    for g, cells in per_group.items():
+        wanted = sorted({k for t in targets[g] for k in t.ranks})
+        highs = sorted(t.high for t in targets[g])
+        lows = {a: min((t.low for t in targets[g] if t.high >= highs[a]), default=math.inf) for a in range(len(highs))}
+        gap = [(lows.get(a, math.inf), 0, n) for a, at, n in cells if at is None]
+        ranked = sorted([(at, 1, n) for _, at, n in cells if at is not None] + gap)
+        below = 0
+        for at, kind, n in ranked:
+            while wanted and wanted[0] < below + n:
+                k = wanted.pop(0)
+                if kind:
+                    found[g, k] = at
+            below += n
+    return found

@@ -41,7 +41,7 @@ def require_columns(df: DataFrame, columns: Sequence[str]) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(
-            f"Required column(s) not found: {missing}. Columns present: {list(df.columns)}"
+            f"Required column absent: {', '.join(missing)} (the input has {', '.join(df.columns) or 'no columns'})"
         )
 
 
@@ -63,29 +63,22 @@ def refuse_roles(
 
     ``counts`` holds ``row_count`` and ``bad_labels``; ``examples`` is any
     DataFrame whose ``example_column`` holds the label text, read only when a
-    refusal needs to quote offending values (a bounded ``distinct().limit()``).
+    refusal needs to quote offending values: the first few of the distinct
+    ones, with how many there are.
     """
     if counts["bad_labels"]:
         c = F.col(example_column)
-        found = [
-            r[0]
-            for r in examples.where(bad_label(c, expected_labels))
-            .select(c.alias("v"))
-            .distinct()
-            .orderBy("v")
-            .limit(EXAMPLE_LIMIT)
-            .collect()
-        ]
+        wrong = examples.where(bad_label(c, expected_labels)).select(c.alias("v")).distinct()
+        total = wrong.count()
+        quoted = [r[0] for r in wrong.orderBy("v").limit(EXAMPLE_LIMIT).collect()]
+        which = f"{len(quoted)} of {total} distinct: " if total > len(quoted) else ""
         raise ValueError(
-            f"Column '{label}' holds value(s) outside {list(expected_labels)}: {found}. "
-            "The label defines the populations being compared, so an unexpected value "
-            "cannot be classified."
+            f"{counts['bad_labels']} row(s) have a '{label}' outside {' / '.join(map(repr, expected_labels))} "
+            f"({which}{', '.join(map(repr, quoted))}) and belong to neither group."
         )
     if counts["row_count"] > 0 and not is_numeric_type(field_type(df, measure)):
-        raise ValueError(
-            f"Column '{measure}' must be numeric to be described statistically; "
-            f"its type is '{field_type(df, measure).simpleString()}'."
-        )
+        kind = field_type(df, measure).simpleString()
+        raise ValueError(f"'{measure}' has type {kind}; a numeric measure is needed.")
 
 
 def validate_roles(

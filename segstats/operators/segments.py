@@ -103,9 +103,7 @@ def rate_by_value(
     refuse_roles(df, label, measure, (negative, positive), counts, df.select(lab.alias("_label")), "_label")
     if counts["unclassified"]:
         raise ValueError(
-            f"{counts['unclassified']} customer(s) with a recorded '{measure}' have no "
-            f"recorded '{label}' value. Those records need investigating before a rate "
-            "for their value can be reported."
+            f"{counts['unclassified']} row(s) with a '{measure}' have no recorded '{label}' value, so their rate is unknown."
         )
     return (
         per_value.where(v.isNotNull())
@@ -164,9 +162,7 @@ def slice_vs_baseline(
     refuse_roles(df, label, measure, (negative, positive), counts, df.select(lab.alias("_label")), "_label")
     if got["_unclassified"]:
         raise ValueError(
-            f"The {low}-{high} slice holds {got['_unclassified']} customer(s) with no "
-            f"recorded '{label}' value. Those records need investigating before a rate "
-            "for this region can be reported."
+            f"{got['_unclassified']} row(s) from {low} to {high} have no recorded '{label}' value, so the rate is unknown."
         )
     slice_rate = ratio(F.col("slice_churned_count"), F.col("slice_customer_count"))
     overall_rate = ratio(F.col("overall_churned_count"), F.col("overall_customer_count"))
@@ -287,7 +283,8 @@ def status_table(
     Order: Retained, Churned (always present), each unexpected value as
     ``Unexpected: "v"`` (most frequent first), ``Missing target value`` (only
     when some label is missing), then ``Total`` (100 %). Columns:
-    ``status, customer_count, percent, status_order``.
+    ``status, customer_count, percent``. One scan: the total is the sum of the
+    per-status counts, and its plan reuses their exchange.
     """
     require_columns(df, [label])
     lab = label_text(df, label)
@@ -295,7 +292,7 @@ def status_table(
         _zero_weight_rows(df, "_value", (negative, positive), "string")
     )
     per_value = rows.groupBy("_value").agg(F.sum("_w").cast("bigint").alias("customer_count"))
-    total = df.select(F.count(F.lit(1))).scalar()
+    total = per_value.groupBy().agg(F.sum("customer_count").alias("n")).scalar()
     v = F.col("_value")
     rank = (
         F.when(v == negative, F.lit(0))
@@ -362,10 +359,7 @@ def segment_rates(
     except (TypeError, ValueError):
         baseline = math.nan
     if not 0 <= baseline <= 100:  # NaN fails too (R6)
-        raise ValueError(
-            "baseline_percent is expected as a percentage between 0 and 100; "
-            f"got {baseline_percent}."
-        )
+        raise ValueError(f"{baseline_percent!r} is no baseline percent: give a number between 0 and 100.")
     # Segment values compare as text, like labels (an integer 1 matches "1").
     expected = tuple(str(v) for v in expected)
     seg = label_text(df, segment)

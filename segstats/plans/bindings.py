@@ -15,6 +15,8 @@ and as DuckDB SQL (used by the oracle).
 * ``li``: every line item, labelled ``returned`` = 'Yes' for return flag R.
 * ``charges``: customers with the balance stored as text, including blanks,
   a non-numeric token and missing values.
+* ``prices``: parts with some retail prices NaN and some missing, a size of
+  large whole numbers, the total as text, and a note that is blank for some.
 
 Orders are aggregated per customer *before* the join (a partial aggregate per
 scan task, then one row per customer), so the join sees one row per key on
@@ -102,6 +104,23 @@ def charges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = load_table(spark, sf_dir, "part")
+    key = F.col("p_partkey")
+    price = (
+        F.when(key % 7 == 0, F.lit(float("nan")))
+        .when(key % 11 == 0, F.lit(None).cast("double"))
+        .otherwise(F.floor(F.col("p_retailprice") / 100) * 100.0)
+    )
+    return p.select(
+        key.alias("part"),
+        price.alias("price"),
+        (F.lit(10**15) * (key % 5)).cast("bigint").alias("size"),
+        (F.lit(1.0) * key).cast("string").alias("total"),
+        F.when(key % 3 == 0, F.lit(" ")).otherwise(F.lit("x")).alias("note"),
+    )
+
+
 # --- The same views for DuckDB --------------------------------------------------
 
 CUST_SQL = f"""
@@ -149,3 +168,15 @@ charges AS (
               ELSE CAST(c_acctbal AS VARCHAR) END AS TotalCharges
   FROM customer
 )"""
+
+PRICES_SQL = """
+prices AS (
+  SELECT p_partkey AS part,
+         CASE WHEN p_partkey % 7 = 0 THEN CAST('NaN' AS DOUBLE)
+              WHEN p_partkey % 11 = 0 THEN NULL
+              ELSE floor(p_retailprice / 100) * 100.0 END AS price,
+         CAST(1000000000000000 * (p_partkey % 5) AS BIGINT) AS size,
+         CAST(CAST(p_partkey AS DOUBLE) AS VARCHAR) AS total,
+         CASE WHEN p_partkey % 3 = 0 THEN ' ' ELSE 'x' END AS note
+  FROM part
+)"""

@@ -69,4 +69,10 @@ TELCO_QUALITY = QualityConfig(
     minimums={"tenure": TENURE_MINIMUM},
     domains={"SeniorCitizen": SENIOR_CITIZEN_VALUES},
     range_columns=("MonthlyCharges",),
+    blank_context_column="tenure",
+    contexts={
+        TOTAL_CHARGES_COLUMN: TOTAL_CHARGES_CONTEXT,
+        "tenure": TENURE_CONTEXT,
+        "SeniorCitizen": SENIOR_CITIZEN_CONTEXT,
+    },
 )

@@ -32,7 +32,9 @@ EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 LI_RULES = (
     Implication("final_lines_returned", "l_linestatus", "F", ("l_returnflag",), "R"),
     Implication("unreturned_lines_open", "l_returnflag", "N", ("l_linestatus",), "O"),
+    Implication("final_lines_alike", "l_linestatus", "F", ("l_returnflag", "l_linestatus"), "F"),
 )
+LI_REPEATED = ["l_suppkey", "l_quantity", "l_returnflag", "l_linestatus"]
 ORDER_DOMAINS = {
     "o_orderstatus": ("F", "O"),
     "o_orderpriority": ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"),
@@ -44,6 +46,18 @@ CUSTOMER_QUALITY = QualityConfig(
     domains={"c_mktsegment": ("BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")},
     range_columns=("c_acctbal",),
 )
+CHARGES_RULE = Implication("building_accounts", "c_mktsegment", "BUILDING", ("TotalCharges", "c_mktsegment"), "BUILDING")
+CHARGES_CONTEXT = ("customerID", "c_nationkey", "TotalCharges")
+CHARGES_QUALITY = QualityConfig(
+    id_column="c_nationkey",
+    exclude_categorical=("TotalCharges",),
+    rules=(CHARGES_RULE,),
+    numeric_text_column="TotalCharges",
+    minimums={"c_nationkey": 3},
+    domains={"c_nationkey": (0, 1, 2)},
+    blank_context_column="c_nationkey",
+    contexts={"TotalCharges": CHARGES_CONTEXT, "c_nationkey": CHARGES_CONTEXT},
+)
 # -------------------------------------------------------------------------------
 
 
@@ -62,6 +76,12 @@ def _csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return read_records(spark, path)
 
 
+def _slice_reconciles(cust: DataFrame) -> DataFrame:
+    """Both sides from one copy of the joined view: its two small columns are written once."""
+    view = materialize(cust.select("tenure", "Churn"))
+    return segments.reconcile_slice(segments.rate_by_value(view), segments.slice_vs_baseline(view, *SLICE_BOUNDS))
+
+
 QUERIES: dict[str, Query] = {
     # R10
     "rate_by_value_cust": lambda s, d: segments.rate_by_value(B.cust(s, d)),
@@ -71,9 +91,7 @@ QUERIES: dict[str, Query] = {
     # R7 - R9
     "slice_vs_baseline": lambda s, d: segments.slice_vs_baseline(B.cust(s, d), *SLICE_BOUNDS),
     # R13
-    "slice_reconciles": lambda s, d: segments.reconcile_slice(
-        segments.rate_by_value(B.cust(s, d)), segments.slice_vs_baseline(B.cust(s, d), *SLICE_BOUNDS)
-    ),
+    "slice_reconciles": lambda s, d: _slice_reconciles(B.cust(s, d)),
     # R2, R3
     "retention_baseline": lambda s, d: segments.retention_baseline(B.cust_unknown(s, d)),
     "status_table": lambda s, d: segments.status_table(B.cust_unknown(s, d)),
@@ -110,9 +128,7 @@ QUERIES: dict[str, Query] = {
     "duplicate_rows": lambda s, d: quality.count_duplicate_rows(
         load_table(s, d, "documents"), ["text", "lang", "source", "n_chars"]
     ),
-    "duplicate_rows_lineitem": lambda s, d: quality.count_duplicate_rows(
-        load_table(s, d, "lineitem").drop("l_orderkey", "l_linenumber")
-    ),
+    "duplicate_rows_lineitem": lambda s, d: quality.count_duplicate_rows(load_table(s, d, "lineitem"), LI_REPEATED),
     "duplicate_ids": lambda s, d: quality.count_duplicate_ids(load_table(s, d, "lineitem"), "l_orderkey"),
     "duplicate_texts": lambda s, d: quality.count_duplicate_ids(load_table(s, d, "documents"), "text"),
     # Q3, S3, S4, S5
@@ -161,7 +177,17 @@ QUERIES: dict[str, Query] = {
         ),
         ["mean_abs_difference", "min_difference", "max_difference"],
     ),
+    # NaN is missing: Q1, Q2, Q10, Q11, Q17 over a table that holds some
+    "duplicate_rows_nan": lambda s, d: quality.count_duplicate_rows(B.prices(s, d), ["price", "size"]),
+    "duplicate_ids_nan": lambda s, d: quality.count_duplicate_ids(B.prices(s, d), "price"),
+    "numeric_readability_nan": lambda s, d: quality.numeric_readability(B.prices(s, d), "price"),
+    "class_context_nan": lambda s, d: quality.class_context(B.prices(s, d), "note", "price"),
+    "product_residual_nan": lambda s, d: _round(
+        quality.product_residual(B.prices(s, d), "total", "price", "size"),
+        ["mean_abs_difference", "min_difference", "max_difference"],
+    ),
     # Q18
+    "quality_report_charges": lambda s, d: _round(quality.quality_report(B.charges(s, d), CHARGES_QUALITY), ["metric"]),
     "quality_report": lambda s, d: _round(quality.quality_report(load_table(s, d, "customer"), CUSTOMER_QUALITY), ["metric"]),
     # S1, S2
     "csv_roundtrip": _csv_roundtrip,
@@ -250,8 +276,8 @@ def _d5(view: str, measure: str, label: str, width: float) -> str:
         + ",\n"
         + _bounds_sql(width)
         + f""",
-binned AS (SELECT churn_status, CAST(least(floor((m - (SELECT lo FROM bounds)) / {w}), (SELECT nb FROM bounds) - 1) AS INTEGER) AS b, 1 AS w FROM obs),
-spine AS (SELECT p.churn_status, CAST(r.b AS INTEGER) AS b, 0 AS w
+binned AS (SELECT churn_status, CAST(least(floor((m - (SELECT lo FROM bounds)) / {w}), (SELECT nb FROM bounds) - 1) AS BIGINT) AS b, 1 AS w FROM obs),
+spine AS (SELECT p.churn_status, CAST(r.b AS BIGINT) AS b, 0 AS w
           FROM (SELECT unnest(['No', 'Yes']) AS churn_status) p,
                (SELECT unnest(range(0, (SELECT nb FROM bounds))) AS b) r),
 g AS (SELECT churn_status, b, CAST(sum(w) AS BIGINT) AS n FROM (SELECT * FROM binned UNION ALL SELECT * FROM spine) GROUP BY churn_status, b)
@@ -450,6 +476,10 @@ def _report_sql() -> str:
         r(8, "range", "'observed_min'", "'c_acctbal'", "NULL", "NULL", "round((SELECT min(c_acctbal) FROM customer), 6)"),
         r(8, "range", "'observed_max'", "'c_acctbal'", "NULL", "NULL", "round((SELECT max(c_acctbal) FROM customer), 6)"),
     ]
+    rows.append(
+        "SELECT 6, 'below_minimum', 'value_count', 'c_acctbal', CAST(c_acctbal AS VARCHAR), count(*), NULL FROM customer "
+        "WHERE c_acctbal < 0 GROUP BY c_acctbal"
+    )
     rows.append(
         "SELECT 7, 'outside_domain', 'value_count', 'c_mktsegment', c_mktsegment, count(*), NULL FROM customer "
         "WHERE c_mktsegment IS NULL OR c_mktsegment NOT IN ('BUILDING','FURNITURE','HOUSEHOLD','MACHINERY') GROUP BY c_mktsegment"
@@ -457,6 +487,104 @@ def _report_sql() -> str:
     return _union_rows(rows)
 
 
+_READ = (
+    "CASE WHEN TotalCharges IS NULL THEN 'missing' WHEN trim(TotalCharges) = '' THEN 'blank' "
+    "WHEN try_cast(TotalCharges AS DOUBLE) IS NULL THEN 'non_numeric' ELSE 'convertible' END"
+)
+
+
+def _charges_report_sql() -> str:
+    """The report's sections over the charges view, a SELECT each."""
+    cols = ["customerID", "c_nationkey", "c_acctbal", "c_mktsegment", "TotalCharges"]
+
+    def one(step, section, item, column, value, count, metric, tail="FROM charges"):
+        return (
+            f"SELECT {step} AS step, '{section}' AS section, {item} AS item, {column} AS column_name, "
+            f"CAST({value} AS VARCHAR) AS value, CAST({count} AS BIGINT) AS row_count, CAST({metric} AS DOUBLE) AS metric {tail}"
+        )
+
+    def repeats(columns):
+        return f"(SELECT coalesce(sum(n - 1), 0) FROM (SELECT count(*) AS n FROM charges GROUP BY {columns}))"
+
+    def affected(step, section, column, wrong):
+        fields = ", ".join(f"'{c}': {c}" for c in CHARGES_CONTEXT)
+        return (
+            f"(SELECT {step}, '{section}', 'affected_record', '{column}', CAST(to_json({{{fields}}}) AS VARCHAR), "
+            f"(SELECT count(*) FROM charges WHERE {wrong}), NULL FROM charges WHERE {wrong} ORDER BY customerID LIMIT 10)"
+        )
+
+    fired = "c_mktsegment = 'BUILDING'"
+    departs = "TotalCharges IS DISTINCT FROM 'BUILDING'"
+    rows = [
+        one(0, "shape", "'rows'", "NULL", "NULL", "count(*)", "NULL"),
+        one(0, "shape", "'columns'", "NULL", "NULL", len(cols), "NULL", ""),
+        one(1, "duplicates", "'duplicate_rows'", "NULL", "NULL", repeats(", ".join(cols)), "NULL", ""),
+        one(1, "duplicates", "'duplicate_ids'", "'c_nationkey'", "NULL", repeats("c_nationkey"), "NULL", ""),
+    ]
+    rows += [
+        one(2, "missing", "'missing_values'", f"'{c}'", "NULL", f"count(*) - count({c})",
+            f"round((count(*) - count({c})) / nullif(count(*), 0) * 100.0, 6)")
+        for c in cols
+    ]
+    rows += [
+        one(3, "categorical_profile", "'value_count'", "'c_mktsegment'", "c_mktsegment", "count(*)",
+            "round(count(*) / (SELECT count(*) FROM charges) * 100.0, 6)", "FROM charges GROUP BY c_mktsegment"),
+        one(4, "implication", "'building_accounts'", "'c_mktsegment'", "'BUILDING'", f"count(*) FILTER (WHERE {fired})",
+            f"count(*) FILTER (WHERE {fired} AND {departs})"),
+        one(4, "implication_violation", "'building_accounts'", "'TotalCharges'", "TotalCharges", "count(*)", "NULL",
+            f"FROM charges WHERE {fired} AND {departs} GROUP BY TotalCharges"),
+    ]
+    rows += [
+        one(5, "readability", f"'{k}'", "'TotalCharges'", "NULL", f"count(*) FILTER (WHERE {_READ} = '{k}')", "NULL")
+        for k in ("missing", "blank", "non_numeric", "convertible")
+    ]
+    rows += [
+        one(5, "blank_context", "'c_nationkey'", "'TotalCharges'", "c_nationkey", "count(*)", "NULL",
+            f"FROM charges WHERE {_READ} = 'blank' AND c_nationkey IS NOT NULL GROUP BY c_nationkey"),
+        one(6, "below_minimum", "'observed_min'", "'c_nationkey'", "NULL", "NULL", "min(c_nationkey)"),
+        one(6, "below_minimum", "'below_count'", "'c_nationkey'", "NULL", "count(*) FILTER (WHERE c_nationkey < 3)", "3.0"),
+        one(6, "below_minimum", "'value_count'", "'c_nationkey'", "c_nationkey", "count(*)", "NULL",
+            "FROM charges WHERE c_nationkey < 3 GROUP BY c_nationkey"),
+        one(7, "outside_domain", "'outside_count'", "'c_nationkey'", "NULL",
+            "count(*) FILTER (WHERE c_nationkey IS NULL OR c_nationkey NOT IN (0, 1, 2))", "NULL"),
+        one(7, "outside_domain", "'value_count'", "'c_nationkey'", "c_nationkey", "count(*)", "NULL",
+            "FROM charges WHERE c_nationkey IS NULL OR c_nationkey NOT IN (0, 1, 2) GROUP BY c_nationkey"),
+        affected(5, "readability", "TotalCharges", f"{_READ} <> 'convertible'"),
+        affected(6, "below_minimum", "c_nationkey", "c_nationkey < 3"),
+        affected(7, "outside_domain", "c_nationkey", "c_nationkey IS NULL OR c_nationkey NOT IN (0, 1, 2)"),
+    ]
+    return _with(B.CHARGES_SQL) + _union_rows(rows)
+
+
+def _prices(select: str) -> str:
+    """Over the prices view, with NaN read as missing."""
+    return _with(B.PRICES_SQL, "p AS (SELECT *, CASE WHEN isnan(price) THEN NULL ELSE price END AS x FROM prices)") + select
+
+
+_NAN_SQL = {
+    "duplicate_rows_nan": _prices(
+        "SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicate_rows FROM (SELECT count(*) AS n FROM p GROUP BY x, size)"
+    ),
+    "duplicate_ids_nan": _prices(
+        "SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicate_ids FROM (SELECT count(*) AS n FROM p GROUP BY x)"
+    ),
+    "numeric_readability_nan": _prices(
+        "SELECT 'price' AS column_name, 'double' AS stored_type, k AS value_class, "
+        "CASE k WHEN 'missing' THEN (SELECT count(*) FROM p WHERE x IS NULL) "
+        "WHEN 'convertible' THEN (SELECT count(x) FROM p) ELSE 0 END AS row_count "
+        "FROM (SELECT unnest(['missing', 'blank', 'non_numeric', 'convertible']) AS k)"
+    ),
+    "class_context_nan": _prices(
+        "SELECT x AS price, count(*) AS row_count FROM p WHERE note = ' ' AND x IS NOT NULL GROUP BY x"
+    ),
+    "product_residual_nan": _prices(
+        "SELECT count(d) AS convertible_count, count(*) FILTER (WHERE abs(d) < 0.005) AS zero_difference_count, "
+        "count(*) FILTER (WHERE abs(d) >= 0.005) AS nonzero_difference_count, round(avg(abs(d)), 6) AS mean_abs_difference, "
+        "round(min(d), 6) AS min_difference, round(max(d), 6) AS max_difference "
+        "FROM (SELECT try_cast(total AS DOUBLE) - x * CAST(size AS DOUBLE) AS d FROM p) WHERE d IS NOT NULL"
+    ),
+}
+
 ORACLE_SQL: dict[str, str] = {
     "rate_by_value_cust": _with(B.CUST_SQL) + _R10_CUST,
     "rate_by_value_li": _with(B.LI_SQL)
@@ -512,7 +640,7 @@ SELECT churn_status, CAST(sum(w) AS BIGINT) AS observation_count, min(m) AS popu
 FROM (SELECT churn_status, m, 1 AS w FROM obs UNION ALL SELECT 'No', NULL, 0 UNION ALL SELECT 'Yes', NULL, 0)
 GROUP BY churn_status""",
     "shared_bin_edges": _with(B.CUST_SQL, _obs("cust", "tenure", "Churn", ("No", "Yes")), _bounds_sql(6))
-    + "SELECT CAST(i AS INTEGER) AS edge_index, lo + i * 6.0 AS edge FROM bounds, (SELECT unnest(range(0, (SELECT nb FROM bounds) + 1)) AS i)",
+    + "SELECT CAST(i AS BIGINT) AS edge_index, lo + i * 6.0 AS edge FROM bounds, (SELECT unnest(range(0, (SELECT nb FROM bounds) + 1)) AS i)",
     "histogram_by_label": "WITH " + B.CUST_SQL + ",\n" + _d5("cust", "tenure", "Churn", 6)[len("WITH "):],
     "histogram_by_label_li": "WITH " + B.LI_SQL + ",\n" + _d5("li", "l_quantity", "returned", 5)[len("WITH "):],
     "box_plot_stats_cust": "WITH " + B.CUST_SQL + ",\n" + _box_stats("cust", "tenure", "Churn", ("No", "Yes"))[len("WITH "):],
@@ -520,8 +648,8 @@ GROUP BY churn_status""",
     "box_plot_fliers_events": _box("events", "value", "event_type", EVENT_TYPES)
     + "\nSELECT o.churn_status, o.m AS value FROM obs o JOIN f ON o.churn_status = f.churn_status WHERE o.m < f.lf OR o.m > f.hf",
     "duplicate_rows": "SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicate_rows FROM (SELECT count(*) AS n FROM documents GROUP BY text, lang, source, n_chars)",
-    "duplicate_rows_lineitem": "SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicate_rows FROM (SELECT count(*) AS n FROM lineitem "
-    "GROUP BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)",
+    "duplicate_rows_lineitem": "SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicate_rows FROM "
+    f"(SELECT count(*) AS n FROM lineitem GROUP BY {', '.join(LI_REPEATED)})",
     "duplicate_ids": "SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicate_ids FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey)",
     "duplicate_texts": "SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicate_ids FROM (SELECT count(*) AS n FROM documents GROUP BY text)",
     "missing_by_column": _missing_sql(),
@@ -557,6 +685,8 @@ FROM charges WHERE {_class_sql('TotalCharges')} <> 'convertible' ORDER BY custom
         ]
     ),
     "product_residual": _residual_sql(),
+    **_NAN_SQL,
+    "quality_report_charges": _charges_report_sql(),
     "quality_report": _report_sql(),
     "csv_roundtrip": "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer",
     "preview": "SELECT * FROM customer ORDER BY c_custkey LIMIT 5",

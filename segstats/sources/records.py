@@ -9,6 +9,7 @@ result), not a pass per column.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,13 +32,14 @@ _CORRUPT = "_segstats_corrupt"
 _INTEGER_TEXT = r"^\s*[+-]?\d+\s*$"
 
 
-def _header(spark: SparkSession, path: str, sep: str, multi_line: bool) -> list[str]:
+def _header(spark: SparkSession, path: str, sep: str, multi_line: bool) -> tuple[list[str], bool]:
+    """The column names of the first header row, and whether any had to be made up."""
     first = (
         spark.read.option("header", "false").option("sep", sep).option("quote", '"').option("escape", '"')
         .option("multiLine", multi_line).csv(path).limit(1).collect()
     )
     if not first:
-        return []
+        return [], False
     names: list[str] = []
     seen: dict[str, int] = {}
     for i, v in enumerate(first[0]):
@@ -49,7 +51,7 @@ def _header(spark: SparkSession, path: str, sep: str, multi_line: bool) -> list[
             name = f"{base}.{k}"
         seen[base] = k
         names.append(name)
-    return names
+    return names, names != list(first[0])
 
 
 def read_records(
@@ -70,22 +72,27 @@ def read_records(
       more fields is refused with ``ValueError``;
     * without ``schema`` the header names the columns; a repeated name gets a
       numbered suffix (``a``, ``a.1``) and an empty one ``Unnamed: <i>``;
-    * with ``schema`` the columns are cast to it (a value that does not fit
-      fails the job); otherwise, with ``infer_types``, a column whose present
+      several files must have the same header;
+    * with ``schema`` its columns are found by name in the header, whatever
+      their order there, and cast (a value that does not fit fails the job); a
+      name that is absent is refused with ``ValueError``; otherwise, with ``infer_types``, a column whose present
       values are all integers becomes ``bigint``, all numbers ``double``, all
       booleans ``boolean``, a column with no present value ``double``, and
       any other column stays ``string``.
     """
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
-    names = list(schema.fieldNames()) if schema is not None else _header(spark, path, sep, multi_line)
+    names, renamed = _header(spark, path, sep, multi_line)
     if not names:
         return spark.createDataFrame([], schema or StructType())
+    if schema is not None and (absent := [n for n in schema.fieldNames() if n not in names]):
+        raise ValueError(f"the header of {path} has no column {', '.join(absent)}: {', '.join(names)}")
     text_schema = ", ".join(f"`{n}` string" for n in names) + f", `{_CORRUPT}` string"
     raw = (
         spark.read.schema(text_schema)
         .option("header", "true")
-        .option("enforceSchema", "true")
+        # Every file's header is held against the first one's, unless names had to be made up.
+        .option("enforceSchema", "true" if renamed else "false")
         .option("sep", sep)
         .option("quote", '"')
         .option("escape", '"')
@@ -94,12 +101,11 @@ def read_records(
         .option("columnNameOfCorruptRecord", _CORRUPT)
         .csv(path)
     )
-    # A row is long when a parse with one more field than the header fills it.
-    wide = ", ".join(f"f{i} string" for i in range(len(names) + 1))
-    extra = F.from_csv(F.col(_CORRUPT), wide, {"sep": sep, "quote": '"', "escape": '"', "nullValue": "\u0000"})[
-        f"f{len(names)}"
-    ]
-    long_row = F.col(_CORRUPT).isNotNull() & extra.isNotNull()
+    # The fields of a malformed row: its separators outside fields that start with a quote.
+    mark = re.escape(sep)
+    bare = F.regexp_replace(F.col(_CORRUPT), f'(^|{mark})"[^"]*+(?:""[^"]*+)*+"', "$1")
+    fields = F.size(F.split(bare, mark, -1))
+    long_row = F.col(_CORRUPT).isNotNull() & (fields > len(names))
     tokens = list(na_values)
     cleaned = {n: F.when(F.col(f"`{n}`").isin(tokens), F.lit(None)).otherwise(F.col(f"`{n}`")) for n in names}
 
@@ -115,12 +121,17 @@ def read_records(
             ]
     # Count a data column next to the corrupt-record column (Spark refuses a
     # raw CSV query that reads only the latter).
-    stats = raw.agg(F.count(F.col(f"`{names[0]}`")).alias("_first"), *checks).first()
+    try:
+        stats = raw.agg(F.count(F.col(f"`{names[0]}`")).alias("_first"), *checks).first()
+    except Exception as e:  # the reader has no error class of its own for this
+        if "CSV header does not conform" in str(e):
+            raise ValueError(f"the files of {path} have different headers") from e
+        raise
     if stats["_long"]:
         raise ValueError(f"{stats['_long']} row(s) of {path} hold more fields than the {len(names)} header columns")
 
     out: list[Column] = []
-    for i, n in enumerate(names):
+    for i, n in enumerate(names if schema is None else schema.fieldNames()):
         v = cleaned[n]
         if schema is not None:
             out.append(v.cast(schema[n].dataType).alias(n))

@@ -9,8 +9,8 @@ from segstats.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = local_session(4, shuffle_partitions=4)
+def spark(tmp_path_factory):
+    s = local_session(4, shuffle_partitions=4, checkpoint_dir=str(tmp_path_factory.mktemp("checkpoints")))
     yield s
 
 

@@ -1,7 +1,9 @@
 """Physical-plan properties: pruning, pushdown, no joins where none are needed."""
 
 from segstats import below_minimum_values, categorical_profile, implication_violations, population_observations, segment_rates
+from segstats.operators import dist, quality, segments
 from segstats.operators.quality import Implication
+from segstats.sources.tables import load_table
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,3 +43,28 @@ def test_observations_push_not_null_and_label(spark):
     e = spark.read.parquet(f"{SF}/events.parquet")
     p = plan(population_observations(e, measure="value", label="event_type", populations=("click", "view")))
     assert "IsNotNull(value)" in p and "In(event_type" in p
+
+
+def executed(df):
+    """The physical plan after a run, with the exchanges that were reused."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_scan_serves_counts_and_total(spark):
+    li = load_table(spark, SF, "lineitem")
+    profile = quality.categorical_profile(li, columns=["l_returnflag", "l_linestatus"])
+    assert "ReusedExchange" in executed(profile) or "ReusedSubquery" in executed(profile)
+    status = segments.status_table(li, label="l_returnflag", positive="R", negative="N")
+    assert "ReusedExchange" in executed(status) or "ReusedSubquery" in executed(status)
+
+
+def test_fliers_are_filtered_not_generated(spark):
+    ev = load_table(spark, SF, "events")
+    fliers = dist.box_plot_fliers(ev, measure="value", label="event_type", populations=("click", "view"))
+    assert "Generate" not in executed(fliers)
+
+
+def test_duplicate_check_is_lazy_and_unhinted(spark):
+    plan = quality.count_duplicate_rows(load_table(spark, SF, "lineitem"))._jdf.queryExecution().logical().toString()
+    assert "LeftSemi" in plan and "Hint" not in plan

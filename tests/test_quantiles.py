@@ -1,30 +1,78 @@
-"""Bounded exact quantiles against numpy / Spark's exact percentile."""
+"""Exact quantiles by rank narrowing against numpy, and how many scans they take."""
+
+import math
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from segstats.operators import quantiles
 from segstats.operators.quantiles import exact_quantiles
 
 PROBS = [0.0, 0.25, 0.5, 0.75, 1.0, 0.1, 0.9]
 
 
-@pytest.mark.parametrize("max_candidates", [5, 50, 100_000])
-def test_matches_numpy_continuous_and_ties(spark, max_candidates):
+def numpy_quantiles(values, probs):
+    """numpy's linear interpolation, whose neighbours may be infinite."""
+    s = sorted(values)
+    out = []
+    for p in probs:
+        pos = p * (len(s) - 1)
+        a, b = s[math.floor(pos)], s[math.ceil(pos)]
+        out.append(a if a == b or pos == int(pos) else (math.ceil(pos) - pos) * a + (pos - math.floor(pos)) * b)
+    return out
+
+
+@pytest.fixture
+def scans(monkeypatch):
+    """Counts the jobs' collects: one for each scan."""
+    seen = []
+    collect = DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: seen.append(1) or collect(self))
+    return seen
+
+
+SETS = {
+    "continuous": lambda r: r.lognormal(3, 1.5, 3000),
+    "ties": lambda r: np.concatenate([np.full(1400, 7.25), r.normal(0, 1, 300), [1e-300, -1e300]]),
+    "one": lambda r: np.array([4.0]),
+    "two": lambda r: np.array([4.0, 9.0]),
+    "infinite": lambda r: np.concatenate([r.normal(0, 1, 900), [math.inf]]),
+    "both_infinite": lambda r: np.concatenate([r.normal(0, 1, 900), [math.inf, -math.inf, -math.inf]]),
+    "extreme": lambda r: np.concatenate([r.normal(0, 1, 900), [1.7e308, -1.7e308]]),
+    "geometric": lambda r: 2.0 ** np.arange(-500, 500),
+}
+
+
+@pytest.mark.parametrize("rows_at_once", [3, 50, quantiles.ROWS_AT_ONCE])
+def test_matches_numpy_in_few_scans(spark, scans, rows_at_once):
     rng = np.random.default_rng(11)
-    a = rng.lognormal(3, 1.5, 1500)
-    b = np.concatenate([np.full(400, 7.25), rng.normal(0, 1, 300), [1e-300, -1e300]])
-    data = [("a", float(x)) for x in a] + [("b", float(x)) for x in b] + [("c", None)]
+    sets = {k: make(rng) for k, make in SETS.items()}
+    data = [(k, float(x)) for k, xs in sets.items() for x in xs] + [("none", None)]
     df = spark.createDataFrame(data, "g string, v double")
-    got = exact_quantiles(df, "g", "v", PROBS, max_candidates=max_candidates, buckets=16)
-    assert set(got) == {"a", "b"}
-    for g, values in (("a", a), ("b", b)):
-        assert got[g] == pytest.approx(list(np.percentile(values, [p * 100 for p in PROBS])), rel=1e-12)
-
-
-def test_weights_and_spark_percentile(spark):
-    df = spark.createDataFrame([("x", 1.0, 3), ("x", 2.0, 1), ("x", 10.0, 2), ("y", 4.0, 5)], "g string, v double, w bigint")
-    got = exact_quantiles(df, "g", "v", [0.25, 0.5, 0.75], weight="w", max_candidates=1, buckets=2)
-    q = F.percentile(F.col("v"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("w"))
-    expected = {r["g"]: r["q"] for r in df.groupBy("g").agg(q.alias("q")).collect()}
-    assert got == {k: list(v) for k, v in expected.items()}
+    got = exact_quantiles(df, "g", "v", PROBS, rows_at_once=rows_at_once)
+    assert len(scans) <= 4
+    assert set(got) == set(sets)
+    for g, values in sets.items():
+        assert got[g] == pytest.approx(numpy_quantiles(values, PROBS), rel=1e-12), g
+
+
+def test_matches_spark_percentile(spark):
+    df = spark.range(100_000).select((F.col("id") % 3).alias("g"), (F.hash("id") / 7.0).alias("v"))
+    probs = [0.25, 0.5, 0.75]
+    got = exact_quantiles(df, "g", "v", probs, rows_at_once=10)
+    q = F.percentile("v", F.array(*map(F.lit, probs)))
+    assert got == {r["g"]: list(r["q"]) for r in df.groupBy("g").agg(q.alias("q")).collect()}
+
+
+def test_a_bracket_that_misses_is_widened(spark, monkeypatch):
+    """Even brackets that hold none of the wanted ranks end in the right values."""
+    df = spark.createDataFrame([("x", float(k)) for k in range(2000)], "g string, v double")
+    first = [{"_g": "x", "n": 2000, "lo": 0.0, "hi": 1999.0, "near": [1500.0, 1501.0]}]
+    assert exact_quantiles(df, "g", "v", [0.5], first=first, rows_at_once=5) == {"x": [999.5]}
+
+
+def test_only_nulls(spark):
+    df = spark.createDataFrame([("x", None)], "g string, v double")
+    assert exact_quantiles(df, "g", "v", [0.5]) == {}

@@ -60,3 +60,33 @@ def test_duplicate_header_names(spark):
     df = read_records(spark, path)
     assert df.columns == ["a", "a.1", "b", "a.2"]
     assert rows(df) == [{"a": 1, "a.1": 2, "b": 3, "a.2": 4}]
+
+
+@pytest.mark.parametrize("row", ["4,5,6,", '4,5,6,""', '"4","5","6","7"', "4,5,6,NA"])
+def test_every_long_row_is_refused(spark, row):
+    path = write(spark, f"a,b,c\n1,2,3\n{row}\n")
+    with pytest.raises(ValueError, match="more fields"):
+        read_records(spark, path)
+
+
+def test_separators_and_quotes_inside_quotes_are_no_fields(spark):
+    path = write(spark, 'a,b,c\n"1,1","x ""y, z""",3\n"2,2",","\n')
+    out = rows(read_records(spark, path).orderBy("a"))
+    assert out[0] == {"a": "1,1", "b": 'x "y, z"', "c": 3}
+    assert out[1] == {"a": "2,2", "b": ",", "c": None}
+
+
+def test_schema_is_matched_by_header_name(spark):
+    path = write(spark, "b,a\nx,1\ny,2\n")
+    df = read_records(spark, path, schema="a int, b string")
+    assert rows(df.orderBy("a")) == [{"a": 1, "b": "x"}, {"a": 2, "b": "y"}]
+    with pytest.raises(ValueError, match="no column c"):
+        read_records(spark, path, schema="a int, c string")
+
+
+def test_files_with_different_headers_are_refused(spark):
+    path = shared_dir(spark, "csv-headers")
+    for name, text in (("x", "a,b\n1,2"), ("y", "b,a\n3,4")):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{path}/{name}")
+    with pytest.raises(ValueError, match="headers"):
+        read_records(spark, f"{path}/*")
