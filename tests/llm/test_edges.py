@@ -111,7 +111,7 @@ def test_quality(spark, docs, empty):
     kept = quality.keep_accepted(docs, labels)
     assert kept.columns == docs.columns and kept_own(kept)
     assert quality.train(measured, labels.filter("false")) == 0.5
-    assert quality.train(measured, labels.filter("quality = 1")) == pytest.approx(5 / 6)
+    assert quality.train(measured, labels.filter("quality = 1")) == pytest.approx(4 / 5)
     assert quality.keep_accepted(docs, labels.filter("quality = 1")).count() == len(ROWS)
     assert quality.keep_accepted(empty, labels).count() == 0
     assert all(np.isfinite(quality.statistics(t)).all() for t in ("", " ", "\n", "\ud800", "x" * 10**6))

@@ -359,8 +359,8 @@ def test_entropy_windows(spark):
 
     texts = [
         "x kJ8dL2mQ9vR4tY7uI0pA3sD6fG1h y",
-        "aaaaaaaaaaaaaaaaaaaaaaaaa1Bq9Zk3Lp7Xw2Vn8Rt4Ys6aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa",
-        "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1",
+        "z" * 25 + "1Bq9Zk3Lp7Xw2Vn8Rt4Ys6" + "z" * 40,
+        "z" * 30 + "1z",
     ]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
     found, name = secrets.with_spans(df)
