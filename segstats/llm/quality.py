@@ -134,14 +134,18 @@ def features(text: Column) -> Column:
     return of(text)
 
 
-def moments(rows: DataFrame, label: str, column: str) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
-    """Rows, sums and sums of products of the statistics per class: one aggregate over all rows, two result rows."""
+def moments(rows: DataFrame, label: str, column: str, weight: str) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+    """Rows, sums and sums of products of the statistics per class, each row counted ``weight`` times.
+
+    One aggregate over all rows with partial sums in the tasks; two result rows.
+    """
     size = len(FEATURES)
-    x = [F.col(column)[i] for i in range(size)]
+    x, w = [F.col(column)[i] for i in range(size)], F.col(weight)
     pairs = [(i, j) for i in range(size) for j in range(i, size)]
-    sums = [F.sum(v).alias(f"s{i}") for i, v in enumerate(x)] + [F.sum(x[i] * x[j]).alias(f"p{i}_{j}") for i, j in pairs]
+    sums = [F.sum(w * v).alias(f"s{i}") for i, v in enumerate(x)]
+    sums += [F.sum(w * x[i] * x[j]).alias(f"p{i}_{j}") for i, j in pairs]
     out = {}
-    for r in rows.filter(F.col(label).isin(0, 1)).groupBy(label).agg(F.count("*").alias("n"), *sums).collect():
+    for r in rows.groupBy(label).agg(F.sum(w).alias("n"), *sums).collect():
         products = np.zeros((size, size))
         for i, j in pairs:
             products[i, j] = products[j, i] = r[f"p{i}_{j}"]
@@ -154,13 +158,18 @@ def train(measured: DataFrame, labels: DataFrame, learn: Column | None = None, i
 
     ``learn`` says which label rows may be used (all by default). Labels that
     are null or neither 0 nor 1, and labels or documents without partner, are
-    not used; repeated labels count repeatedly. Without labels, or with one
-    class alone, every score is a constant (see ``fit``).
+    not used; repeated labels count repeatedly, but are counted per document
+    before the join, so that an id repeated on both sides does not multiply.
+    Without labels, or with one class alone, every score is a constant (see
+    ``fit``).
     """
     usable = labels if learn is None else labels.filter(learn)
-    usable = usable.select(F.col(id_col).alias("_id"), F.col("quality").cast("int").alias("_quality"))
-    known = measured.select(F.col(id_col).alias("_id"), "features").join(usable, "_id")
-    return fit(moments(known, "_quality", "features"))
+    quality = F.col("quality").cast("int")
+    votes = usable.groupBy(F.col(id_col).alias("_id")).agg(*[F.count_if(quality == c).alias(f"_n{c}") for c in (0, 1)])
+    known = measured.select(F.col(id_col).alias("_id"), "features").join(votes, "_id")
+    classes = F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"_n{c}").alias("n")) for c in (0, 1)])
+    each = known.select("features", F.explode(classes).alias("v")).select("features", "v.c", "v.n").filter("n > 0")
+    return fit(moments(each, "c", "features", "n"))
 
 
 def score(features_column: Column, model: Discriminant | float) -> Column:

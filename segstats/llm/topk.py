@@ -135,7 +135,7 @@ def top_k(
     blocks = -(-queries.count() // query_block)
     found = None
     for block in range(blocks):
-        some = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).collect()  # about query_block rows
+        some = queries.filter(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)) == block).collect()  # about query_block rows
         best = _search(rows, [r["vec_id"] for r in some], [r["v"] for r in some], k)
         found = best if found is None else found.union(best)
     if found is None:

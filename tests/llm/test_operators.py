@@ -231,10 +231,12 @@ def test_moments_match_numpy(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, len(quality.FEATURES)))
     y = rng.integers(0, 2, 300)
-    df = spark.createDataFrame([(int(c), v.tolist()) for c, v in zip(y, x)], "q int, features array<double>")
-    got = quality.moments(df, "q", "features")
+    df = spark.createDataFrame([(int(c), v.tolist(), 1) for c, v in zip(y, x)], "q int, features array<double>, w int")
+    got = quality.moments(df, "q", "features", "w")
+    twice = quality.moments(df.withColumn("w", F.lit(2)), "q", "features", "w")
     for c in (0, 1):
         n, s, p = got[c]
+        assert twice[c][0] == 2 * n and np.allclose(twice[c][2], 2 * p)
         assert n == (y == c).sum() and np.allclose(s, x[y == c].sum(0)) and np.allclose(p, x[y == c].T @ x[y == c])
     model = quality.fit(got, shrink=0.0, ridge=0.0)
     direct = []
