@@ -47,6 +47,18 @@ def file_system(folder: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
 
 
+def _publish(store, own: str, final: str) -> None:
+    """Rename a finished file; where another attempt of the same task was first, its equal file stays."""
+    from pyarrow import fs
+
+    try:
+        store.move(own, final)
+    except OSError:
+        if store.get_file_info(final).type == fs.FileType.NotFound:
+            raise
+        store.delete_file(own)
+
+
 def _dictionary_samples(docs: DataFrame, tokenizer: str, width: int) -> list[bytes]:
     """Slices of the ids of a bounded random sample of documents, evenly spaced in each."""
     rows = docs.count()
@@ -161,7 +173,7 @@ def write_token_files(
             f.write(struct.pack(HEADER, MAGIC, width, _hash(shared), len(index)))
             f.write(index.tobytes())
         for kind in ("bin", "idx"):
-            store.move(f"{own}.{kind}", f"{root}/{name}.{kind}")
+            _publish(store, f"{own}.{kind}", f"{root}/{name}.{kind}")
         yield pa.RecordBatch.from_arrays(
             [pa.array([part], pa.int32()), pa.array([len(index)], pa.int64()), pa.array([start], pa.int64())],
             ["shard", "n_docs", "n_tokens"],
