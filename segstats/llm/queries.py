@@ -133,5 +133,72 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-#: DuckDB SQL of the queries it can express.
-ORACLE_SQL: dict[str, str] = {}
+def _top_k_sql(k: int = 10, scale: int = 1024) -> str:
+    return f"""
+WITH v AS (SELECT CAST(vec_id AS BIGINT) AS vec_id,
+                  list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * {scale}) AS BIGINT)) AS e
+           FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id,
+             CAST(coalesce(list_sum(list_transform(list_zip(q.e, v.e), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
+      FROM v AS q JOIN v ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id AND len(v.e) = len(q.e)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {k}"""
+
+
+def _url_sql() -> str:
+    """Rules, then Witten-Bell models of order 0 to 2 over the ruled URLs and the calibrated mean log ratio."""
+    fits = [
+        (f"((host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}'))", r)
+        for r in sorted(RULES, key=lambda r: -len(r.text))
+    ]
+    rule = "CASE " + " ".join(f"WHEN {f} THEN '{r.text}'" for f, r in fits) + " END"
+    said = "CASE " + " ".join(f"WHEN {f} THEN '{r.verdict}'" for f, r in fits) + " END"
+    size = urls.SYMBOLS
+
+    def probability(side: str) -> str:
+        """The chain of backed-off probabilities of one side, for each gram that any URL holds."""
+        return f"""
+{side}_c AS (SELECT g, CAST(sum(n) AS DOUBLE) AS n FROM grams WHERE said = '{side}' GROUP BY g),
+{side}_0 AS (SELECT g % {size} AS s, sum(n) AS n FROM {side}_c GROUP BY 1),
+{side}_1 AS (SELECT g % {size * size} AS s, sum(n) AS n FROM {side}_c GROUP BY 1),
+{side}_t0 AS (SELECT sum(n) AS n, count(*) AS k FROM {side}_0),
+{side}_t1 AS (SELECT s // {size} AS c, sum(n) AS n, count(*) AS k FROM {side}_1 GROUP BY 1),
+{side}_t2 AS (SELECT g // {size} AS c, sum(n) AS n, count(*) AS k FROM {side}_c GROUP BY 1),
+{side}_p0 AS (SELECT a.g, CASE WHEN t.n > 0 THEN (coalesce(o.n, 0) + t.k / {size}.0) / (t.n + t.k) ELSE 1 / {size}.0 END AS p
+              FROM every a CROSS JOIN {side}_t0 t LEFT JOIN {side}_0 o ON o.s = a.g % {size}),
+{side}_p1 AS (SELECT a.g, CASE WHEN t.n > 0 THEN (coalesce(o.n, 0) + t.k * a.p) / (t.n + t.k) ELSE a.p END AS p
+              FROM {side}_p0 a LEFT JOIN {side}_t1 t ON t.c = (a.g % {size * size}) // {size}
+              LEFT JOIN {side}_1 o ON o.s = a.g % {size * size}),
+{side}_p2 AS (SELECT a.g, CASE WHEN t.n > 0 THEN (coalesce(o.n, 0) + t.k * a.p) / (t.n + t.k) ELSE a.p END AS p
+              FROM {side}_p1 a LEFT JOIN {side}_t2 t ON t.c = a.g // {size} LEFT JOIN {side}_c o ON o.g = a.g)"""
+
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH a AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{upper}', '{lower}') AS host,
+                  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+b AS (SELECT *, {rule} AS rule, {said} AS said FROM a),
+texts AS (SELECT host, path, said, count(*) AS n FROM b GROUP BY ALL),
+codes AS (SELECT *, list_concat([1, 1], list_transform(
+            string_split(replace(regexp_replace(lower(host || path), '[0-9]', '0', 'g'), '$', '?'), ''),
+            lambda c: instr('{urls.ALPHABET}', c)), [1]) AS c0 FROM texts),
+shaped AS (SELECT host, path, said, n, CASE WHEN host || path = '' THEN [1, 1, 1] ELSE c0 END AS c FROM codes),
+grams AS (SELECT host, path, said, n,
+                 unnest(list_transform(range(3, len(c) + 1), lambda i: (c[i - 2] * {size} + c[i - 1]) * {size} + c[i])) AS g
+          FROM shaped),
+every AS (SELECT DISTINCT g FROM grams),{probability('allow')},{probability('block')},
+ratios AS (SELECT x.g, ln(x.p) - ln(y.p) AS r FROM allow_p2 x JOIN block_p2 y ON x.g = y.g),
+scored AS (SELECT host, path, said, n, avg(r) AS score FROM grams JOIN ratios USING (g) GROUP BY ALL),
+side AS (SELECT said, sum(n * score) / sum(n) AS m, sqrt(greatest(sum(n * score * score) / sum(n) - pow(sum(n * score) / sum(n), 2), 0)) AS d
+         FROM scored WHERE said IS NOT NULL GROUP BY said),
+cut AS (SELECT CASE WHEN x.d + y.d > 0 THEN (x.m * y.d + y.m * x.d) / (x.d + y.d) ELSE (x.m + y.m) / 2 END AS t
+        FROM side x JOIN side y ON x.said = 'allow' AND y.said = 'block')
+SELECT b.page_id, b.host, b.path, b.rule,
+       CASE WHEN b.said IS NOT NULL THEN b.said
+            WHEN (SELECT t FROM cut) IS NULL OR s.score >= (SELECT t FROM cut) THEN 'allow' ELSE 'block' END AS verdict
+FROM b LEFT JOIN (SELECT * FROM scored WHERE said IS NULL) s ON b.host = s.host AND b.path = s.path"""
+
+
+#: DuckDB SQL of the queries it can express; the others are held against plain versions in tests.
+ORACLE_SQL: dict[str, str] = {"op8_top_k": _top_k_sql(), "op10_url_filter": _url_sql()}

@@ -472,3 +472,21 @@ def test_url_method_separates_unlike_urls(spark):
     rows += [(200, "http://good.site/en/recipes/7"), (201, "http://xxwin.casino/q/7")]
     got = {r["page_id"]: r["verdict"] for r in urls.judged(spark.createDataFrame(rows, "page_id long, url string"), RULES).collect()}
     assert got[200] == "allow" and got[201] == "block"
+
+
+@pytest.mark.parametrize("name", ["op8_top_k", "op10_url_filter"])
+def test_query_matches_sql(spark, name):
+    import duckdb
+
+    from segstats.llm.queries import ORACLE_SQL
+
+    con = duckdb.connect()
+    for t in ("pages", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_DIR}/{t}.parquet')")
+    got = queries()[name](spark, SF_DIR)
+    want = con.sql(ORACLE_SQL[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    rows = {tuple(r[c] for c in want.columns) for r in got.collect()}
+    assert rows == set(want.fetchall())
+    kinds = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR"}
+    assert {f.name: kinds[f.dataType.simpleString()] for f in got.schema} == dict(zip(want.columns, map(str, want.types)))
