@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,12 @@ MATCH, MISMATCH, GAP = 2, -1, -2
 THRESHOLD, SEED_WORDS, RARE, BLOCK_WORDS = 0.6, 3, 1e-4, 500_000
 
 #: Marks that don't tell words apart.
-_DROPPED = str.maketrans("", "", ".,!?;:\"'()[]*%$#&|")
+_DROPPED = b".,!?;:\"'()[]*%$#&|"
 
 
-def words_of(text: str) -> list[str]:
-    return text.lower().translate(_DROPPED).split()
+def words_of(text: str) -> list[bytes]:
+    """Lower-cased words between ASCII white space, as UTF-8 without the dropped marks."""
+    return text.lower().encode("utf-8", "surrogatepass").translate(None, _DROPPED).split()
 
 
 def edits_allowed(words: int, threshold: float) -> int:
@@ -56,35 +58,32 @@ class Block:
     ids: list
     items: list[np.ndarray]
     lengths: list[int]
-    vocabulary: dict[str, int]
+    vocabulary: dict[bytes, int]
     codes: dict[int, np.ndarray]  # by n, sorted
     places: dict[int, list[list[tuple[int, int]]]]  # by n, for each code: (item, position)
 
     def grams(self, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(position, number of the n-gram) of the block's n-grams in a text."""
         base = len(self.vocabulary) + 1
-        if len(ids) < n or not len(self.codes[n]):
-            return np.zeros(0, int), np.zeros(0, int)
         last = len(ids) - n + 1
-        code = np.zeros(last, "i8")
-        known = np.ones(last, bool)
+        if last < 1 or not len(self.codes[n]):
+            return np.zeros(0, int), np.zeros(0, int)
+        known = ids > 0
+        at = np.flatnonzero(np.logical_and.reduce([known[k : k + last] for k in range(n)]))
+        code = np.zeros(len(at), "i8")
         for k in range(n):
-            part = ids[k : k + last]
-            code = code * base + part
-            known &= part > 0
-        at = np.flatnonzero(known)
-        place = np.searchsorted(self.codes[n], code[at])
-        place = np.minimum(place, len(self.codes[n]) - 1)
-        hit = self.codes[n][place] == code[at]
+            code = code * base + ids[at + k]
+        place = np.minimum(np.searchsorted(self.codes[n], code), len(self.codes[n]) - 1)
+        hit = self.codes[n][place] == code
         return at[hit], place[hit]
 
     def ids_of(self, text: str) -> np.ndarray:
-        get = self.vocabulary.get
-        return np.array([get(w, 0) for w in words_of(text)], "i8")
+        words = words_of(text)
+        return np.fromiter(map(self.vocabulary.get, words, repeat(0)), "i8", len(words))
 
 
-def make_block(items: list[tuple[object, list[str]]], threshold: float) -> Block:
-    vocabulary: dict[str, int] = {}
+def make_block(items: list[tuple[object, list[bytes]]], threshold: float) -> Block:
+    vocabulary: dict[bytes, int] = {}
     numbers = [np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words], "i8") for _, words in items]
     lengths = [seed_length(len(w), threshold) for _, w in items]
     base = len(vocabulary) + 1
@@ -102,7 +101,7 @@ def make_block(items: list[tuple[object, list[str]]], threshold: float) -> Block
 
 def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, threshold: float, block_words: int) -> Iterator[Block]:
     """The benchmark in blocks, streamed through the driver one partition at a time."""
-    held: list[tuple[object, list[str]]] = []
+    held: list[tuple[object, list[bytes]]] = []
     size = 0
     for r in benchmark.select(F.col(id_col).alias("i"), text_of(text_col).alias("t")).toLocalIterator():
         words = words_of(r["t"])
