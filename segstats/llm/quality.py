@@ -186,7 +186,12 @@ def score(features_column: Column, model: Discriminant | float) -> Column:
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, features) of every document, written once: what training and scoring read."""
+    """(doc_id, features) of every document, written once: what training and scoring read.
+
+    Null texts are empty ones, and the empty text has finite statistics;
+    repeated rows and null ids have a row each; an empty table gives none;
+    other columns are not read. Very long texts are measured whole.
+    """
     prepare_workers(docs.sparkSession)
     return write_table(docs.select(F.col(id_col), features(text_of(text_col)).alias("features")), "quality-features")
 

@@ -77,3 +77,19 @@ def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
     assert out.count() > 0
+
+
+def test_stages_on_odd_rows(spark):
+    from .test_edges import CLASHES, ROWS
+
+    odd = spark.createDataFrame(ROWS, "doc_id long, text string, lang string, n_chars long").withColumn("source", F.lit("s"))
+    odd = odd.select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(f"own {c}").alias(c) for c in CLASHES])
+    for docs in (odd, odd.filter("false")):
+        empty = docs is not odd
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, "/root/testdata/sf0.001")
+            rows = out.collect()
+            assert bool(rows) != empty
+            if name != "packing":
+                assert out.dtypes == docs.dtypes
+                assert all(r[c] == f"own {c}" for r in rows for c in CLASHES)
