@@ -1,7 +1,11 @@
 """A training corpus in five stages: quality, near-duplicates, benchmark copies, secrets, packing.
 
 Each stage reads its predecessor's rows as written and reread Parquet;
-all but the last keep the columns of ``documents``.
+all but the last keep the columns of ``documents``, whatever further columns
+there are and however they are named. In every stage a null text is an empty
+one (and stays null), rows with a null id are rows like any other, repeated
+rows are judged alike (near-duplicates leave one of them), texts of any length
+are read whole, and an empty table stays empty.
 """
 
 from __future__ import annotations
