@@ -53,6 +53,7 @@ def frequent_lengths(docs: DataFrame, tokenizer: str, text_col: str, table_words
         share.mapInArrow(frequent, "w string, n long")
         .groupBy("w")
         .agg(F.sum("n").alias("n"))
+        .filter("n > 1")
         .orderBy(F.desc("n"), "w")
         .limit(table_words)
         .collect()
