@@ -306,13 +306,13 @@ def keep_one(
     Among rows equal in id and text any one stays. Columns are unchanged.
     """
     found = near_duplicates(docs, shingle, max_distance, id_col, text_col)
-    rows = found.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
-    best = rows.groupBy("root").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best")
-    )
-    judged = rows.join(best, "root").withColumn(
-        "keep", F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.text_hash") == F.col("text_hash"))
-    )
+    rows = found.groupBy("root", "component_id", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    # A row knows its class's smallest id, so a large class is not gathered: few rows are left to choose among.
+    smallest = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    first = rows.filter(smallest)
+    best = first.groupBy("root").agg(F.min("text_hash").alias("best"))
+    chosen = first.join(best, "root").withColumn("keep", F.col("text_hash") == F.col("best")).drop("best")
+    judged = chosen.unionByName(rows.filter(~smallest).withColumn("keep", F.lit(False)))
     judged = write_table(judged.select("doc_id", "text_hash", "n", "keep"), "simhash-kept")
     mark = fresh_name("_text_hash", docs.columns)
     hashed = docs.withColumn(mark, F.xxhash64(text_of(text_col)))
