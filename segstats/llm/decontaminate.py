@@ -1,11 +1,13 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 The benchmark's word n-grams are counted over all documents; each item keeps
-as seeds its rarest n-grams, enough disjoint ones that any copy scoring at
-least the threshold through replaced or left-out words still holds one whole,
-and all that are rare in the corpus. Where a document holds a seed, the
-passage around it is aligned with the item; the score is that of the best
-local alignment as a share of the item's own. Items are handled in blocks of
+as seeds its rarest n-grams, so many that breaking them all, by whatever
+replaced, inserted or left-out words, costs more than the threshold allows,
+and all that are rare in the corpus. So a copy that scores at least the
+threshold holds a seed whole. Where a document holds a seed, and n-grams of
+the item in whose absence the threshold can still be reached, the passage
+around it is aligned with the item; the score is that of the best local
+alignment as a share of the item's own. Items are handled in blocks of
 bounded size that are broadcast; documents never move.
 """
 
@@ -14,6 +16,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -38,29 +41,50 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(None, _DROPPED).split()
 
 
-def edits_allowed(words: int, threshold: float) -> int:
-    """Replaced words with which a whole copy still reaches the threshold."""
-    return int((1 - threshold) * MATCH * words / (MATCH - MISMATCH) + 1e-9)
+def loss_allowed(words: int, threshold: float) -> float:
+    """What edits may take from an item's own score before a copy falls under the threshold."""
+    return (1 - threshold) * MATCH * words + 1e-9
 
 
+def breaking_cost(positions: list[int], n: int) -> int:
+    """The least loss of score by which no n-gram at these (ascending) positions of an item stays whole.
+
+    A replaced word breaks the n n-grams over it, an inserted one the n - 1
+    around it; a left-out word costs more than a replaced one, and a cut-off end
+    breaks one n-gram a word, which an insertion does for no more unless n is 1.
+    """
+    replaced, inserted, reach = MATCH - MISMATCH, min(-GAP, MATCH), max(n - 1, 1)
+    cost = [0] * (len(positions) + 1)  # from each position on
+    after_replaced = after_inserted = len(positions)
+    for k in range(len(positions) - 1, -1, -1):
+        p = positions[k]
+        while positions[after_replaced - 1] >= p + n:
+            after_replaced -= 1
+        while positions[after_inserted - 1] >= p + reach:
+            after_inserted -= 1
+        cost[k] = min(replaced + cost[after_replaced], inserted + cost[after_inserted])
+    return cost[0]
+
+
+@lru_cache(maxsize=10_000)
 def seed_length(words: int, threshold: float) -> int:
-    """The longest seeds of which a copy with all allowed edits still holds one of a tiling."""
+    """The longest seeds of which every copy that reaches the threshold holds one whole."""
     for n in range(min(SEED_WORDS, words), 1, -1):
-        if words // n > edits_allowed(words, threshold):
+        if breaking_cost(list(range(words - n + 1)), n) > loss_allowed(words, threshold):
             return n
     return 1
 
 
 @dataclass
 class Block:
-    """Some benchmark items: their words as numbers from 1, and where each n-gram (as one number) occurs."""
+    """Some benchmark items: their words as numbers from 1, and which n-grams (each as one number) they hold."""
 
     ids: list
     items: list[np.ndarray]
     lengths: list[int]
     vocabulary: dict[bytes, int]
     codes: dict[int, np.ndarray]  # by n, sorted
-    places: dict[int, list[list[tuple[int, int]]]]  # by n, for each code: (item, position)
+    numbers: list[np.ndarray]  # of each item's n-grams in codes, by position
 
     def grams(self, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(position, number of the n-gram) of the block's n-grams in a text."""
@@ -87,15 +111,14 @@ def make_block(items: list[tuple[object, list[bytes]]], threshold: float) -> Blo
     numbers = [np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words], "i8") for _, words in items]
     lengths = [seed_length(len(w), threshold) for _, w in items]
     base = len(vocabulary) + 1
-    found: dict[int, dict[int, list]] = {n: defaultdict(list) for n in set(lengths)}
-    for i, (ids, n) in enumerate(zip(numbers, lengths)):
-        for p in range(len(ids) - n + 1):
-            code = 0
-            for w in ids[p : p + n].tolist():
-                code = code * base + w
-            found[n][code].append((i, p))
-    codes = {n: np.array(sorted(f), "i8") for n, f in found.items()}
-    places = {n: [found[n][c] for c in codes[n].tolist()] for n in found}
+    grams = []
+    for ids, n in zip(numbers, lengths):
+        code = np.zeros(len(ids) - n + 1, "i8")
+        for k in range(n):
+            code = code * base + ids[k : k + len(code)]
+        grams.append(code)
+    codes = {n: np.unique(np.concatenate([g for g, m in zip(grams, lengths) if m == n])) for n in set(lengths)}
+    places = [np.searchsorted(codes[n], g).astype("i4") for g, n in zip(grams, lengths)]
     return Block([i for i, _ in items], numbers, lengths, vocabulary, codes, places)
 
 
@@ -142,23 +165,20 @@ def document_frequencies(docs: DataFrame, block: Block, text_col: str) -> dict[i
 
 def choose_seeds(block: Block, frequency: dict[int, np.ndarray], rows: int, threshold: float, rare: float) -> dict[int, list]:
     """By n, for each n-gram, the (item, position) pairs for which it is a seed."""
-    number: list[dict[int, int]] = [{} for _ in block.items]
-    for n, places in block.places.items():
-        for g, where in enumerate(places):
-            for i, p in where:
-                number[i][p] = g
     chosen: dict[int, list] = {n: [[] for _ in c] for n, c in block.codes.items()}
-    for i, (ids, n) in enumerate(zip(block.items, block.lengths)):
-        need = min(edits_allowed(len(ids), threshold) + 1, len(ids) // n)
-        cost = [int(frequency[n][number[i][p]]) for p in range(len(ids) - n + 1)]
-        tilings = []
-        for phase in range(n):
-            tiles = sorted(range(phase, len(cost), n), key=cost.__getitem__)[:need]
-            if len(tiles) == need:
-                tilings.append((sum(cost[p] for p in tiles), phase, tiles))
-        seeds = set(min(tilings)[2]) | {p for p, c in enumerate(cost) if c <= rare * rows}
-        for p in seeds:
-            chosen[n][number[i][p]].append((i, p))
+    for i, (ids, n, grams) in enumerate(zip(block.items, block.lengths, block.numbers)):
+        cost = frequency[n][grams]
+        order = np.argsort(cost, kind="stable")
+        allowed = loss_allowed(len(ids), threshold)
+        low, high = 1, len(order)  # the fewest of the rarest that can't all be broken
+        while low < high:
+            middle = (low + high) // 2
+            if breaking_cost(np.sort(order[:middle]).tolist(), n) > allowed:
+                high = middle
+            else:
+                low = middle + 1
+        for p in order[: max(low, int((cost <= rare * rows).sum()))].tolist():
+            chosen[n][grams[p]].append((i, p))
     return chosen
 
 
@@ -188,20 +208,29 @@ class Matcher:
         block = self.block
         ids = block.ids_of(text)
         spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for n in block.codes:
-            for at, gram in zip(*(x.tolist() for x in block.grams(ids, n))):
+        held = {n: block.grams(ids, n) for n in block.codes}
+        for n, grams in held.items():
+            for at, gram in zip(*(x.tolist() for x in grams)):
                 for i, p in self.seeds[n][gram]:
                     size = len(block.items[i])
-                    slack = int((1 - self.threshold) * MATCH * size / -GAP) + 1  # words that gaps may shift
+                    slack = int(loss_allowed(size, self.threshold) / -GAP) + 1  # words that gaps may shift
                     spans[i].append((max(0, at - p - slack), min(len(ids), at - p + size + slack)))
         out = []
         for i, found in spans.items():
             full = MATCH * len(block.items[i])
-            best = max(self._align(i, ids[a:b]) for a, b in merged(found))
+            passages = [(a, b) for a, b in merged(found) if self._may_hold(i, *held[block.lengths[i]], a, b)]
+            best = max((self._align(i, ids[a:b]) for a, b in passages), default=0)
             if best >= self.threshold * full:
                 out.append((block.ids[i], best / full))
         return out
 
+    def _may_hold(self, i: int, at: np.ndarray, grams: np.ndarray, a: int, b: int) -> bool:
+        """Whether the item's n-grams that words a to b don't hold can be missing from a copy."""
+        block, n = self.block, self.block.lengths[i]
+        inside = grams[np.searchsorted(at, a) : np.searchsorted(at, b - n, side="right")]
+        missing = np.flatnonzero(~np.isin(block.numbers[i], inside)).tolist()
+        return breaking_cost(missing, n) <= loss_allowed(len(block.items[i]), self.threshold)
+
     def _align(self, i: int, passage: np.ndarray) -> int:
         key = (i, passage.tobytes())
         if key not in self.known:

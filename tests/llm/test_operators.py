@@ -150,6 +150,60 @@ def test_decontamination_finds_whole_and_edited_copies(spark):
     assert len(set(map(str, whole.values()))) == 1
 
 
+@pytest.mark.parametrize("rows", [60, 12_000])
+def test_decontamination_finds_inserted_and_mixed_edits(spark, rows):
+    rng = random.Random(11)
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(size))) for k, size in enumerate([15, 40, 10, 9, 7, 5, 3, 2, 1, 23])]
+    own = {k: t.split() for k, t in items}
+    spread = lambda w, tile: [x for j, v in enumerate(w) for x in ([v, "put"] if j % tile == tile // 2 else [v])]
+
+    def mixed(words):
+        out = []
+        for w in words:
+            act = rng.random()
+            out += ["new"] if act < 0.1 else [] if act < 0.15 else [w, "put"] if act < 0.35 else [w]
+        return out
+
+    docs = [["f1", *spread(own[0], 3), "f2"], ["f3", *spread(own[1], 3)], [*spread(own[2], 3)[:-1], "f4"]]
+    docs += [["f5", *mixed(own[k]), "f6", "f7"] for k in own for _ in range(rows // 30)]
+    docs += [["f8", *own[0]] for _ in range(rows // 20)]  # a hot item
+    docs += [[f"f{rng.randrange(50)}" for _ in range(20)] for _ in range(rows - len(docs))]
+    frame = spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(docs)], "doc_id long, text string").repartition(3)
+    found, name = decontaminate.with_matches(frame, spark.createDataFrame(items, "item_id long, text string"))
+    got = {r["doc_id"]: {m["item_id"]: m["score"] for m in r[name]} for r in found.collect()}
+    assert 0 in got[0] and 1 in got[1] and 2 in got[2]
+    known: dict[str, dict] = {}
+    for d, words in enumerate(docs):
+        if words[0] not in ("f5", "f8") and d > 2:
+            assert got[d] == {}
+            continue
+        text = " ".join(words)
+        if text not in known:
+            shares = {k: brute.smith_waterman(w, words) / (2 * len(w)) for k, w in own.items()}
+            known[text] = {k: s for k, s in shares.items() if s >= 0.6}
+        assert got[d] == known[text]
+
+
+def test_breaking_cost_is_the_least_loss():
+    rng = random.Random(4)
+    for _ in range(60):
+        n, size = rng.randrange(1, 4), rng.randrange(3, 8)
+        chosen = sorted(rng.sample(range(size - n + 1), rng.randrange(1, size - n + 2)))
+        best = 2 * size
+        for cut in range(size + 1):  # every word kept, replaced or cut off at the end; every place with or without an insertion
+            for replaced in range(1 << size):
+                gone = {j for j in range(size) if replaced >> j & 1 or j < cut}
+                left = [p for p in chosen if not gone & set(range(p, p + n))]
+                put, last = 0, -1
+                for p in left if n > 1 else ():
+                    if last < p + 1:
+                        put, last = put + 1, p + n - 1
+                if n > 1 or not left:
+                    best = min(best, 2 * cut + 3 * sum(j >= cut for j in gone) + 2 * put)
+        assert decontaminate.breaking_cost(chosen, n) <= best
+        assert n == 1 or decontaminate.breaking_cost(chosen, n) == best
+
+
 def test_alignment_is_smith_waterman():
     rng = np.random.default_rng(5)
     for _ in range(60):
