@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 
 from segstats.llm.common import fresh_name, prepare_workers, text_of
 
-#: Fixed values of HTML: elements whose content is not text, elements without an end tag, inline elements.
-RAW = "script style noscript template iframe object svg math canvas audio video textarea select title".split()
+#: Fixed values of HTML: elements that hold characters only, up to their end tag; elements whose content is markup but
+#: not text; elements without an end tag; inline elements.
+RAW = "script style noscript iframe textarea title".split()
+FOREIGN = {"svg", "math"}
+SKIPPED = FOREIGN | set("template object canvas audio video select".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small "
@@ -57,10 +60,13 @@ STOP_WORDS = frozenset(
 #: Characters under which a block is short and from which it is long; stop-word and link shares.
 SHORT, LONG, STOPS_LOW, STOPS_HIGH, LINKS = 70, 200, 0.08, 0.2, 0.5
 
-_RAW = re.compile(r"<(%s)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)" % "|".join(RAW), re.S | re.I)
+_ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+"
+#: In page order: comments, raw elements with what they hold, other tags (the last form is for a quote without partner).
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S,
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>"
+    r"|<(?P<raw>%s)(?=[\s/>])(?P<own>%s|[^>]*)>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)(%s)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>" % ("|".join(RAW), _ATTRIBUTES, _ATTRIBUTES),
+    re.S | re.I,
 )
 _MARK = re.compile(r"""\b(class|id|role|itemprop|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -167,18 +173,70 @@ class _Reader:
         self.open[tag] += 1
 
 
+def _tags(page: str) -> list[tuple[int, int, str, str, str]]:
+    """(start, end, "/" of an end tag, name, attributes) of what is not text, in page order; comments have neither name
+    nor attributes, raw elements only their own name and stand for all they hold."""
+    out = []
+    at = foreign = 0  # svg and math elements open
+    while m := _TOKEN.search(page, at):
+        at = m.end()
+        if m["raw"]:
+            if foreign and m["own"].endswith("/"):  # only there a raw element can be closed so
+                at = m.end("own") + 1
+            out.append((m.start(), at, "", m["raw"].lower(), ""))
+            continue
+        closing, tag, attributes = (m[3], m[4], m[5]) if m[4] else (m[6], m[7], m[8])
+        tag = tag.lower() if tag else ""
+        if tag in FOREIGN:
+            foreign = max(0, foreign - 1) if closing else foreign + (not attributes.endswith("/"))
+        out.append((m.start(), at, closing or "", tag, attributes or ""))
+    return out
+
+
+def _skips(tags: list[tuple[int, int, str, str, str]]) -> dict[int, int]:
+    """The elements without text that their own end tag closes inside their container: place of start and end tag."""
+    out: dict[int, int] = {}
+    if not any(t[3] in SKIPPED for t in tags):
+        return out
+    stack: list[tuple[str, int]] = []
+    opened: Counter[str] = Counter()
+    for k, (_, _, closing, tag, attributes) in enumerate(tags):
+        if not tag or tag in INLINE or tag in VOID or tag in RAW:
+            continue
+        if not closing:
+            if not attributes.endswith("/") or tag in SKIPPED - FOREIGN:
+                stack.append((tag, k))
+                opened[tag] += 1
+            continue
+        while opened[tag]:
+            name, start = stack.pop()
+            opened[name] -= 1
+            if name == tag:
+                if tag in SKIPPED:
+                    out[start] = k
+                break
+    return out
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order."""
-    page = _RAW.sub(" ", re.sub(r"<!--.*?(?:-->|\Z)", "", page, flags=re.S))
     reader = _Reader()
-    at = 0
-    for m in _TOKEN.finditer(page):
-        reader.text(page[at : m.start()])
-        at = m.end()
-        closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+    tags = _tags(page)
+    skips = _skips(tags)
+    at = last = 0
+    for k, (start, end, closing, tag, attributes) in enumerate(tags):
+        if k < last:  # inside an element without text
+            continue
+        reader.text(page[at:start])
+        at = end
         if not tag:
             continue
-        tag = tag.lower()
+        if tag in SKIPPED or (tag in RAW and not closing):
+            reader.text(" ")
+            if k in skips:
+                last = skips[k] + 1
+                at = tags[skips[k]][1]
+            continue
         if tag not in INLINE:
             reader.flush()
         if closing:

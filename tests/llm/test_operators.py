@@ -335,6 +335,30 @@ def test_extraction_rules(page, want):
     assert html_text.extract(page) == want
 
 
+@pytest.mark.parametrize(
+    "middle",
+    [
+        '<svg class="i"/>', "<math/>", '<object data="x">', "<p><svg><path d=x></p>", "<svg-icon>", "<video-js id=v></video-js>",
+        "<script-like>", "<script>a = '<!--';</script>", "<SCRIPT>a = '<!--'</SCRIPT >", "<style>/* <!-- */</style>",
+        "<svg><title/><path d=x /></svg>", "<!-- <script> -->", "<!-->", "<select><option>one</select>",
+        "<object data=x><div><svg>off</svg></div></object>", "<video src=x>", "<template><p>off</p></template>",
+        "<textarea><svg></textarea>", "<!-- </p><object> -->", "<audio src=x /><canvas id=c>",
+    ],
+)
+def test_markup_does_not_cut_the_page(middle):
+    page = f"<html><body><p>{LONG}</p>{middle}<p>{LONG}</p><div>{LONG}<svg>off</svg></div></body></html>"
+    got = [t for t in html_text.extract(page).split(LONG.strip()) if t.strip()]
+    assert got == [] and html_text.extract(page).count(LONG.strip()) == 3
+
+
+@pytest.mark.parametrize("name", html_text.RAW + sorted(html_text.SKIPPED))
+def test_elements_without_text(name):
+    page = f"<p>{LONG}<{name} a='>'><b>{LONG}</b> off</{name.upper()} > end.</p>"
+    assert html_text.extract(page) == f"{LONG.strip()} end."
+    rest = html_text.extract(f"<p>{LONG}</p><{name}><p>{LONG}</p>")
+    assert rest.count(LONG.strip()) == (1 if name in html_text.RAW else 2)
+
+
 def test_top_k_query(spark):
     vectors = [(r["vec_id"], r["embedding"]) for r in load_table(spark, SF_DIR, "embeddings").collect()]
     rows = queries()["op8_top_k"](spark, SF_DIR).orderBy("query_id", "rank").collect()
