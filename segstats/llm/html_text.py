@@ -2,7 +2,8 @@
 
 Pass one reads a page's blocks (runs of text between block-level tags) and
 decides the clear ones by structure, link density, length and stop-word
-density. Pass two gives every undecided block, short ones mostly, the label of
+density; what only a wrapper's name or a form marks as not the article is
+decided so too where the wrapper holds the page's prose. Pass two gives every undecided block, short ones mostly, the label of
 the nearest decided neighbours.
 """
 
@@ -31,7 +32,7 @@ INLINE = set(
     "span strike strong sub sup time tt u var wbr".split()
 )
 #: Elements, roles and words of class or id that mark what is not the article, and those that mark the article.
-ASIDE_TAGS = set("nav footer aside form button dialog menu fieldset".split())
+ASIDE_TAGS = set("nav footer aside button dialog menu fieldset".split())
 ASIDE_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 ASIDE_WORDS = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promoted nav navbar "
@@ -79,25 +80,58 @@ class Block:
     aside: bool
     main: int  # number of the innermost article element, 0 outside
     prose: bool  # a paragraph or heading
+    wrapper: int  # number of the innermost wrapper, 0 outside
     label: bool | None = None
 
 
-def _kind(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
-    """(not the article, the article) by an element's name, role and words of class or id."""
-    aside = tag in ASIDE_TAGS or (tag == "header" and not in_main)
+#: How sure a wrapper is not the article: one word of a name among others; a form; a whole name.
+PART, FORM, WHOLE = 1, 2, 3
+
+
+@dataclass
+class Wrapper:
+    """An element that is not the article by its name, or for being a form."""
+
+    kind: int
+    outer: int  # number of the wrapper around it, 0 outside
+    main: int  # number of the article element around it, 0 outside
+    held: int = 0  # characters of prose inside
+
+
+@dataclass
+class Main:
+    """An article element."""
+
+    wrapper: int  # number of the wrapper around it, 0 outside
+    sure: bool  # by its own tag <main> or role, or in no wrapper
+    held: int = 0  # characters of prose inside
+
+
+def _kind(tag: str, attributes: str, in_main: bool) -> tuple[bool, int, bool, bool]:
+    """(not the article, kind of wrapper or 0, the article, surely so) by an element's name, role and words of class or id."""
+    aside = tag in ASIDE_TAGS or (tag == "header" and not in_main) or (tag == "form" and in_main)
+    wrapper = FORM if tag == "form" and not in_main else 0
     main = tag in MAIN_TAGS
+    sure = tag == "main"
     for name, value in _MARK.findall(attributes):
         name = name.lower()
-        words = re.split(r"[^a-z0-9]+", value.lower())
+        value = value.lower()
+        words = re.split(r"[^a-z0-9]+", value)
         if name == "hidden" and not value:
             aside = True
         elif name == "role":
             aside |= any(w in ASIDE_ROLES for w in words)
             main |= "main" in words
+            sure |= "main" in words
         else:
-            aside |= any(w in ASIDE_WORDS for w in words)
+            for whole in value.strip("\"'").split():
+                marks = [w in ASIDE_WORDS for w in re.split(r"[^a-z0-9]+", whole) if w]
+                if any(marks):
+                    wrapper = max(wrapper, WHOLE if all(marks) else PART)
             main |= any(w in MAIN_WORDS for w in words)
-    return aside and tag not in ("body", "html"), main and not aside and tag not in ("body", "html", "p")
+    if tag in ("body", "html"):
+        return False, 0, False, False
+    return aside, wrapper, main and not aside and tag != "p" and (sure or not wrapper), sure
 
 
 @dataclass
@@ -109,6 +143,7 @@ class Open:
     main: int = 0
     prose: bool = False
     link: bool = False
+    wrapper: int = 0
 
 
 #: Elements that end an open one of their own kind, and headings.
@@ -125,7 +160,8 @@ class _Reader:
         self.open: Counter[str] = Counter()
         self.parts: list[str] = []
         self.linked = 0
-        self.mains = 0
+        self.mains = [Main(0, False)]
+        self.wrappers = [Wrapper(0, 0, 0)]
 
     def text(self, raw: str) -> None:
         if raw:
@@ -138,7 +174,7 @@ class _Reader:
         text = " ".join("".join(self.parts).split())
         if text:
             top = self.stack[-1]
-            self.blocks.append(Block(text, self.linked, top.aside, top.main, top.prose))
+            self.blocks.append(Block(text, self.linked, top.aside, top.main, top.prose, top.wrapper))
         self.parts.clear()
         self.linked = 0
 
@@ -163,13 +199,16 @@ class _Reader:
             if k and (last == "p" or last in HEADINGS and tag in HEADINGS or last == tag and tag in SIBLINGS):
                 self._cut(k)
         top = self.stack[-1]
-        off, on = _kind(tag, attributes, bool(top.main))
-        main = top.main
+        off, kind, on, sure = _kind(tag, attributes, bool(top.main))
+        main, wrapper = top.main, top.wrapper
         if on and not top.aside and not main:
-            self.mains += 1
-            main = self.mains
+            self.mains.append(Main(wrapper, sure or not wrapper))
+            main = len(self.mains) - 1
+        elif kind and not top.aside and not off:
+            self.wrappers.append(Wrapper(kind, wrapper, main))
+            wrapper = len(self.wrappers) - 1
         prose = top.prose or tag == "p" or tag in HEADINGS
-        self.stack.append(Open(tag, top.aside or off, main, prose, top.link or tag == "a"))
+        self.stack.append(Open(tag, top.aside or off, main, prose, top.link or tag == "a", wrapper))
         self.open[tag] += 1
 
 
@@ -245,15 +284,57 @@ def blocks(page: str) -> list[Block]:
             reader.start(tag, attributes)
     reader.text(page[at:])
     reader.flush()
+    settle(reader.blocks, reader.wrappers, reader.mains)
     return reader.blocks
 
 
+def _stops(text: str) -> float:
+    words = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def settle(found: list[Block], wrappers: list[Wrapper], mains: list[Main]) -> None:
+    """Decide which wrappers and which article elements inside of them count, by the prose they hold."""
+    if len(wrappers) == 1:
+        return
+    total = 0
+    for b in found:
+        if not b.aside and len(b.text) >= SHORT and b.linked <= LINKS * len(b.text.replace(" ", "")) and _stops(b.text) >= STOPS_LOW:
+            total += len(b.text)
+            wrappers[b.wrapper].held += len(b.text)
+            mains[b.main].held += len(b.text)
+    for w in reversed(wrappers[1:]):
+        wrappers[w.outer].held += w.held
+    # article elements in wrappers: if there are no others, and the page's prose is theirs
+    others = [m for m in mains[1:] if not m.sure]
+    if not any(m.sure for m in mains) and 2 * sum(m.held for m in others) >= total:
+        for m in others:
+            m.sure = True
+    off = [False]
+    for w in wrappers[1:]:
+        inside = bool(w.main) and mains[w.main].sure
+        if w.kind == PART:
+            stays = not w.held
+        elif inside:
+            stays = not w.held or w.held < mains[w.main].held
+        else:
+            stays = 2 * w.held <= total
+        around = off[w.outer] and not (inside and not wrappers[w.outer].main)
+        off.append(stays or around)
+    for b in found:
+        m = mains[b.main]
+        if b.main and m.sure:
+            b.aside |= b.wrapper != m.wrapper and off[b.wrapper]
+        else:
+            b.main = 0
+            b.aside |= off[b.wrapper]
+
+
 def classify(found: list[Block]) -> None:
     """Label every block: True for the article."""
     has_main = any(b.main and not b.aside for b in found)
     for b in found:  # pass one: what is clear
-        words = _WORD.findall(b.text.lower())
-        stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+        stops = _stops(b.text)
         solid = len(b.text.replace(" ", ""))
         if b.aside or (has_main and not b.main):
             b.label = False

@@ -359,6 +359,30 @@ def test_elements_without_text(name):
     assert rest.count(LONG.strip()) == (1 if name in html_text.RAW else 2)
 
 
+PROSE = LONG.strip()
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<div class='content-sidebar-wrap'><main><h1>T</h1><p>{LONG}</p></main><div class=sidebar><p>{LONG}</p></div></div>", f"T {PROSE}"),
+        (f"<div class='widget'><main><p>a</p><aside>b</aside><div class='share'>s</div><p>c</p></main></div>", "a c"),
+        (f"<div class='no-comments'><h1>T</h1><p>{LONG}</p><p>Short.</p></div>", f"T {PROSE} Short."),
+        (f"<div class='ad-free'><article><p>{LONG}</p><p>Short.</p></article></div><p>{LONG[:90]}</p>", f"{PROSE} Short."),
+        (f"<article><div class='no-sidebar'><p>{LONG}</p></div><div class='share-bar'>Share</div></article>", PROSE),
+        (f"<article><div class='x-widget'><p>{LONG}</p></div><div class='x-widget'><p>{LONG}</p></div></article>", f"{PROSE} {PROSE}"),
+        (f"<form id=page><nav>n</nav><div><h1>T</h1><p>{LONG}</p></div><footer>f</footer></form>", f"T {PROSE}"),
+        (f"<form><div class=menu>m</div><main><p>{LONG}</p><form>f</form></main></form>", PROSE),
+        (f"<div><p>{LONG}</p></div><div class='related'><article><p>{LONG[:90]}</p></article></div>", PROSE),
+        (f"<main><p>{LONG}</p></main><div id=comments><article><p>{LONG}</p></article></div>", PROSE),
+        (f"<p>{LONG}{LONG}</p><div class='cookie-notice'><p>{LONG}</p></div><form><p>{LONG[:90]}</p></form>", f"{PROSE} {PROSE}"),
+        (f"<aside><article><p>{LONG}</p></article></aside><p>{LONG}</p>", PROSE),
+    ],
+)
+def test_names_of_wrappers_do_not_lose_the_article(page, want):
+    assert html_text.extract(page) == want
+
+
 def test_top_k_query(spark):
     vectors = [(r["vec_id"], r["embedding"]) for r in load_table(spark, SF_DIR, "embeddings").collect()]
     rows = queries()["op8_top_k"](spark, SF_DIR).orderBy("query_id", "rank").collect()
