@@ -19,23 +19,29 @@ from pyspark.sql import functions as F
 from segstats.llm.common import fresh_name, prepare_workers, text_of
 from segstats.llm.tokenization import CACHE_WORDS, encoder, splits_on_white_space
 
-#: Rows in the broadcast table (about 12 bytes each as sent) and documents looked at to fill it.
-TABLE_WORDS, SAMPLE_DOCS, WORDS_PER_TASK = 65_536, 4_000, 20_000
+#: Rows in the broadcast table (about 12 bytes each as sent) and chunks in a task's summary of its documents.
+TABLE_WORDS, SUMMARY_WORDS = 65_536, 65_536
 
 _LOOKUPS: dict[str, dict[str, int]] = {}
 
 
-def frequent_lengths(docs: DataFrame, tokenizer: str, text_col: str, table_words: int, sample_docs: int) -> tuple[str, bytes]:
-    """The most frequent chunks of a random sample of documents, with their token counts.
+def pruned(seen: Counter[str], size: int) -> Counter[str]:
+    """At most ``size`` chunks of a Misra-Gries summary: every count less the first one that has no room."""
+    least = sorted(seen.values(), reverse=True)[size]
+    return Counter({w: n - least for w, n in seen.items() if n > least})
+
+
+def frequent_lengths(
+    docs: DataFrame, tokenizer: str, text_col: str, table_words: int, summary_words: int = SUMMARY_WORDS
+) -> tuple[str, bytes]:
+    """The most frequent chunks of all documents, with their token counts.
 
     Returned compactly: the chunks joined by spaces, and one byte each (longer
-    ones are left to tier two). Each task sends its ``WORDS_PER_TASK`` most
-    frequent chunks of its share of the sample.
+    ones are left to tier two). Each task sums up its documents' chunks in at
+    most ``summary_words`` counts, which fall short by no more than one in
+    ``summary_words`` of the chunks it reads; the summaries are added.
     """
-    rows = docs.count()
-    if not rows:
-        return "", b""
-    share = docs.select(text_of(text_col).alias("text")).sample(fraction=min(1.0, sample_docs / rows), seed=7)
+    texts = docs.select(text_of(text_col).alias("text"))
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from segstats.llm.tokenization import WordEncoder
@@ -44,13 +50,16 @@ def frequent_lengths(docs: DataFrame, tokenizer: str, text_col: str, table_words
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 seen.update(WordEncoder.chunks(text))
-        top = [(w, n) for w, n in seen.most_common(WORDS_PER_TASK) if w]
+                seen.pop("", None)
+                if len(seen) > 2 * summary_words:
+                    seen = pruned(seen, summary_words)
+        top = (pruned(seen, summary_words) if len(seen) > summary_words else seen).items()
         yield pa.RecordBatch.from_arrays(
             [pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["w", "n"]
         )
 
     found = (
-        share.mapInArrow(frequent, "w string, n long")
+        texts.mapInArrow(frequent, "w string, n long")
         .groupBy("w")
         .agg(F.sum("n").alias("n"))
         .filter("n > 1")
@@ -80,7 +89,7 @@ def with_token_counts(
     text_col: str = "text",
     out: str = "n_tokens",
     table_words: int = TABLE_WORDS,
-    sample_docs: int = SAMPLE_DOCS,
+    summary_words: int = SUMMARY_WORDS,
 ) -> tuple[DataFrame, str]:
     """``docs`` with a column of whole-text token counts, and that column's name.
 
@@ -92,7 +101,7 @@ def with_token_counts(
     prepare_workers(spark)
     name = fresh_name(out, docs.columns)
     if splits_on_white_space(tokenizer):
-        words, lengths = frequent_lengths(docs, tokenizer, text_col, table_words, sample_docs)
+        words, lengths = frequent_lengths(docs, tokenizer, text_col, table_words, summary_words)
     else:
         words, lengths = "", b""
     table = spark.sparkContext.broadcast((words, lengths))

@@ -265,6 +265,18 @@ def test_token_count_query(spark, documents):
         assert tuple(r) == (d, len((t or "").encode()), n, n > 2048)
 
 
+def test_frequent_chunks_are_those_of_all_documents(spark):
+    docs = [f"common word {'twice' + str(k % 5000) if k % 2 else ''} once{k}" for k in range(20_000)]
+    df = spark.createDataFrame([(t,) for t in docs], "text string").repartition(3)
+    found = token_counts.frequent_lengths(df, brute.VOCABULARY, "text", 65_536)[0].split(" ")
+    assert set(found) == {"common", "word"} | {f"twice{k}" for k in range(1, 5000, 2)}
+    few = token_counts.frequent_lengths(df, brute.VOCABULARY, "text", 65_536, 10)[0].split(" ")
+    assert {"common", "word"} <= set(few) and len(few) <= 30
+    want = {t: brute.n_tokens(t) for t in docs[:50]}
+    counted, name = token_counts.with_token_counts(df.limit(9000), brute.VOCABULARY, summary_words=10)
+    assert all(r[name] == want[r["text"]] for r in counted.collect() if r["text"] in want)
+
+
 def test_quality_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"
     rows = queries()["op6_quality"](spark, sf).join(load_table(spark, sf, "labels"), "doc_id")
@@ -407,6 +419,7 @@ def test_top_k_prunes_without_loss(spark):
         assert [(s, v) for _, s, v in got] == brute.top_k(vectors, q, 5)
 
 
+
 def test_bounds_leave_candidates_out():
     rng = np.random.default_rng(2)
     q = rng.integers(-50, 50, (3, 16)) + 500
@@ -481,6 +494,7 @@ def test_entropy_windows(spark):
     assert spans.first()[name] == []
 
 
+
 def test_redaction_leaves_no_secret(spark):
     df = spark.createDataFrame(
         [(k, t, len(t)) for k, t in enumerate(SECRET_TEXTS)] + [(99, None, None), (98, "clean", 5)],
