@@ -136,7 +136,7 @@ def top_k(
     found = None
     for block in range(blocks):
         some = queries.filter(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)) == block).collect()  # about query_block rows
-        best = _search(rows, [r["vec_id"] for r in some], [r["v"] for r in some], k)
+        best = _search(rows, [r["vec_id"] for r in some], [r["v"] for r in some], k, block)
         found = best if found is None else found.union(best)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -148,8 +148,11 @@ def top_k(
     )
 
 
-def _search(rows: DataFrame, ids: list[int], vectors: list[list[int]], k: int) -> DataFrame:
-    """(query_id, vector, vec_id, score): each task's k best of its candidates for each query of a block."""
+def _search(rows: DataFrame, ids: list[int], vectors: list[list[int]], k: int, block: int) -> DataFrame:
+    """(query_id, vector, vec_id, score): each task's k best of its candidates for each query of a block.
+
+    ``vector`` tells queries of one id apart: block, vector length and place in the block.
+    """
     packed = rows.sparkSession.sparkContext.broadcast(_matrices(ids, vectors))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +166,7 @@ def _search(rows: DataFrame, ids: list[int], vectors: list[list[int]], k: int) -
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(b.ids[b.q]),
-                    pa.array([f"{size}:{q}" for q in b.q.tolist()], pa.string()),
+                    pa.array([f"{block}:{size}:{q}" for q in b.q.tolist()], pa.string()),
                     pa.array(b.vec),
                     pa.array(b.score),
                 ],

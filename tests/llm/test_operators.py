@@ -419,6 +419,19 @@ def test_top_k_prunes_without_loss(spark):
         assert [(s, v) for _, s, v in got] == brute.top_k(vectors, q, 5)
 
 
+def test_top_k_keeps_queries_of_one_id_apart(spark):
+    rng = np.random.default_rng(9)
+    data = [(7 if k < 12 else 100 + k, [float(x) for x in rng.integers(-9, 9, 4)]) for k in range(60)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    want = sorted(
+        (rank, s, i)
+        for q, v in data[:12]
+        for rank, (s, i) in enumerate(brute.top_k([(-1, v), *data[12:]], -1, 3), 1)
+    )
+    for block in (1, 3, 2048):
+        got = topk.top_k(df, F.col("vec_id") == 7, k=3, query_block=block).collect()
+        assert sorted((r["rank"], r["score"], r["vec_id"]) for r in got) == want
+
 
 def test_bounds_leave_candidates_out():
     rng = np.random.default_rng(2)
