@@ -48,12 +48,14 @@ CLASSES = (
     (r"^[a-z0-9]+$", 3.6),
     (r"", 3.8),
 )
+#: Letters that look like words: of one case, or capitalised parts. Possessive, so that long runs need no stack.
+_WORDS = r"(?:[A-Z]?+[a-z]++(?:[A-Z][a-z]{2,}+)*+|[A-Z]++)"
 #: Forms that are no secrets: words joined by marks, numbers and dates, UUIDs, words with a number at the end.
 ALLOWED = (
-    r"^[A-Za-z]+([+/_=-]+[A-Za-z]+)*[+/_=-]*$",
+    rf"^{_WORDS}(?:[+/_=-]++{_WORDS})*+[+/_=-]*+$",
     r"^[0-9+/_=-]+$",
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"^[+/_=-]*([A-Za-z]+[+/_=-]+)*[A-Za-z]+[+/_=-]*[0-9]{1,4}$",
+    rf"^[+/_=-]*+{_WORDS}(?:[+/_=-]++{_WORDS})*+[+/_=-]*+[0-9]{{1,4}}$",
 )
 REDACTED = "[redacted]"
 

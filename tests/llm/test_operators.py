@@ -507,6 +507,21 @@ def test_entropy_windows(spark):
     assert spans.first()[name] == []
 
 
+def test_mixed_case_letters_are_left_to_their_entropy(spark):
+    rng = random.Random(8)
+    letters = "".join(map(chr, [*range(65, 91), *range(97, 123)]))
+    drawn = ["".join(rng.choices(letters, k=26)) for _ in range(100)]
+    drawn += ["".join(rng.choices(letters, k=24)) + str(rng.randrange(1, 9999)) for _ in range(100)]
+    words = [
+        "thequickbrownfoxjumpsoverthelazydog", "THE_QUICK_BROWN_FOX_JUMPS_OVER_1234", "theQuickBrownFoxJumpsOverDogs17",
+        "In-The-Quick/To-Brown-Fox-Jumps=", "TheQuickBrownFoxJumpsOver/a-LazyDog-2024", "AbcdEfghIjkl" * 20_000,
+    ]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(drawn + words)], "doc_id long, text string")
+    found, name = secrets.with_spans(df)
+    got = {r["doc_id"]: len(r[name]) for r in found.select("doc_id", name).collect()}
+    assert sum(got[k] > 0 for k in range(100)) > 90 and sum(got[k] > 0 for k in range(100, 200)) > 90
+    assert not any(got[k] for k in range(200, 200 + len(words)))
+
 
 def test_redaction_leaves_no_secret(spark):
     df = spark.createDataFrame(
