@@ -70,3 +70,27 @@ def prefix_sums(totals: DataFrame, key: str, value: str, out: str, block: int =
         .withColumn(out, (F.col("_base") + F.col("_inside")).cast("long"))
         .drop("_block", "_base", "_inside")
     )
+
+
+def numbered(df: DataFrame, order: list[Column], out: str, name: str) -> tuple[DataFrame, int]:
+    """``df`` with ``out``: each row's place, from 0, in ``order``; written to the shared folder under ``name``.
+    Also the number of rows.
+
+    Rows are dealt out by ranges of ``order`` and a salt, so rows that ``order``
+    can't tell apart are spread as well (their places among each other are
+    arbitrary); sorted within a range; and written, which fixes their places.
+    Prefix sums over the ranges' counts place every range: no window sees the rows.
+    """
+    salt = fresh_name("_salt", df.columns)
+    at = fresh_name("_at", [*df.columns, out])
+    dealt = df.withColumn(salt, F.rand(17)).repartitionByRange(*order, F.col(salt))
+    placed = dealt.sortWithinPartitions(*order, salt).drop(salt).withColumn(at, F.monotonically_increasing_id())
+    rows = write_table(placed, name)
+    part, base = fresh_name("_range", [*rows.columns, out]), fresh_name("_first", [*rows.columns, out])
+    rows = rows.withColumn(part, F.shiftright(at, 33))
+    counts = rows.groupBy(part).agg(F.count(F.lit(1)).alias("_rows"))
+    # One row per range, 16 bytes each, whatever the rows hold.
+    bases = F.broadcast(prefix_sums(counts, part, "_rows", base).select(part, base))
+    number = F.col(base) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
+    total = counts.agg(F.sum("_rows")).first()[0] or 0
+    return rows.join(bases, part).withColumn(out, number).drop(part, base, at), total
