@@ -7,11 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segstats.llm import decontaminate, html_text, packing, quality, secrets, simhash, token_counts, token_files, topk, urls
+from segstats.llm import (
+    decontaminate,
+    divergence,
+    html_text,
+    packing,
+    quality,
+    resampling,
+    secrets,
+    sharding,
+    simhash,
+    token_counts,
+    token_files,
+    topk,
+    urls,
+)
 from segstats.sources.tables import load_table
 
 END_ID = 2
 TOKEN_LIMIT = 2048
+SHARDS, SEED = 16, 42
 RULES = [
     urls.Rule("block", "net", "/"),
     urls.Rule("allow", "example.net", "/en/"),
@@ -125,11 +140,39 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(pages, RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of 16 and its slot there, with the size and digest of its text."""
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
+    placed, _, shard, slot = sharding.with_shards(docs, SHARDS, SEED)
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    return placed.select(
+        "doc_id",
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        F.col(shard).alias("shard"),
+        F.col(slot).alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight and score towards the benchmark, and the ranks of the drawn 5 in a hundred."""
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
+    weighted, name = resampling.with_weights(docs, load_table(spark, sf_dir, "benchmark"))
+    return resampling.draw(weighted.drop("text"), name, percent=5, least_words=20, seed=SEED)
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What sets each source of a language apart: from every other source, and by which terms."""
+    return divergence.audit(load_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_packing, op2_token_files, op3_decontamination, op4_simhash, op5_token_counts, op6_quality, op7_main_text,
-        op8_top_k, op9_secrets, op10_url_filter,
+        op8_top_k, op9_secrets, op10_url_filter, op11_sharding, op12_resampling, op13_divergence,
     )
 }
 
@@ -200,5 +243,106 @@ SELECT b.page_id, b.host, b.path, b.rule,
 FROM b LEFT JOIN (SELECT * FROM scored WHERE said IS NULL) s ON b.host = s.host AND b.path = s.path"""
 
 
+def _crc32_sql(hexed: str) -> str:
+    """CRC-32 of bytes given as upper-case hex digits, by the byte-wise table ``crc_table.t``."""
+    digit = "(instr('0123456789ABCDEF', x[{i}]) - 1)"
+    byte = f"{digit.format(i=1)} * 16 + {digit.format(i=2)}"
+    bytes_of = f"list_transform(regexp_extract_all({hexed}, '..'), lambda x: {byte})"
+    step = "lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INTEGER) + 1])"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bytes_of}), {step}), CAST(4294967295 AS BIGINT))"
+
+
+_CRC_TABLE_SQL = """crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(
+    [i, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"""
+
+
+def _sharding_sql() -> str:
+    """Row numbers by doc_id, then the Feistel rounds one by one until the number is below the row count."""
+    mixed = f"CAST('0x' || substr(md5('{SEED}:' || (k % {sharding.ROUNDS}) || ':' || r), 1, {sharding.DIGITS}) AS BIGINT)"
+    return f"""
+WITH RECURSIVE {_CRC_TABLE_SQL},
+d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id) - 1 AS x FROM documents),
+size AS (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS m FROM d),
+walk AS (SELECT x, x // m AS l, x % m AS r, 0 AS k, n, m FROM d, size
+         UNION ALL
+         SELECT x, r, (l + {mixed} % m) % m, k + 1, n, m FROM walk
+         WHERE k = 0 OR k % {sharding.ROUNDS} <> 0 OR l * m + r >= n),
+placed AS (SELECT x, l * m + r AS p FROM walk WHERE k > 0 AND k % {sharding.ROUNDS} = 0 AND l * m + r < n),
+digest AS (SELECT doc_id, x, strlen(text) AS size, hex(encode(text)) AS h FROM d)
+SELECT doc_id, CAST(size + 1 AS BIGINT) AS size, CAST({_crc32_sql("h")} AS BIGINT) AS text_crc32, 'rows' AS law,
+       CAST(p % {SHARDS} AS INTEGER) AS shard, CAST(p // {SHARDS} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM digest JOIN placed USING (x), crc_table"""
+
+
+def _resampling_sql() -> str:
+    size, scale = resampling.BUCKETS, resampling.SCALE
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    split = rf"""regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+    runs = """list_concat(w, list_concat(
+        list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+        list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))"""
+    return f"""
+WITH {_CRC_TABLE_SQL},
+words AS (SELECT 0 AS side, doc_id AS id, {split} AS w FROM documents
+          UNION ALL SELECT 1, item_id, {split} FROM benchmark),
+sized AS (SELECT id, len(w) AS n_words, greatest(3 * len(w) - 3, len(w) * (len(w) + 1) // 2 * (len(w) < 3)::INT) AS n_features
+          FROM words WHERE side = 0),
+f AS (SELECT side, id, f, count(*) AS n FROM (SELECT side, id, unnest({runs}) AS f FROM words) GROUP BY ALL),
+b AS (SELECT f, CAST({_crc32_sql("h")} % {size} AS BIGINT) AS bucket
+      FROM (SELECT DISTINCT f, hex(encode(f)) AS h FROM f), crc_table),
+held AS (SELECT bucket, sum(CASE WHEN side = 0 THEN n ELSE 0 END) AS s, sum(CASE WHEN side = 1 THEN n ELSE 0 END) AS t
+         FROM f JOIN b USING (f) GROUP BY bucket),
+total AS (SELECT CAST(coalesce(sum(s), 0) AS DOUBLE) AS s, CAST(coalesce(sum(t), 0) AS DOUBLE) AS t FROM held),
+gain AS (SELECT bucket, CAST(floor({scale} * ln((h.t + 1.0::DOUBLE) * (total.s + {size}) / ((h.s + 1.0::DOUBLE) * (total.t + {size})))) AS BIGINT) AS g
+         FROM held h, total),
+weight AS (SELECT id, CAST(sum(n * g) AS BIGINT) AS w FROM f JOIN b USING (f) JOIN gain USING (bucket) WHERE side = 0 GROUP BY id),
+scored AS (SELECT id AS doc_id, CAST(n_features AS BIGINT) AS n_features, coalesce(w, 0) AS weight, n_words,
+                  coalesce(w, 0) + CAST(floor(-{scale} * ln(-ln((CAST(CAST('0x' || substr(sha256('{SEED}:' || id), 1, 8) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296))) AS BIGINT) AS score
+           FROM sized LEFT JOIN weight USING (id)),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS able FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CAST(CASE WHEN r <= 5 * able // 100 THEN r END AS BIGINT) AS rank
+FROM scored LEFT JOIN ranked USING (doc_id)"""
+
+
+def _divergence_sql() -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    split = rf"""regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+    def p(n: str, held: str) -> str:
+        return f"CAST(1 + CAST({divergence.SCALE} AS HUGEINT) * ({n} + {divergence.PRIOR}) // ({held} + {divergence.PRIOR} * v) AS BIGINT)"
+
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {split} AS w FROM documents),
+each AS (SELECT doc_id, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM each GROUP BY lang, term HAVING count(DISTINCT doc_id) >= {divergence.LEAST_DOCS}),
+v AS (SELECT lang, count(k.term) AS v FROM (SELECT DISTINCT lang FROM d) LEFT JOIN kept k USING (lang) GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM each JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT o.lang, o.source, coalesce(h.held, 0) AS held, any_value(v) AS v
+      FROM (SELECT DISTINCT lang, source FROM d) o JOIN v USING (lang)
+      LEFT JOIN (SELECT lang, source, CAST(sum(n) AS BIGINT) AS held FROM c GROUP BY ALL) h ON h.lang = o.lang AND h.source = o.source
+      GROUP BY ALL),
+l AS (SELECT lang, CAST(sum(held) AS BIGINT) AS lang_held FROM g GROUP BY lang),
+lt AS (SELECT lang, term, sum(n) AS lang_n FROM c GROUP BY ALL),
+full_p AS (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n, {p("coalesce(c.n, 0)", "g.held")} AS p
+           FROM g JOIN kept ON kept.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+pair_sums AS (SELECT a.lang, a.source, b.source AS item, CAST(sum(abs(a.p - b.p)) AS BIGINT) AS value
+              FROM full_p a JOIN full_p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN pair_sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+q AS (SELECT lang, term, {p("lang_n", "lang_held")} AS q FROM lt JOIN l USING (lang) JOIN v USING (lang)),
+terms AS (SELECT f.lang, f.source, 'term' AS part, f.term AS item, f.p - q.q AS value
+          FROM full_p f JOIN q ON f.lang = q.lang AND f.term = q.term WHERE f.n > 0 AND f.p > q.q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+           FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= {divergence.TOP_TERMS}"""
+
+
 #: DuckDB SQL of the queries it can express; the others are held against plain versions in tests.
-ORACLE_SQL: dict[str, str] = {"op8_top_k": _top_k_sql(), "op10_url_filter": _url_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op8_top_k": _top_k_sql(),
+    "op10_url_filter": _url_sql(),
+    "op11_sharding": _sharding_sql(),
+    "op12_resampling": _resampling_sql(),
+    "op13_divergence": _divergence_sql(),
+}
