@@ -31,6 +31,8 @@ from segstats.functions.exprs import (
     readability_class,
     row_key,
 )
+from segstats.operators.bloom import may_have
+from segstats.operators.materialize import materialize
 from segstats.operators.quantiles import bracket_columns, exact_quantiles
 from segstats.operators.roles import require_columns
 
@@ -112,17 +114,19 @@ def missing_by_column(df: DataFrame) -> DataFrame:
 def _repeats(df: DataFrame, cols: Sequence[str], name: str) -> DataFrame:
     """Rows equal in ``cols`` to an earlier one, as the sum of (group size - 1).
 
-    Exact, and wide rows are not shuffled: a 64-bit fingerprint of each row is
-    counted first (8 bytes a row, combined in the tasks); only rows whose
-    fingerprint repeats are then grouped by their full values, which removes
-    any fingerprint collision. The semi join is left to Spark: it broadcasts
-    the repeated fingerprints when they are small and splits hot ones when not.
+    Exact, and wide rows without a repeat are not shuffled: a 64-bit
+    fingerprint of each row is counted first (8 bytes a row, combined in the
+    tasks) and the repeated ones are written to the checkpoint folder. A second scan
+    drops the rows whose fingerprint isn't in their Bloom filter, an exact join
+    the few that pass it by chance, and the rest are grouped by their full
+    values, which removes any fingerprint collision.
     """
     keyed = df.select(*[row_key(df, c).alias(f"_k{i}") for i, c in enumerate(cols)])
     keyed = keyed.withColumn("_fp", F.xxhash64(*keyed.columns))
-    repeated = keyed.groupBy("_fp").count().where(F.col("count") > 1).select("_fp")
+    repeated = materialize(keyed.groupBy("_fp").count().where(F.col("count") > 1).select("_fp"))
     return (
-        keyed.join(repeated, "_fp", "left_semi")
+        may_have(keyed, "_fp", repeated, repeated.count())
+        .join(repeated, "_fp")  # each is there once; a semi join would be moved below the filter
         .groupBy(*[f"_k{i}" for i in range(len(cols))])
         .count()
         .agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("bigint").alias(name))
@@ -531,6 +535,54 @@ def product_residual(df: DataFrame, total: str, a: str, b: str, tolerance: float
 # S5 --------------------------------------------------------------------------
 
 
+#: Leading bytes of a text that order it among equally frequent ones; as a number they stay below 2^56.
+_LEADING = 7
+
+
+def _leading(value: Column) -> Column:
+    """The first bytes of a text as a number of the same order (shorter texts are filled up with zero bytes)."""
+    first = F.rpad(F.hex(F.substring(value.cast("binary"), 1, _LEADING)), 2 * _LEADING, "0")
+    return F.conv(first, 16, 10).cast("long")
+
+
+def _text_statistics(df: DataFrame, text: Sequence[str]) -> DataFrame:
+    """(column_name, count, unique, top, freq) of the text columns that have a present value.
+
+    Values are counted by a 128-bit fingerprint with their leading bytes, so no
+    exchange holds the values. The most frequent fingerprints, of equally
+    frequent ones those with the smallest leading bytes, are then looked for in
+    a second scan (a Bloom filter first, then an exact join); each task sends
+    its smallest such value of a column.
+    """
+    value = F.col("value")
+    long = df.select(*[df[c].cast("string").alias(c) for c in text]).unpivot([], text, "column_name", "value")
+    long = long.where(value.isNotNull()).withColumns(
+        {"_fp": F.xxhash64("column_name", "value"), "_fp2": F.xxhash64(F.lit(2), "value", "column_name")}
+    )
+    # leading bytes follow from the value, so any of a fingerprint's rows tells them
+    counted = long.groupBy("column_name", "_fp", "_fp2").agg(
+        F.count(F.lit(1)).alias("_n"), F.min(_leading(value)).alias("_lead")
+    )
+    counted = materialize(counted)
+    best = counted.groupBy("column_name").agg(
+        F.sum("_n").cast("bigint").alias("count"),
+        F.count(F.lit(1)).alias("unique"),
+        F.max(F.struct(F.col("_n").alias("freq"), (-F.col("_lead")).alias("lead"))).alias("_best"),
+    )
+    best = F.broadcast(best)  # one row a column of the table
+    likely = counted.join(best, "column_name").where(
+        (F.col("_n") == F.col("_best.freq")) & (F.col("_lead") == -F.col("_best.lead"))
+    )
+    likely = materialize(likely.select("column_name", "_fp", "_fp2"))
+    tops = (
+        may_have(long, "_fp", likely.select("_fp"), likely.count())
+        .join(likely, ["column_name", "_fp", "_fp2"])  # each is there once
+        .groupBy("column_name")
+        .agg(F.min("value").alias("top"))
+    )
+    return tops.join(best, "column_name").select("column_name", "count", "unique", "top", F.col("_best.freq").alias("freq"))
+
+
 def describe_columns(df: DataFrame, method: str = "exact", accuracy: int = 100_000) -> DataFrame:
     """Summary statistics per column, in column order.
 
@@ -590,24 +642,18 @@ def describe_columns(df: DataFrame, method: str = "exact", accuracy: int = 100_0
             )
         )
     if text:
-        long = df.select(*[df[c].cast("string").alias(c) for c in text]).unpivot([], text, "column_name", "value")
-        per_value = long.where(F.col("value").isNotNull()).groupBy("column_name", "value").count()
-        per_column = per_value.groupBy("column_name").agg(
-            F.sum("count").cast("bigint").alias("count"),
-            F.count(F.lit(1)).alias("unique"),
-            F.min_by(F.struct(F.col("value"), F.col("count")), F.struct(-F.col("count"), F.col("value"))).alias("_top"),
-        )
+        per_column = _text_statistics(df, text)
         # Columns with no present value still get their row.
         spine = df.sparkSession.createDataFrame([(c,) for c in text], "column_name string")
         parts.append(
-            spine.join(F.broadcast(per_column), "column_name", "left").select(
+            spine.join(per_column, "column_name", "left").select(
                 "column_name",
                 (ordinal_in(F.col("column_name"), cols) - 1).alias("position"),
                 F.lit("text").alias("kind"),
                 F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count"),
                 F.coalesce(F.col("unique"), F.lit(0)).cast("bigint").alias("unique"),
-                F.col("_top.value").alias("top"),
-                F.col("_top.count").cast("bigint").alias("freq"),
+                "top",
+                F.col("freq").cast("bigint").alias("freq"),
                 null_d.alias("mean"),
                 null_d.alias("std"),
                 null_d.alias("min"),

@@ -1,6 +1,6 @@
 """Reading delimited text into a typed DataFrame (S1) and previewing it.
 
-The file is read by Spark's CSV source (splittable unless ``multi_line``).
+The files are read by ranges, with line breaks inside quotes too.
 Fields are first read as text so that the usual missing-value tokens can be
 turned into NULL, then typed. Type inference, the ragged-row check and the
 missing-token mapping cost ONE extra aggregate job over the file (a one-row
@@ -9,6 +9,7 @@ result), not a pass per column.
 
 from __future__ import annotations
 
+import csv
 import re
 from collections.abc import Sequence
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from segstats.functions.exprs import numeric_value
+from segstats.sources.quoted import quoted_records
 
 # --- Fixed values: text read as missing by default (pandas' default list) ----
 DEFAULT_NA_VALUES = (
@@ -29,29 +31,43 @@ FALSE_VALUES = ("False", "FALSE", "false")
 # -----------------------------------------------------------------------------
 
 _CORRUPT = "_segstats_corrupt"
+#: Header lines that are compared; files that agree have one, or a few that differ in their quotes.
+MOST_HEADERS = 1000
 _INTEGER_TEXT = r"^\s*[+-]?\d+\s*$"
 
 
-def _header(spark: SparkSession, path: str, sep: str, multi_line: bool) -> tuple[list[str], bool]:
-    """The column names of the first header row, and whether any had to be made up."""
-    first = (
-        spark.read.option("header", "false").option("sep", sep).option("quote", '"').option("escape", '"')
-        .option("multiLine", multi_line).csv(path).limit(1).collect()
-    )
-    if not first:
-        return [], False
+def _named(first: Sequence[str | None]) -> list[str]:
+    """Column names of a header row: a repeated name gets a numbered suffix (a, a.1, a.2), an empty one is made up."""
     names: list[str] = []
     seen: dict[str, int] = {}
-    for i, v in enumerate(first[0]):
-        name = str(v) if v is not None else f"Unnamed: {i}"
-        # A repeated header name gets a numbered suffix: a, a.1, a.2, ...
+    for i, v in enumerate(first):
+        name = str(v) if v else f"Unnamed: {i}"
         base, k = name, seen.get(name, 0)
         while name in names:
             k += 1
             name = f"{base}.{k}"
         seen[base] = k
         names.append(name)
-    return names, names != list(first[0])
+    return names
+
+
+def _headers(records: DataFrame, path: str, sep: str) -> list[str]:
+    """The fields of the first record of the files, which must be the same in all of them; none without a record."""
+    found = records.where("first").select("record").distinct().limit(MOST_HEADERS).collect()
+    fields = {tuple(next(csv.reader([r["record"]], delimiter=sep))) for r in found}
+    if len(fields) > 1:
+        raise ValueError(f"the files of {path} have different headers")
+    return list(fields.pop()) if fields else []
+
+
+def _first_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(first, record): the first line of each file that isn't blank. Only the ranges that begin a file send one."""
+    lines = spark.read.text(path).select(F.col("value").alias("record"), F.col("_metadata.file_path").alias("file"),
+                                         F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_block_start").alias("start"))
+    return (
+        lines.where((F.col("start") == 0) & (F.trim("record") != ""))
+        .groupBy("file").agg(F.min_by("record", "at").alias("record")).withColumn("first", F.lit(True))
+    )
 
 
 def read_records(
@@ -67,12 +83,13 @@ def read_records(
 
     * every field equal to one of ``na_values`` becomes NULL (quoted or not);
     * doubled quotes inside quoted fields are unescaped; quoted line breaks
-      need ``multi_line=True`` (the file is then read whole, not split);
+      need ``multi_line=True`` (the files are then read twice by ranges, each
+      range by its own task: ``segstats.sources.quoted``);
     * a row with fewer fields than the header is padded with NULL; a row with
       more fields is refused with ``ValueError``;
     * without ``schema`` the header names the columns; a repeated name gets a
       numbered suffix (``a``, ``a.1``) and an empty one ``Unnamed: <i>``;
-      several files must have the same header;
+      several files must have the same header, else ``ValueError``;
     * with ``schema`` its columns are found by name in the header, whatever
       their order there, and cast (a value that does not fit fails the job); a
       name that is absent is refused with ``ValueError``; otherwise, with ``infer_types``, a column whose present
@@ -82,25 +99,20 @@ def read_records(
     """
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
-    names, renamed = _header(spark, path, sep, multi_line)
+    records = quoted_records(spark, path, sep) if multi_line else _first_lines(spark, path)
+    names = _named(_headers(records, path, sep))
     if not names:
         return spark.createDataFrame([], schema or StructType())
     if schema is not None and (absent := [n for n in schema.fieldNames() if n not in names]):
         raise ValueError(f"the header of {path} has no column {', '.join(absent)}: {', '.join(names)}")
     text_schema = ", ".join(f"`{n}` string" for n in names) + f", `{_CORRUPT}` string"
-    raw = (
-        spark.read.schema(text_schema)
-        .option("header", "true")
-        # Every file's header is held against the first one's, unless names had to be made up.
-        .option("enforceSchema", "true" if renamed else "false")
-        .option("sep", sep)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", _CORRUPT)
-        .csv(path)
-    )
+    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+    if multi_line:
+        parsed = records.where("NOT first").select(F.from_csv("record", text_schema, options).alias("_r"))
+        raw = parsed.select("_r.*")
+    else:
+        # the headers are compared above, so the reader needn't
+        raw = spark.read.schema(text_schema).options(header=True, enforceSchema=True, **options).csv(path)
     # The fields of a malformed row: its separators outside fields that start with a quote.
     mark = re.escape(sep)
     bare = F.regexp_replace(F.col(_CORRUPT), f'(^|{mark})"[^"]*+(?:""[^"]*+)*+"', "$1")
@@ -121,12 +133,7 @@ def read_records(
             ]
     # Count a data column next to the corrupt-record column (Spark refuses a
     # raw CSV query that reads only the latter).
-    try:
-        stats = raw.agg(F.count(F.col(f"`{names[0]}`")).alias("_first"), *checks).first()
-    except Exception as e:  # the reader has no error class of its own for this
-        if "CSV header does not conform" in str(e):
-            raise ValueError(f"the files of {path} have different headers") from e
-        raise
+    stats = raw.agg(F.count(F.col(f"`{names[0]}`")).alias("_first"), *checks).first()
     if stats["_long"]:
         raise ValueError(f"{stats['_long']} row(s) of {path} hold more fields than the {len(names)} header columns")
 

@@ -1,10 +1,14 @@
 """FIXTURES F6 (CSV text)."""
 
+import itertools
+import random
+
 import pytest
 
 from conftest import rows
 from segstats import preview, read_records
 from segstats.session import shared_dir
+from segstats.sources.quoted import quoted_records, range_starts
 
 
 def write(spark, text):
@@ -90,3 +94,70 @@ def test_files_with_different_headers_are_refused(spark):
         spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{path}/{name}")
     with pytest.raises(ValueError, match="headers"):
         read_records(spark, f"{path}/*")
+
+
+def write_files(spark, *texts):
+    path = shared_dir(spark, "csv-files")
+    for k, text in enumerate(texts):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{path}/{k}")
+    return f"{path}/*"
+
+
+def test_every_header_is_compared_when_names_are_made_up(spark):
+    with pytest.raises(ValueError, match="headers"):
+        read_records(spark, write_files(spark, "a,a,b\n1,2,3", "b,a,a\n30,10,20"))
+    with pytest.raises(ValueError, match="headers"):
+        read_records(spark, write_files(spark, "a,,b\n1,2,3", "a,c,b\n1,2,3"))
+    with pytest.raises(ValueError, match="headers"):
+        read_records(spark, write_files(spark, 'a,a,b\n"x\ny",2,3', "b,a,a\n30,10,20"), multi_line=True)
+    df = read_records(spark, write_files(spark, "a,a,b\n1,2,3", '"a",a,"b"\n4,5,6', "\na,a,b"))
+    assert [tuple(r) for r in df.orderBy("a").collect()] == [(1, 2, 3), (4, 5, 6)]
+
+
+QUOTED = ["plain", 'say ""hi""', "two\nlines", "a\n\n\nb", ",\n,", '""', "\n", "", 'x""\n""', "carriage\r\nreturn", "é\n日本"]
+
+
+def quoted_text(seed, rows):
+    rng = random.Random(seed)
+    lines = ["id,a,b"]
+    for i in range(rows):
+        a, b = (f'"{rng.choice(QUOTED)}"' if rng.random() < 0.7 else rng.choice(["bare", 'in"side', ""]) for _ in "ab")
+        lines.append(f"{i},{a},{b}")
+    return "\n".join(lines)
+
+
+@pytest.mark.parametrize("range_bytes", [64, 700, 1 << 27])
+def test_ranges_of_a_file_give_the_rows_of_a_whole_read(spark, range_bytes):
+    path = write_files(spark, quoted_text(1, 300), quoted_text(2, 40), "id,a,b\n900," + '"' + "long\n" * 400 + '",x')
+    whole = (
+        spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True)
+        .option("lineSep", "\n").schema("id string, a string, b string").csv(path)
+    )
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", range_bytes)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    try:
+        df = read_records(spark, path, schema="id string, a string, b string", na_values=(), multi_line=True)
+        got = sorted((tuple(r) for r in df.collect()), key=str)
+        tasks = quoted_records(spark, path).rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+    assert got == sorted((tuple(r) for r in whole.collect()), key=str)
+    assert len(got) == 341 and (range_bytes > 1000 or tasks > 8)
+
+
+def test_how_ranges_begin():
+    """All sixteen pairs of one-bit functions compose in order, file by file."""
+    for f, g in itertools.product(itertools.product([False, True], repeat=2), repeat=2):
+        got = range_starts([("b", 0, True, True), ("a", 9, *g), ("a", 0, *f), ("a", 20, False, False)])
+        assert got == {("a", 0): False, ("a", 9): f[0], ("a", 20): g[f[0]], ("b", 0): False}
+
+
+def test_long_rows_and_empty_files_with_quoted_line_breaks(spark):
+    with pytest.raises(ValueError, match="more fields"):
+        read_records(spark, write_files(spark, 'a,b\n"1\n2",3\n"4\n",5,6'), multi_line=True)
+    short = read_records(spark, write_files(spark, 'a,b\n"1\n2"\n'), multi_line=True)
+    assert rows(short) == [{"a": "1\n2", "b": None}]
+    assert read_records(spark, write_files(spark, ""), multi_line=True).count() == 0
+    assert read_records(spark, write_files(spark, "a,b"), multi_line=True).count() == 0
