@@ -191,12 +191,7 @@ def audit(
     )
 
     # the third axis: kept terms in each block, then every source's slice of it, empty or not
-    per_block = (
-        kept.join(langs.select("lang", "term_blocks"), "lang")
-        .withColumn("k", F.pmod(F.xxhash64("term"), F.col("term_blocks")))
-        .groupBy("lang", "k", "term").agg(F.lit(1).alias("_"))
-        .groupBy("lang", "k").agg(F.count(F.lit(1)).alias("in_block"))
-    )
+    per_block = rated.select("lang", "k", "term").distinct().groupBy("lang", "k").agg(F.count(F.lit(1)).alias("in_block"))
     whole = groups.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("term_blocks") - 1)))
     whole = whole.join(per_block, ["lang", "k"], "left").fillna(0, ["in_block"])
     keys = ["lang", "k", "source", "block", "term", "p", "terms"]

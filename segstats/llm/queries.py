@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -338,9 +339,58 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORD
 SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= {divergence.TOP_TERMS}"""
 
 
+def _secrets_sql() -> str:
+    """Match places from the pieces between matches; windows of candidates one by one, their entropy from whole counts."""
+
+    def quoted(pattern: str) -> str:
+        return "'" + re.sub(r"(?<=[?*+}])\+|\(\?<!.*?\)\)?(?=\[)", "", pattern).replace("'", "''") + "'"
+
+    def placed(place: int, pattern: str, group: int, least: int) -> str:
+        p = quoted(pattern)
+        return f"""SELECT doc_id, {place} AS kind, string_split_regex(t, {p}) AS pieces, regexp_extract_all(t, {p}) AS found,
+            regexp_extract_all(t, {p}, {group}) AS measured, {least} AS least FROM d"""
+
+    whole = [secrets.BASE[0][1], "AKIA[A-Z0-9]+", "[0-9a-f]+"]  # short matches are dropped by their length
+    kinds = [placed(k, whole[k], group, least) for k, (_, _, group, least) in enumerate(secrets.BASE)]
+    kinds.append(placed(len(secrets.BASE), secrets.CANDIDATE, 0, secrets.WINDOW))
+    allowed = " OR ".join(f"regexp_matches(m, {quoted(form)})" for form in secrets.ALLOWED)
+    bits = " ".join(f"WHEN regexp_matches(m, {quoted(p)}) THEN {b}" for p, b in secrets.CLASSES[:-1])
+    names = ", ".join(f"'{k}'" for k in secrets.KINDS)
+    window = secrets.WINDOW
+    listed = "string_agg([{names}][kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind)".replace("{names}", names)
+    counts = ", ".join(f"count(*) FILTER (kind = {k}) AS n_{name}" for k, (name, *_) in enumerate(secrets.BASE))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+p AS ({" UNION ALL ".join(kinds)}),
+each AS (SELECT doc_id, kind, i, length(pieces[i]) AS gap, found[i] AS m, length(measured[i]) >= least AS fits
+         FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM p)),
+placed AS (SELECT doc_id, kind, i, m, fits, sum(gap + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS e FROM each),
+base AS (SELECT doc_id, kind, CAST(e - length(m) AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM placed
+         WHERE kind < {len(secrets.BASE)} AND fits),
+c AS (SELECT doc_id, i, m, CAST(e - length(m) AS BIGINT) AS s, CASE {bits} ELSE {secrets.CLASSES[-1][1]} END AS bits
+      FROM placed WHERE kind = {len(secrets.BASE)} AND NOT ({allowed})),
+w AS (SELECT doc_id, i, s + k AS s, bits, unnest(string_split(substr(m, CAST(k + 1 AS INTEGER), {window}), '')) AS x
+      FROM (SELECT *, unnest(range(length(m) - {window - 1})) AS k FROM c)),
+n AS (SELECT doc_id, i, s, bits, x, count(*) AS n FROM w GROUP BY ALL),
+hot AS (SELECT doc_id, i, s FROM n GROUP BY doc_id, i, s, bits
+        HAVING log2({window}) - sum(n * log2(n)) / {window} >= bits),
+marked AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id, i ORDER BY s) <= {window} THEN 0 ELSE 1 END AS new FROM hot),
+runs AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, i ORDER BY s) AS run FROM marked),
+spans AS (SELECT doc_id, min(s) AS s, max(s) + {window} AS e FROM runs GROUP BY doc_id, i, run),
+every AS (SELECT * FROM base UNION ALL
+          SELECT doc_id, {len(secrets.BASE)}, s, e FROM spans x
+          WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = x.doc_id AND b.s <= x.s AND x.e <= b.e)),
+told AS (SELECT doc_id, {counts}, string_agg(CASE WHEN kind < {len(secrets.BASE)} THEN [{names}][kind + 1] || ':' || s || ':' || e END, ',' ORDER BY s, kind) AS base,
+                {listed} AS spans FROM every GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"CAST(coalesce(n_{name}, 0) AS BIGINT) AS n_{name}" for name, *_ in secrets.BASE)},
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN told USING (doc_id)"""
+
+
 #: DuckDB SQL of the queries it can express; the others are held against plain versions in tests.
 ORACLE_SQL: dict[str, str] = {
     "op8_top_k": _top_k_sql(),
+    "op9_secrets": _secrets_sql(),
     "op10_url_filter": _url_sql(),
     "op11_sharding": _sharding_sql(),
     "op12_resampling": _resampling_sql(),

@@ -308,8 +308,10 @@ def draw(
         (part["weight"] + gumbel(F.col(id_col), seed)).cast("long").alias("score"),
         (part["n_words"] >= least_words).alias(may),
     )
+    # written before it is ranked: finding the ranges reads the scores a second time
+    scored = write_table(rows, "scored")
     order = [F.col(may).desc(), F.col("score").desc(), F.col(id_col).asc_nulls_first()]
-    placed, _ = numbered(rows, order, "rank", "drawn")
+    placed, _ = numbered(scored, order, "rank", "drawn")
     able = placed.agg(F.count_if(may)).first()[0]
     drawn = F.col(may) & (F.col("rank") < able * percent // 100)
     return placed.withColumn("rank", F.when(drawn, F.col("rank") + 1)).drop(may)

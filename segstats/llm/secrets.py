@@ -12,13 +12,15 @@ are left out. Places are code points, ends exclusive.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segstats.llm.common import fresh_name, text_of
 
-#: The base patterns, their group that is measured, and its least length.
+#: The base patterns, their group that is measured, and its least length. Access keys and hex strings
+#: are asked for in their least length at once, which finds the same: a match runs to the end of its characters.
 BASE = (
     (
         "assign",
@@ -26,8 +28,8 @@ BASE = (
         2,
         6,
     ),
-    ("access", r"AKIA[A-Z0-9]+", 0, 20),
-    ("hex", r"[0-9a-f]+", 0, 24),
+    ("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
+    ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 #: What a text must hold for a base pattern to be worth placing.
 QUICK = {
@@ -66,22 +68,51 @@ def _none() -> Column:
     return F.array().cast(_SPAN)
 
 
+#: Matches that are placed together, so that adding one to a list copies a short one.
+_TOGETHER = 256
+
+
 def _placed(text: Column, pattern: str) -> Column:
-    """Every match of ``pattern`` as (start, end, text), from the lengths of the pieces between matches."""
+    """Every match of ``pattern`` as (start, end, text), from the lengths of the pieces between matches.
+
+    The starts are prefix sums in two levels, within blocks of matches and over blocks.
+    """
     pieces = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     both = F.zip_with(
-        F.slice(pieces, 1, F.size(found)), found, lambda n, m: F.struct(n.alias("gap"), m.alias("match"))
+        F.slice(pieces, 1, F.size(found)),
+        found,
+        lambda n, m: F.struct(n.alias("gap"), F.length(m).alias("size"), m.alias("match")),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
+    nothing = F.array().cast("array<struct<start:int,end:int,match:string>>")
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
-        end = begin + F.length(x["match"])
+        end = begin + x["size"]
         one = F.struct(begin.alias("start"), end.alias("end"), x["match"].alias("match"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    return F.aggregate(both, start, step, lambda acc: acc["out"])
+    def block(some: Column, at: Column) -> Column:
+        return F.aggregate(some, F.struct(at.alias("at"), nothing.alias("out")), step, lambda acc: acc["out"])
+
+    def all_blocks(blocks: Column) -> Column:
+        lengths = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + x["gap"] + x["size"]))
+        starts = F.aggregate(
+            lengths, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n))
+        )
+        return F.flatten(F.zip_with(blocks, F.slice(starts, 1, F.size(blocks)), block))
+
+    def cut(matches: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(matches), F.lit(1)), F.lit(_TOGETHER))
+        return F.transform(firsts, lambda k: F.slice(matches, k, F.lit(_TOGETHER)))
+
+    # each step's list is used several times, so it is bound once
+    return _bound(both, lambda matches: _bound(cut(matches), all_blocks))
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _base(text: Column, place: int) -> Column:
@@ -152,8 +183,7 @@ def _high_entropy(candidate: Column) -> Column:
         return F.aggregate(F.sequence(F.lit(0), F.size(chars) - 1), begin, step, lambda acc: acc["out"])
 
     # the characters are looked up by each step, so they are bound once
-    bound = F.array(F.struct(chars.alias("chars"), threshold.alias("threshold")))
-    return F.element_at(F.transform(bound, slide), 1)
+    return _bound(F.struct(chars.alias("chars"), threshold.alias("threshold")), slide)
 
 
 def _entropy_spans(text: Column) -> Column:

@@ -165,3 +165,19 @@ def test_urls(spark):
     rows = urls.judged(pages, RULES).collect()
     assert sorted((r["page_id"] or 0, r["verdict"]) for r in rows) == [(0, "block"), (1, "allow"), (1, "allow")]
     assert urls.judged(pages.filter("false"), RULES).count() == 0
+
+
+def test_secrets_take_time_in_proportion_to_the_text(spark):
+    """A megabyte of prose with one hex string, and one with very many matches: a list copied at every match took minutes."""
+    import time
+
+    prose = "some plain prose here " * 45_000 + "deadbeef" * 4
+    many = "token=abcdef12 x " * 60_000
+    df = spark.createDataFrame([(1, prose), (2, many)], "doc_id long, text string")
+    secrets.with_spans(df.limit(0))[0].collect()
+    began = time.time()
+    found, name = secrets.with_spans(df)
+    got = {r["doc_id"]: r[name] for r in found.collect()}
+    assert time.time() - began < 60
+    assert [(s["start"], s["end"]) for s in got[1]] == [(len(prose) - 32, len(prose))]
+    assert [(s["start"], s["end"]) for s in got[2]] == [(17 * k, 17 * k + 14) for k in range(60_000)]
