@@ -3,8 +3,12 @@
 Pass one reads a page's blocks (runs of text between block-level tags) and
 decides the clear ones by structure, link density, length and stop-word
 density; what only a wrapper's name or a form marks as not the article is
-decided so too where the wrapper holds the page's prose. Pass two gives every undecided block, short ones mostly, the label of
-the nearest decided neighbours.
+decided so too where the wrapper holds the page's prose. Article elements decide
+where they hold the page's prose; where they are but cards beside it, they go. Sections
+of reader comments are known by their build: siblings of one kind, each with an author or a date. Where a
+page's prose holds none of the stop words, it is in another language, and
+length and link density decide alone. Pass two gives every undecided block,
+short ones mostly, the label of the nearest decided neighbours.
 """
 
 from __future__ import annotations
@@ -44,6 +48,13 @@ ASIDE_WORDS = set(
 MAIN_TAGS = {"article", "main"}
 MAIN_WORDS = set("article articlebody content post entry story main maincontent body-text posttext".split())
 
+#: Words of class, rel or itemprop that mark an author or a date.
+BYLINE_WORDS = set(
+    "author byline date datetime datepublished published time timestamp posted user username commenter avatar permalink".split()
+)
+#: Elements that may be one of several like-built ones.
+REPEATED_TAGS = set("li article div section blockquote dd tr details".split())
+
 #: Common words of the languages served; a share of them marks running prose.
 STOP_WORDS = frozenset(
     (
@@ -61,15 +72,13 @@ STOP_WORDS = frozenset(
 #: Characters under which a block is short and from which it is long; stop-word and link shares.
 SHORT, LONG, STOPS_LOW, STOPS_HIGH, LINKS = 70, 200, 0.08, 0.2, 0.5
 
-_ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+"
-#: In page order: comments, raw elements with what they hold, other tags (the last form is for a quote without partner).
-_TOKEN = re.compile(
-    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>"
-    r"|<(?P<raw>%s)(?=[\s/>])(?P<own>%s|[^>]*)>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)(%s)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>" % ("|".join(RAW), _ATTRIBUTES, _ATTRIBUTES),
-    re.S | re.I,
-)
-_MARK = re.compile(r"""\b(class|id|role|itemprop|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_COMMENT_END = re.compile(r"--!?>")
+_RAW_START = re.compile(r"(%s)(?=[\s/>])" % "|".join(RAW), re.I)
+_RAW_END = {raw: re.compile(rf"</{raw}(?=[\s/>])[^>]*>", re.I) for raw in RAW}
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+#: What may end a tag, or begin a quoted value that may hold the same.
+_SPECIAL = re.compile(r"[>\"']")
+_MARK = re.compile(r"""\b(class|id|role|itemprop|hidden|rel)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -81,8 +90,29 @@ class Block:
     main: int  # number of the innermost article element, 0 outside
     prose: bool  # a paragraph or heading
     wrapper: int  # number of the innermost wrapper, 0 outside
+    element: int  # number of the innermost element, 0 outside
     label: bool | None = None
 
+    def __post_init__(self):
+        words = _WORD.findall(self.text.lower())
+        self.stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+        self.worded = 2 * sum(map(len, words)) >= len(self.text.replace(" ", ""))  # letters mostly
+
+    @property
+    def prose_like(self) -> bool:
+        """A long block that is not the text of links."""
+        return not self.aside and len(self.text) >= SHORT and self.linked <= LINKS * len(self.text.replace(" ", ""))
+
+
+@dataclass
+class Element:
+    """A block-level element, for finding like-built siblings."""
+
+    parent: int
+    kind: tuple[str, str]  # tag and class
+    byline: bool = False  # an author or a date inside
+    held: int = 0  # characters of prose inside
+
 
 #: How sure a wrapper is not the article: one word of a name among others; a form; a whole name.
 PART, FORM, WHOLE = 1, 2, 3
@@ -104,21 +134,24 @@ class Main:
 
     wrapper: int  # number of the wrapper around it, 0 outside
     sure: bool  # by its own tag <main> or role, or in no wrapper
+    root: bool = False  # by its own tag <main> or role
     held: int = 0  # characters of prose inside
 
 
-def _kind(tag: str, attributes: str, in_main: bool) -> tuple[bool, int, bool, bool]:
+def _kind(tag: str, marks: list[tuple[str, str]], in_main: bool) -> tuple[bool, int, bool, bool]:
     """(not the article, kind of wrapper or 0, the article, surely so) by an element's name, role and words of class or id."""
     aside = tag in ASIDE_TAGS or (tag == "header" and not in_main) or (tag == "form" and in_main)
     wrapper = FORM if tag == "form" and not in_main else 0
     main = tag in MAIN_TAGS
     sure = tag == "main"
-    for name, value in _MARK.findall(attributes):
+    for name, value in marks:
         name = name.lower()
         value = value.lower()
         words = re.split(r"[^a-z0-9]+", value)
         if name == "hidden" and not value:
             aside = True
+        elif name == "rel":
+            continue
         elif name == "role":
             aside |= any(w in ASIDE_ROLES for w in words)
             main |= "main" in words
@@ -134,6 +167,19 @@ def _kind(tag: str, attributes: str, in_main: bool) -> tuple[bool, int, bool, bo
     return aside, wrapper, main and not aside and tag != "p" and (sure or not wrapper), sure
 
 
+def _build(marks: list[tuple[str, str]]) -> tuple[str, bool]:
+    """An element's class, without numbers, since they tell like-built elements apart; and whether class, rel or
+    itemprop name an author or a date."""
+    own, byline = "", False
+    for name, value in marks:
+        name, value = name.lower(), value.lower()
+        if name == "class" and not own:
+            own = re.sub(r"[0-9]+", "", value.strip("\"'"))
+        if name in ("class", "rel", "itemprop"):
+            byline |= not BYLINE_WORDS.isdisjoint(re.split(r"[^a-z]+", value))
+    return own, byline
+
+
 @dataclass
 class Open:
     """An open element with what it passes on to the blocks inside."""
@@ -144,6 +190,7 @@ class Open:
     prose: bool = False
     link: bool = False
     wrapper: int = 0
+    element: int = 0
 
 
 #: Elements that end an open one of their own kind, and headings.
@@ -162,6 +209,7 @@ class _Reader:
         self.linked = 0
         self.mains = [Main(0, False)]
         self.wrappers = [Wrapper(0, 0, 0)]
+        self.elements = [Element(0, ("", ""))]
 
     def text(self, raw: str) -> None:
         if raw:
@@ -174,7 +222,7 @@ class _Reader:
         text = " ".join("".join(self.parts).split())
         if text:
             top = self.stack[-1]
-            self.blocks.append(Block(text, self.linked, top.aside, top.main, top.prose, top.wrapper))
+            self.blocks.append(Block(text, self.linked, top.aside, top.main, top.prose, top.wrapper, top.element))
         self.parts.clear()
         self.linked = 0
 
@@ -199,36 +247,99 @@ class _Reader:
             if k and (last == "p" or last in HEADINGS and tag in HEADINGS or last == tag and tag in SIBLINGS):
                 self._cut(k)
         top = self.stack[-1]
-        off, kind, on, sure = _kind(tag, attributes, bool(top.main))
+        marks = _MARK.findall(attributes) if attributes else []
+        own, byline = _build(marks) if marks else ("", False)
+        off, kind, on, sure = _kind(tag, marks, bool(top.main))
         main, wrapper = top.main, top.wrapper
         if on and not top.aside and not main:
-            self.mains.append(Main(wrapper, sure or not wrapper))
+            self.mains.append(Main(wrapper, sure or not wrapper, sure))
             main = len(self.mains) - 1
         elif kind and not top.aside and not off:
             self.wrappers.append(Wrapper(kind, wrapper, main))
             wrapper = len(self.wrappers) - 1
         prose = top.prose or tag == "p" or tag in HEADINGS
-        self.stack.append(Open(tag, top.aside or off, main, prose, top.link or tag == "a", wrapper))
+        element = top.element
+        if tag not in INLINE:
+            self.elements.append(Element(element, (tag, own)))
+            element = len(self.elements) - 1
+        if tag == "time" or byline:
+            self.elements[element].byline = True
+        self.stack.append(Open(tag, top.aside or off, main, prose, top.link or tag == "a", wrapper, element))
         self.open[tag] += 1
 
 
+class _Ends:
+    """Where tags of a page end. No character is gone over again after a tag that has no end: a scan that reaches a
+    place from which none was found stops there, so all tags together take time in proportion to the page."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = page.rfind(">")
+        self.dead: set[int] = set()
+
+    def quoted(self, at: int) -> int:
+        """The first ``>`` outside quotes from ``at`` on; -1 if there is none, or a quote has no partner."""
+        page, dead, seen = self.page, self.dead, []
+        while m := _SPECIAL.search(page, at):
+            k = m.start()
+            if page[k] == ">":
+                return k
+            if k in dead:
+                break
+            seen.append(k)
+            at = page.find(page[k], k + 1) + 1
+            if not at:
+                break
+        dead.update(seen)
+        return -1
+
+    def of(self, at: int) -> int:
+        """The end of a tag whose attributes begin at ``at``: outside quotes, else the next ``>``; -1 without any."""
+        if at > self.last:
+            return -1
+        end = self.quoted(at)
+        return end if end >= 0 else self.page.find(">", at)
+
+
 def _tags(page: str) -> list[tuple[int, int, str, str, str]]:
     """(start, end, "/" of an end tag, name, attributes) of what is not text, in page order; comments have neither name
     nor attributes, raw elements only their own name and stand for all they hold."""
     out = []
-    at = foreign = 0  # svg and math elements open
-    while m := _TOKEN.search(page, at):
-        at = m.end()
-        if m["raw"]:
-            if foreign and m["own"].endswith("/"):  # only there a raw element can be closed so
-                at = m.end("own") + 1
-            out.append((m.start(), at, "", m["raw"].lower(), ""))
-            continue
-        closing, tag, attributes = (m[3], m[4], m[5]) if m[4] else (m[6], m[7], m[8])
-        tag = tag.lower() if tag else ""
-        if tag in FOREIGN:
-            foreign = max(0, foreign - 1) if closing else foreign + (not attributes.endswith("/"))
-        out.append((m.start(), at, closing or "", tag, attributes or ""))
+    foreign = 0  # svg and math elements open
+    ends = _Ends(page)
+    endless: set[str] = set()  # raw elements without an end tag from here on
+    start = page.find("<")
+    while start >= 0:
+        at = start + 1  # without a tag here, what follows is looked at
+        if page.startswith("<!--", start):
+            short = page[start + 4 : start + 6]
+            if short.startswith(">") or short == "->":
+                at = start + 4 + short.index(">") + 1
+            else:
+                m = _COMMENT_END.search(page, start + 4)
+                at = m.end() if m else len(page)
+            out.append((start, at, "", "", ""))
+        elif page.startswith(("!", "?"), at):
+            end = page.find(">", at) if at <= ends.last else -1
+            if end >= 0:
+                out.append((start, end + 1, "", "", ""))
+                at = end + 1
+        elif (m := _RAW_START.match(page, at)) and (end := ends.of(m.end())) >= 0:
+            raw = m[1].lower()
+            closed = None if raw in endless else _RAW_END[raw].search(page, end + 1)
+            if not closed:
+                endless.add(raw)
+            at = closed.end() if closed else len(page)
+            if foreign and page[end - 1] == "/":  # only there a raw element can be closed so
+                at = end + 1
+            out.append((start, at, "", raw, ""))
+        elif at <= ends.last and (m := _NAME.match(page, at)) and (end := ends.of(m.end())) >= 0:
+            tag, attributes = m[2].lower(), page[m.end() : end]
+            if tag in FOREIGN:
+                foreign = max(0, foreign - 1) if m[1] else foreign + (not attributes.endswith("/"))
+            out.append((start, end + 1, m[1], tag, attributes))
+            at = end + 1
+        start = page.find("<", at)
     return out
 
 
@@ -284,25 +395,101 @@ def blocks(page: str) -> list[Block]:
             reader.start(tag, attributes)
     reader.text(page[at:])
     reader.flush()
+    responses(reader.blocks, reader.elements)
     settle(reader.blocks, reader.wrappers, reader.mains)
     return reader.blocks
 
 
-def _stops(text: str) -> float:
-    words = _WORD.findall(text.lower())
-    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+def responses(found: list[Block], elements: list[Element]) -> None:
+    """Mark sections of reader comments as not the article.
+
+    Such a section has siblings of one tag and class, two at least, each with an author or a date inside; and
+    the prose before the first of them, in the element that holds the section's parent at the latest, is longer than that of any of them. An article's parts with
+    dates of their own (a log of events) have no such prose before them.
+    """
+    if sum(e.byline for e in elements) < 2:
+        return
+    for e in reversed(elements[1:]):
+        elements[e.parent].byline |= e.byline
+    for b in found:
+        if b.prose_like:
+            elements[b.element].held += len(b.text)
+    for e in reversed(elements[1:]):
+        elements[e.parent].held += e.held
+    alike: dict[tuple, list[int]] = defaultdict(list)
+    for k, e in enumerate(elements[1:], 1):
+        if e.kind[0] in REPEATED_TAGS:
+            alike[e.parent, e.kind].append(k)
+    first_of: dict[int, int] = {}
+    for (parent, _), siblings in alike.items():
+        if len(siblings) > 1 and all(elements[k].byline for k in siblings):
+            first_of[siblings[0]] = max(elements[k].held for k in siblings)
+    if not first_of:
+        return
+    # prose before each first sibling, block by block: elements are numbered in page order
+    before, total, at = {}, 0, 0
+    for k in sorted(first_of):
+        while at < len(found) and found[at].element < k:
+            total += len(found[at].text) if found[at].prose_like else 0
+            at += 1
+        before[k] = total
+    off = set()
+    for (parent, _), siblings in alike.items():
+        if siblings[0] in first_of and before[siblings[0]] > first_of[siblings[0]]:
+            off.update(siblings)
+            # what is around them goes too, with headings and forms, as far as it holds no other prose
+            theirs = sum(elements[k].held for k in siblings)
+            while parent and elements[parent].held == theirs:
+                off.add(parent)
+                parent = elements[parent].parent
+    inside = [False] * len(elements)
+    for k, e in enumerate(elements[1:], 1):
+        inside[k] = k in off or inside[e.parent]
+    for b in found:
+        b.aside |= inside[b.element]
 
 
 def settle(found: list[Block], wrappers: list[Wrapper], mains: list[Main]) -> None:
-    """Decide which wrappers and which article elements inside of them count, by the prose they hold."""
-    if len(wrappers) == 1:
-        return
+    """Decide which wrappers and which article elements count, by the prose they hold."""
+    served = _served(found)
     total = 0
     for b in found:
-        if not b.aside and len(b.text) >= SHORT and b.linked <= LINKS * len(b.text.replace(" ", "")) and _stops(b.text) >= STOPS_LOW:
+        if b.prose_like and _reads(b, served):
             total += len(b.text)
             wrappers[b.wrapper].held += len(b.text)
             mains[b.main].held += len(b.text)
+    if len(wrappers) > 1:
+        _settle_wrappers(found, wrappers, mains, total)
+    # article elements that are but cards beside the page's prose: several, or with a title that is a link
+    outside = inside = 0
+    linked = set()
+    for b in found:
+        if not b.aside and b.main:
+            inside += len(b.text)
+            if b.linked > LINKS * len(b.text.replace(" ", "")):
+                linked.add(b.main)
+        elif b.prose_like and not b.wrapper and _reads(b, served):
+            outside += len(b.text)
+    held = {b.main for b in found if b.main and not b.aside}
+    if outside > inside and (len(held) > 1 or linked) and not any(m.root for m in mains):
+        for b in found:
+            b.aside |= bool(b.main)
+
+
+def _served(found: list[Block]) -> bool:
+    """Whether the stop words are those of the page's language: most of its prose, or any where there are no paragraphs, holds them."""
+    long = [b for b in found if b.prose_like and b.worded]
+    marked = [b for b in long if b.prose] or long
+    with_stops = sum(len(b.text) for b in marked if b.stops >= STOPS_LOW)
+    return not long or 2 * with_stops >= sum(len(b.text) for b in marked)
+
+
+def _reads(b: Block, served: bool) -> bool:
+    """Whether a long block is running prose: by its stop words, in other languages by being words."""
+    return b.stops >= STOPS_LOW or (not served and b.worded)
+
+
+def _settle_wrappers(found: list[Block], wrappers: list[Wrapper], mains: list[Main], total: int) -> None:
     for w in reversed(wrappers[1:]):
         wrappers[w.outer].held += w.held
     # article elements in wrappers: if there are no others, and the page's prose is theirs
@@ -333,16 +520,16 @@ def settle(found: list[Block], wrappers: list[Wrapper], mains: list[Main]) -> No
 def classify(found: list[Block]) -> None:
     """Label every block: True for the article."""
     has_main = any(b.main and not b.aside for b in found)
+    served = _served(found)
     for b in found:  # pass one: what is clear
-        stops = _stops(b.text)
         solid = len(b.text.replace(" ", ""))
         if b.aside or (has_main and not b.main):
             b.label = False
         elif b.linked > LINKS * max(1, solid):
             b.label = False
-        elif len(b.text) >= LONG and stops >= STOPS_HIGH:
+        elif len(b.text) >= LONG and b.stops >= STOPS_HIGH:
             b.label = True
-        elif len(b.text) >= SHORT and stops >= STOPS_LOW:
+        elif len(b.text) >= SHORT and _reads(b, served):
             b.label = True
         elif len(b.text) >= SHORT and not b.main:
             b.label = False
