@@ -11,9 +11,10 @@ it is broadcast, and no URL is shuffled by its characters.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segstats.llm.common import write_table
@@ -80,32 +81,55 @@ def grams(codes: Column) -> Column:
     )
 
 
+def _backed_off(total: Column, kinds: Column, counts: Column) -> Callable[[Column, Column], Column]:
+    """A symbol's probability in a context, from its prior, the one in the next shorter context."""
+
+    def smoothed(prior: Column, symbol: Column) -> Column:
+        seen = F.coalesce(F.try_element_at(counts, symbol), F.lit(0.0))
+        return F.when(total > 0, (seen + kinds * prior) / (total + kinds)).otherwise(prior)
+
+    return smoothed
+
+
 def log_ratios(counted: DataFrame) -> DataFrame:
-    """(gram, ratio) for every possible gram: log p(accepted) - log p(rejected), from (said, gram, n)."""
-    spark = counted.sparkSession
-    cells = spark.range(SYMBOLS ** (ORDER + 1)).select(F.col("id").cast("int").alias("gram"))
-    out = cells
-    for said in ("allow", "block"):
-        own = counted.filter(F.col("said") == said).select("gram", F.col("n").cast("double").alias("n"))
-        grid = cells.join(own, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0.0)))
-        prior = F.lit(1.0 / SYMBOLS)
-        for order in range(ORDER + 1):  # from no context to the longest
-            tail = F.col("gram") % (SYMBOLS ** (order + 1))  # context and symbol
-            context = F.floor(tail / SYMBOLS)
-            symbol = Window.partitionBy(tail)
-            grid = grid.withColumn("_n", F.sum("n").over(symbol))
-            once = Window.partitionBy(context)
-            # every (context, symbol) stands in the grid once for each longer context
-            copies = SYMBOLS ** (ORDER - order)
-            grid = grid.withColumn("_all", F.sum("n").over(once)).withColumn(
-                "_kinds", F.sum((F.col("_n") > 0).cast("double")).over(once) / copies
+    """(gram, ratio) for every possible gram: log p(accepted) - log p(rejected), from (said, gram, n).
+
+    Counts are added up for each context of no, one and two symbols (``SYMBOLS ** 2``
+    contexts of the longest, each with its symbols' counts); then the chain of
+    probabilities is worked out from the shortest context to the longest.
+    """
+    tails = F.array(*[F.col("gram") % SYMBOLS ** (order + 1) for order in range(ORDER + 1)])
+    held = counted.select("said", "n", F.posexplode(tails).alias("order", "tail"))
+    held = held.groupBy("said", "order", "tail").agg(F.sum("n").cast("double").alias("n"))
+    context = F.floor(F.col("tail") / SYMBOLS).cast("int").alias("context")
+    each = F.struct((F.col("tail") % SYMBOLS).cast("int").alias("symbol"), "n")
+    sides = ("allow", "block")
+    contexts = held.groupBy("order", context).agg(
+        *[
+            column
+            for side in sides
+            for column in (
+                F.coalesce(F.sum(F.when(F.col("said") == side, F.col("n"))), F.lit(0.0)).alias(f"{side}_all"),
+                F.count_if(F.col("said") == side).cast("double").alias(f"{side}_kinds"),
+                F.map_from_entries(F.collect_list(F.when(F.col("said") == side, each))).alias(f"{side}_held"),
             )
-            weight = F.col("_kinds")
-            p = F.when(F.col("_all") > 0, (F.col("_n") + weight * prior) / (F.col("_all") + weight)).otherwise(prior)
-            grid = grid.withColumn(f"_p{order}", p)
-            prior = F.col(f"_p{order}")
-        out = out.join(grid.select("gram", F.log(prior).alias(said)), "gram")
-    return out.select("gram", (F.col("allow") - F.col("block")).alias("ratio"))
+        ]
+    )
+    grid = counted.sparkSession.range(SYMBOLS**ORDER).select(F.col("id").cast("int").alias("longest"))
+    chain = {side: F.array_repeat(F.lit(1.0 / SYMBOLS), SYMBOLS) for side in sides}
+    for order in range(ORDER + 1):
+        own = contexts.filter(F.col("order") == order).drop("order")  # SYMBOLS ** order rows at most
+        own = own.withColumnsRenamed({c: f"{c}_{order}" for c in own.columns})
+        grid = grid.join(
+            F.broadcast(own), F.col("longest") % SYMBOLS**order == F.col(f"context_{order}"), "left"
+        )
+        for side in sides:
+            seen = [F.col(f"{side}_{x}_{order}") for x in ("all", "kinds", "held")]
+            grid = grid.withColumn(f"{side}_{order}", F.transform(chain[side], _backed_off(*seen)))
+            chain[side] = F.col(f"{side}_{order}")
+    ratios = F.zip_with(chain["allow"], chain["block"], lambda x, y: F.log(x) - F.log(y))
+    found = grid.select("longest", F.posexplode(ratios).alias("symbol", "ratio"))
+    return found.select((F.col("longest") * SYMBOLS + F.col("symbol")).alias("gram"), "ratio")
 
 
 def judged(pages: DataFrame, rules: list[Rule], url_col: str = "url") -> DataFrame:
@@ -141,16 +165,12 @@ def judged(pages: DataFrame, rules: list[Rule], url_col: str = "url") -> DataFra
     scored = write_table(scored, "url-scores")
     threshold = calibrated(scored)
     by_method = F.when(F.lit(threshold).isNull() | (F.col("score") >= F.lit(threshold)), "allow").otherwise("block")
-    scores = scored.filter("said is null").select(F.col("host").alias("_h"), F.col("path").alias("_p"), "score")
+    scores = scored.filter("said is null").select("host", "path", "score")
     # only URLs without rule need a score: a hot ruled host is not joined at all
-    free = known.filter("said is null")
-    free = free.join(scores, (free["host"] == scores["_h"]) & (free["path"] == scores["_p"]), "left").drop("_h", "_p")
-    own = known.filter("said is not null").withColumn("score", F.lit(None).cast("double"))
-    return (
-        free.withColumn("verdict", by_method)
-        .unionByName(own.withColumn("verdict", F.col("said")))
-        .drop("said")
-    )
+    free = known.filter("said is null").join(scores, ["host", "path"], "left").withColumn("verdict", by_method)
+    own = known.filter("said is not null").withColumns({"score": F.lit(None).cast("double"), "verdict": F.col("said")})
+    columns = [*wanted, "host", "path", "rule", "score", "verdict"]
+    return free.select(*columns).unionByName(own.select(*columns))
 
 
 def calibrated(scored: DataFrame) -> float | None:

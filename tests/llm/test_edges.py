@@ -161,9 +161,10 @@ def test_secrets_in_a_very_long_text(spark):
 
 def test_urls(spark):
     pages = spark.createDataFrame([(1, None), (1, None), (None, "http://a.net/x")], "page_id long, url string")
-    pages = pages.withColumn("score", F.lit("own")).withColumn("codes", F.lit(1))
+    pages = pages.withColumn("score", F.lit("own")).withColumns({c: F.lit(f"own {c}") for c in ("codes", "_h", "_p", "n", "gram")})
     rows = urls.judged(pages, RULES).collect()
     assert sorted((r["page_id"] or 0, r["verdict"]) for r in rows) == [(0, "block"), (1, "allow"), (1, "allow")]
+    assert all(r[c] == f"own {c}" for r in rows for c in ("codes", "_h", "_p", "n", "gram"))
     assert urls.judged(pages.filter("false"), RULES).count() == 0
 
 
