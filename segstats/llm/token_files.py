@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segstats.llm.common import prefix_sums, prepare_workers, text_of
+from segstats.llm.tokenization import largest_id
 from segstats.session import shared_dir
 
 MAGIC = b"TOKIDS01"
@@ -106,7 +107,6 @@ def write_token_files(
     docs: DataFrame,
     tokenizer: str,
     end_id: int = 2,
-    vocabulary: int = 49_408,
     folder: str | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -118,12 +118,13 @@ def write_token_files(
     texts' hashes; a heavily repeated row is spread over ranges by a salt. An
     empty table gives a folder with an empty manifest. Other columns are not
     read. A task writes its range under a name of its own attempt and renames
-    it when whole, so a repeated task leaves one file.
+    it when whole, so a repeated task leaves one file. Ids take two bytes if the
+    vocabulary and ``end_id`` allow it, else four.
     """
     spark = docs.sparkSession
     prepare_workers(spark)
     folder = folder or shared_dir(spark, "token-files")
-    width = 2 if vocabulary <= 1 << 16 else 4
+    width = 2 if max(largest_id(tokenizer), end_id) < 1 << 16 else 4
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     dictionary = train_dictionary(_dictionary_samples(source, tokenizer, width))
     store, root = file_system(folder)
@@ -159,6 +160,8 @@ def write_token_files(
             known = np.zeros(batch.num_rows, ENTRY)
             for k, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 ids = np.frombuffer(ids_of(text) + end, "<u4")
+                if int(ids.max()) >= 1 << 8 * width:
+                    raise ValueError(f"an id of {int(ids.max())} does not fit into {width} bytes")
                 frame = squeeze(ids.astype(f"<u{width}").tobytes())
                 data.write(frame)
                 known[k] = (doc_id or 0, doc_id is None, len(ids), start, at, len(frame))
@@ -174,9 +177,13 @@ def write_token_files(
             f.write(index.tobytes())
         for kind in ("bin", "idx"):
             _publish(store, f"{own}.{kind}", f"{root}/{name}.{kind}")
+        ends = [None if index["null"][k] else int(index["doc_id"][k]) for k in (0, -1)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([part], pa.int32()), pa.array([len(index)], pa.int64()), pa.array([start], pa.int64())],
-            ["shard", "n_docs", "n_tokens"],
+            [
+                pa.array([part], pa.int32()),
+                *[pa.array([x], pa.int64()) for x in (len(index), start, *ends)],
+            ],
+            ["shard", "n_docs", "n_tokens", "first", "last"],
         )
 
     ordered = (
@@ -186,7 +193,8 @@ def write_token_files(
         .sortWithinPartitions("doc_id", "tie")
         .select("doc_id", "text")
     )
-    ordered.mapInArrow(write, "shard int, n_docs long, n_tokens long").write.parquet(f"{folder}/{MANIFEST}")
+    shards = ordered.mapInArrow(write, "shard int, n_docs long, n_tokens long, first long, last long")
+    shards.write.parquet(f"{folder}/{MANIFEST}")
     return folder
 
 
@@ -222,6 +230,30 @@ def read_one(folder: str, shard: int, place: int) -> np.ndarray:
     return np.frombuffer(plain.decompress(frame), f"<u{width}").astype("<u4")
 
 
+def read_documents(folder: str, doc_id: int | None) -> list[np.ndarray]:
+    """The ids of every document with an id (null: those without), in the files' order; none if there is none.
+
+    The manifest tells the shards, a binary search of their indexes the places.
+    """
+    import pyarrow.parquet as pq
+
+    store, root = file_system(folder)
+    out = []
+    for s in sorted(pq.read_table(f"{root}/{MANIFEST}", filesystem=store).to_pylist(), key=lambda s: s["shard"]):
+        first, last = s["first"], s["last"]
+        if (first is not None) if doc_id is None else last is None or last < doc_id or (first is not None and first > doc_id):
+            continue
+        _, _, index = _index(store, root, s["shard"])
+        nulls = int(index["null"].sum())  # they come first
+        if doc_id is None:
+            places = range(nulls)
+        else:
+            ids = index["doc_id"][nulls:]
+            places = range(nulls + int(np.searchsorted(ids, doc_id)), nulls + int(np.searchsorted(ids, doc_id, "right")))
+        out += [read_one(folder, s["shard"], k) for k in places]
+    return out
+
+
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids (little-endian uint32): every document, read back from the files.
 

@@ -21,8 +21,9 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Chunks that are one run of Latin letters and one run of marks other than the apostrophe: two pre-tokens.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-Þß-öø-ÿ]+)([.,!?;:*%$#&|]*)")
 
-#: Chunks a worker remembers before it starts anew (about 200 bytes each).
-CACHE_WORDS = 800_000
+#: Bytes of chunks and ids that a worker remembers before it starts anew, what one costs besides its characters and ids,
+#: and the characters from which a chunk is not remembered (scripts without spaces make a chunk of every sentence).
+CACHE_BYTES, ENTRY_BYTES, LONGEST_CHUNK = 160 << 20, 200, 64
 
 _ENCODERS: dict[tuple, object] = {}
 
@@ -37,7 +38,7 @@ def _byte_letters() -> dict[int, str]:
 class WordEncoder:
     """``ids(text)``: little-endian uint32 ids as bytes; ``count(text)``: how many."""
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -50,8 +51,9 @@ class WordEncoder:
             ord(c): "".join(letters[b] for b in c.encode())
             for c in map(chr, [*range(0xC0, 0x100)])
         }
-        self._room = cache_words
+        self._room = cache_bytes
         self._ids: dict[str, bytes] = {"": b""}
+        self.held = 0  # bytes, about
 
     @staticmethod
     def fits(spec: dict) -> bool:
@@ -101,15 +103,23 @@ class WordEncoder:
         return out
 
     def ids(self, text: str) -> bytes:
-        if len(self._ids) > self._room:
-            self._ids = {"": b""}
         words = self.chunks(text)
         parts = list(map(self._ids.get, words))
         if None in parts:
-            self._ids |= self.encode_words({w for w, p in zip(words, parts) if p is None})
-            parts = list(map(self._ids.__getitem__, words))
+            new = self.encode_words({w for w, p in zip(words, parts) if p is None})
+            parts = [new[w] if p is None else p for w, p in zip(words, parts)]
+            self._keep(new)
         return b"".join(parts)
 
+    def _keep(self, new: dict[str, bytes]) -> None:
+        """Remember the ids of chunks that aren't long; begin anew where there is no more room."""
+        for w, ids in new.items():
+            if len(w) < LONGEST_CHUNK:
+                if self.held > self._room:
+                    self._ids, self.held = {"": b""}, 0
+                self._ids[w] = ids
+                self.held += entry_bytes(w, len(ids))
+
     def count(self, text: str) -> int:
         return len(self.ids(text)) // 4
 
@@ -147,6 +157,22 @@ class PieceEncoder:
         return len(self._model.encode(text))
 
 
+def entry_bytes(word: str, payload: int) -> int:
+    """What a remembered chunk costs, about: a character may take 4 bytes."""
+    return ENTRY_BYTES + (1 if word.isascii() else 4) * len(word) + payload
+
+
+def largest_id(path: str) -> int:
+    """The largest id that a vocabulary file (``.json`` or ``.model``) gives, added tokens included."""
+    if path.endswith(".model"):
+        import sentencepiece
+
+        return sentencepiece.SentencePieceProcessor(model_file=path).get_piece_size() - 1
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values(), default=0)
+
+
 def encoder(path: str):
     """This worker's encoder for a vocabulary file (``.json`` or ``.model``), made once."""
     if path not in _ENCODERS:

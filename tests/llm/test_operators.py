@@ -110,6 +110,31 @@ def test_one_document_is_read_alone(spark, tmp_path):
     assert place == 60
 
 
+def test_a_document_is_read_by_its_id(spark, tmp_path):
+    docs = [(i // 3 * 5, f"text number {i} " * (i % 7)) for i in range(90)] + [(None, "a"), (None, "b c"), (-4, "minus")]
+    folder = f"file://{tmp_path}/tokens"
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+    token_files.write_token_files(df, brute.VOCABULARY, folder=folder)
+    for wanted in {d for d, _ in docs} | {1, 10**9}:
+        got = sorted(ids.tolist() for ids in token_files.read_documents(folder, wanted))
+        assert got == sorted(brute.ids(t).tolist() for d, t in docs if d == wanted)
+
+
+@pytest.mark.parametrize("end_id, width", [(2, 2), (65_535, 2), (65_536, 4), (3_000_000_000, 4)])
+def test_ids_take_the_bytes_they_need(spark, tmp_path, end_id, width):
+    folder = f"file://{tmp_path}/tokens"
+    df = spark.createDataFrame([(i, "some words here " * i) for i in range(9)], "doc_id long, text string")
+    token_files.write_token_files(df, brute.VOCABULARY, end_id, folder=folder)
+    for i in range(9):
+        [got] = token_files.read_documents(folder, i)
+        assert got.tolist() == brute.ids("some words here " * i, end_id).tolist()
+    store, root = token_files.file_system(folder)
+    shards = spark.read.parquet(f"{folder}/manifest").collect()
+    assert {token_files._index(store, root, s["shard"])[0] for s in shards} == {width}
+    read = token_files.read_token_files(spark, folder).collect()
+    assert all(np.frombuffer(bytes(r["ids"]), "<u4")[-1] == end_id for r in read)
+
+
 def test_token_files_check_the_dictionary(spark, tmp_path):
     docs = load_table(spark, SF_DIR, "documents")
     folder = f"file://{tmp_path}/tokens"
@@ -277,6 +302,38 @@ def test_frequent_chunks_are_those_of_all_documents(spark):
     assert all(r[name] == want[r["text"]] for r in counted.collect() if r["text"] in want)
 
 
+@pytest.mark.parametrize("parts", [4, 64])
+def test_the_driver_gets_one_summary(spark, parts):
+    """Whatever the partitions; chunks are no key of an exchange, and long ones stay out."""
+    docs = [f"common word w{k % 300} {'x' * 64}" for k in range(3000)]
+    df = spark.createDataFrame([(t,) for t in docs], "text string").repartition(parts)
+    found = token_counts.summaries(df, 100, merged=4)
+    rows = found.collect()
+    assert len(rows) == 1 and len(rows[0]["words"]) <= 100 and "x" * 64 not in rows[0]["words"]
+    assert {"common", "word"} <= set(rows[0]["words"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Sort [w" not in plan and "hashpartitioning(w" not in plan
+
+
+def test_worker_caches_are_bounded_by_bytes():
+    import sys
+
+    from segstats.llm import tokenization
+
+    model = tokenization.WordEncoder(brute.VOCABULARY, cache_bytes=4 << 20)
+    long = ["日本語" * 40 + str(k) for k in range(2000)]
+    short = ["語" * 10 + str(k) for k in range(30_000)]
+    most = 0
+    for lo in range(0, len(short), 500):
+        model.ids(" ".join(short[lo : lo + 500] + long[lo // 15 : lo // 15 + 30]))
+        held = sys.getsizeof(model._ids) + sum(sys.getsizeof(w) + sys.getsizeof(i) for w, i in model._ids.items())
+        most = max(most, held)
+        assert not any(len(w) >= tokenization.LONGEST_CHUNK for w in model._ids)
+    assert 2 << 20 < most < 6 << 20
+    text = " ".join(long[:5] + short[:5])
+    assert model.ids(text) + b"\x02\0\0\0" == brute.ids(text).tobytes()
+
+
 def test_quality_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"
     rows = queries()["op6_quality"](spark, sf).join(load_table(spark, sf, "labels"), "doc_id")
