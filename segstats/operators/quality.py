@@ -415,29 +415,45 @@ def below_minimum_values(df: DataFrame, column: str, minimum: float) -> DataFram
     )
 
 
-def outside_domain(df: DataFrame, column: str, allowed: Sequence) -> DataFrame:
+def _members(df: DataFrame, column: str, domain: DataFrame) -> DataFrame:
+    """The values of a domain table (its first column) once each, in the type of ``column``; missing ones are none."""
+    values = domain.select(F.col(f"`{domain.columns[0]}`").cast(df.schema[column].dataType).alias("_value"))
+    return values.select(nan_as_null(values, "_value").alias("_value")).where(F.col("_value").isNotNull()).distinct()
+
+
+def outside_domain(df: DataFrame, column: str, allowed: Sequence | DataFrame) -> DataFrame:
     """Every observed value (missing included) with its count and whether it is allowed (Q14).
 
-    A missing value is outside the domain. Columns: ``<column>, row_count,
+    A missing value is outside the domain. ``allowed`` is a list of values, or a
+    table whose first column holds them, however many: the observed values are
+    counted first and then joined with it, without a hint, so Spark broadcasts
+    whichever it measures to be small. Columns: ``<column>, row_count,
     in_domain``; most frequent first.
     """
     require_columns(df, [column])
-    c = nan_as_null(df, column)
-    return (
-        df.groupBy(c.alias(column))
-        .agg(F.count(F.lit(1)).alias("row_count"))
-        .withColumn("in_domain", in_values(F.col(column), allowed))
-        .orderBy(F.desc("row_count"), F.asc_nulls_last(column))
-    )
-
-
-def outside_domain_count(df: DataFrame, column: str, allowed: Sequence) -> DataFrame:
-    """Rows outside the domain (missing included), one row (Q14)."""
+    counts = df.groupBy(nan_as_null(df, column).alias(column)).agg(F.count(F.lit(1)).alias("row_count"))
+    if isinstance(allowed, DataFrame):
+        members = _members(df, column, allowed).withColumn("_member", F.lit(True))
+        joined = counts.join(members, F.col(column) == F.col("_value"), "left")
+        told = joined.select(column, "row_count", F.coalesce("_member", F.lit(False)).alias("in_domain"))
+    else:
+        told = counts.withColumn("in_domain", in_values(F.col(column), allowed))
+    return told.orderBy(F.desc("row_count"), F.asc_nulls_last(column))
+
+
+def outside_domain_count(df: DataFrame, column: str, allowed: Sequence | DataFrame) -> DataFrame:
+    """Rows outside the domain, a list or a table (missing included), one row (Q14)."""
     require_columns(df, [column])
-    c = nan_as_null(df, column)
-    return df.agg(
-        F.count(F.lit(1)).alias("row_count"), F.count_if(~in_values(c, allowed)).alias("outside_count")
-    ).select(F.lit(column).alias("column_name"), "row_count", "outside_count")
+    if isinstance(allowed, DataFrame):
+        n = F.col("row_count")
+        counts = outside_domain(df, column, allowed).agg(
+            F.coalesce(F.sum(n), F.lit(0)).alias("row_count"),
+            F.coalesce(F.sum(F.when(~F.col("in_domain"), n)), F.lit(0)).alias("outside_count"),
+        )
+    else:
+        outside = ~in_values(nan_as_null(df, column), allowed)
+        counts = df.agg(F.count(F.lit(1)).alias("row_count"), F.count_if(outside).alias("outside_count"))
+    return counts.select(F.lit(column).alias("column_name"), "row_count", "outside_count")
 
 
 def range_profile(df: DataFrame, column: str) -> DataFrame:
@@ -462,39 +478,44 @@ def range_profile(df: DataFrame, column: str) -> DataFrame:
 # Q16 -------------------------------------------------------------------------
 
 
-def domain_conformance(df: DataFrame, domains: Mapping[str, Sequence]) -> DataFrame:
-    """Per column, observed values outside its documented domain (Q16).
+def domain_conformance(df: DataFrame, domains: Mapping[str, Sequence | DataFrame]) -> DataFrame:
+    """Per column, observed values outside its documented domain, a list or a table (Q16).
 
     Missing values are reported with status ``missing``, other departures
     ``unexpected``; conforming values produce no row. Columns: ``column_name,
-    value, value_status, row_count``. One scan: each row emits only its
-    departures, which one aggregation counts.
+    value, value_status, row_count``. One scan for all lists: each row emits
+    only its departures, which one aggregation counts. One more for all tables:
+    the values of their columns are counted and those in the tables taken out.
     """
     require_columns(df, list(domains))
-    cells = [
-        F.struct(
-            F.lit(c).alias("column_name"),
-            nan_as_null(df, c).cast("string").alias("value"),
-            in_values(nan_as_null(df, c), list(vals)).alias("_ok"),
-        )
-        for c, vals in domains.items()
-    ]
-    if not cells:
-        return df.sparkSession.createDataFrame(
-            [], "column_name string, value string, value_status string, row_count bigint"
-        )
-    departures = df.select(F.explode(F.filter(F.array(*cells), lambda x: ~x["_ok"])).alias("v")).select(
-        "v.column_name", "v.value"
-    )
+    lists = {c: list(vals) for c, vals in domains.items() if not isinstance(vals, DataFrame)}
+    tables = {c: vals for c, vals in domains.items() if isinstance(vals, DataFrame)}
+    counted = df.sparkSession.createDataFrame([], "column_name string, value string, row_count bigint")
+
+    def cell(c: str, *more: Column) -> Column:
+        return F.struct(F.lit(c).alias("column_name"), nan_as_null(df, c).cast("string").alias("value"), *more)
+
+    def counts(cells: Column) -> DataFrame:
+        each = df.select(F.explode(cells).alias("v")).select("v.column_name", "v.value")
+        return each.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("row_count"))
+
+    if lists:
+        cells = [cell(c, in_values(nan_as_null(df, c), vals).alias("_ok")) for c, vals in lists.items()]
+        counted = counted.unionByName(counts(F.filter(F.array(*cells), lambda x: ~x["_ok"])))
+    if tables:
+        members = None
+        for c, domain in tables.items():
+            own = _members(df, c, domain).select(F.lit(c).alias("column_name"), F.col("_value").cast("string").alias("value"))
+            members = own if members is None else members.unionByName(own)
+        held = counts(F.array(*[cell(c) for c in tables]))
+        counted = counted.unionByName(held.join(members, ["column_name", "value"], "left_anti"))
     return (
-        departures.groupBy("column_name", "value")
-        .agg(F.count(F.lit(1)).alias("row_count"))
-        .select(
+        counted.select(
             "column_name",
             "value",
             F.when(F.col("value").isNull(), "missing").otherwise("unexpected").alias("value_status"),
             "row_count",
-            ordinal_in(F.col("column_name"), list(domains)).alias("_pos"),
+            (ordinal_in(F.col("column_name"), list(domains)) if domains else F.lit(0)).alias("_pos"),
         )
         .orderBy("_pos", F.desc("row_count"), F.asc_nulls_last("value"))
         .drop("_pos")
