@@ -496,7 +496,42 @@ def test_bounds_leave_candidates_out():
     near, far = rng.integers(-50, 50, (50, 16)) + 500, rng.integers(-50, 50, (50, 16)) - 500
     best = topk.Best(np.arange(3), q, 10)
     best.add(np.arange(100, 150), near)
-    assert len(best.survivors(far)) == 0
+    assert not best.survivors(far).any()
+
+
+def test_bounds_leave_pairs_out_of_the_given_vectors(spark):
+    """The finest resolution excludes single pairs, and nothing that counts."""
+    found = load_table(spark, "/root/testdata/sf0.1", "embeddings").select("vec_id", "embedding").collect()
+    v = np.floor(np.array([r["embedding"] for r in found], float) * 1024).astype("i8")
+    ids = np.array([r["vec_id"] for r in found])
+    best = topk.Best(ids[ids % 100 == 0], v[ids % 100 == 0], 10)
+    for lo in range(0, len(ids), 256):
+        best.add(ids[lo : lo + 256], v[lo : lo + 256])
+    assert best.left_out > 0.3 * best.pairs
+    for q, own in enumerate(best.ids.tolist()):
+        mine = best.q == q
+        got = list(zip(best.score[mine].tolist(), best.vec[mine].tolist()))
+        scores = v @ best.v[q]
+        want = sorted((-s, i) for s, i in zip(scores.tolist(), ids.tolist()) if i != own)[:10]
+        assert got == [(-s, i) for s, i in want]
+
+
+def test_pairs_are_scored_like_blocks():
+    rng = np.random.default_rng(4)
+    for high in (1000, 1 << 40):
+        q, x = rng.integers(-high, high, (5, 6)), rng.integers(-high, high, (9, 6))
+        at, c = (a.ravel() for a in np.meshgrid(np.arange(5), np.arange(9), indexing="ij"))
+        assert topk.pair_scores(q, x, at, c, 7).tolist() == topk.exact_scores(q, x).ravel().tolist()
+
+
+def test_top_k_plan_does_not_grow_with_the_queries(spark):
+    df = spark.range(400).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("float"), F.lit(1.0)).alias("embedding"))
+    plans = []
+    for block in (2, 2048):
+        got = topk.top_k(df, F.col("vec_id") % 2 == 0, k=3, query_block=block)
+        plans.append(got._jdf.queryExecution().executedPlan().toString().count("\n"))
+        assert sorted((r["query_id"], r["rank"]) for r in got.collect()) == [(q, k) for q in range(0, 400, 2) for k in (1, 2, 3)]
+    assert plans[0] == plans[1]
 
 
 def test_secret_query(spark, documents):
