@@ -7,12 +7,14 @@ and all that are rare in the corpus. So a copy that scores at least the
 threshold holds a seed whole. Where a document holds a seed, and n-grams of
 the item in whose absence the threshold can still be reached, the passage
 around it is aligned with the item; the score is that of the best local
-alignment as a share of the item's own. Items are handled in blocks of
-bounded size that are broadcast; documents never move.
+alignment as a share of the item's own. Items are handled in blocks of bounded
+size: the driver makes one at a time and writes it, and a task reads one at a
+time, so neither memory nor the plan grows with the benchmark. Documents never move.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,11 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segstats.llm.common import fresh_name, prepare_workers, text_of
+from segstats.llm.token_files import file_system
+from segstats.session import shared_dir
 
 #: Alignment scores of equal words, of different words, and of a word without partner.
 MATCH, MISMATCH, GAP = 2, -1, -2
 #: Share of an item's own score from which a passage is a copy of it; most words in a seed; share of documents up to
-#: which an n-gram is rare; benchmark words in one block (about 100 bytes each as sent).
+#: which an n-gram is rare; benchmark words in one block (about 100 bytes each).
 THRESHOLD, SEED_WORDS, RARE, BLOCK_WORDS = 0.6, 3, 1e-4, 500_000
 
 #: Marks that don't tell words apart.
@@ -160,6 +164,7 @@ def document_frequencies(docs: DataFrame, block: Block, text_col: str) -> dict[i
     out = {n: np.zeros(len(c), "i8") for n, c in block.codes.items()}
     for r in rows.groupBy("n", "gram").agg(F.sum("docs").alias("docs")).collect():  # at most the block's n-grams
         out[r["n"]][r["gram"]] = r["docs"]
+    shared.destroy()
     return out
 
 
@@ -275,23 +280,45 @@ def with_matches(
     name = fresh_name(out, docs.columns)
     kind = benchmark.schema[item_id_col].dataType.simpleString()
     shape = f"array<struct<item_id:{kind},score:double>>"
-    result = docs.withColumn(name, F.array().cast(shape))
     rows = docs.count()
+    folder = shared_dir(spark, "benchmark-blocks")
+    store, root = file_system(folder)
+    store.create_dir(root, recursive=True)
+    blocks = 0
     for block in blocks_of(benchmark, item_id_col, item_text_col, threshold, block_words):
         seeds = choose_seeds(block, document_frequencies(docs, block, text_col), rows, threshold, rare)
-        shared = spark.sparkContext.broadcast((block, seeds, threshold))
-        result = result.withColumn(name, F.concat(name, _finder(shared)(text_of(text_col)).cast(shape)))
-    return result, name
+        with store.open_output_stream(f"{root}/{blocks}") as f:
+            f.write(pickle.dumps((block, seeds, threshold)))
+        blocks += 1
+    found = _finder(folder, blocks)(text_of(text_col)) if blocks else F.array()
+    return docs.withColumn(name, found.cast(shape)), name
 
 
-def _finder(shared):
+#: The block that this worker has read last.
+_READ: dict[tuple[str, int], Matcher] = {}
+
+
+def _matcher(folder: str, number: int) -> Matcher:
+    """A block's matcher, read from its file; a worker holds one block, however many there are."""
+    if (folder, number) not in _READ:
+        _READ.clear()
+        store, root = file_system(folder)
+        with store.open_input_stream(f"{root}/{number}") as f:
+            _READ[folder, number] = Matcher(*pickle.loads(f.read()))
+    return _READ[folder, number]
+
+
+def _finder(folder: str, blocks: int):
     @F.arrow_udf("array<struct<item_id:string,score:double>>")
-    def find(texts: pa.Array) -> pa.Array:
-        matcher = Matcher(*shared.value)
-        found = [
-            [{"item_id": None if i is None else str(i), "score": s} for i, s in matcher.find(t)]
-            for t in texts.to_pylist()
-        ]
+    def find(column: pa.Array) -> pa.Array:
+        from segstats.llm.decontaminate import _matcher
+
+        texts = column.to_pylist()
+        found: list[list[dict]] = [[] for _ in texts]
+        for number in range(blocks):
+            matcher = _matcher(folder, number)
+            for text, own in zip(texts, found):
+                own += [{"item_id": None if i is None else str(i), "score": s} for i, s in matcher.find(text)]
         return pa.array(found, pa.list_(pa.struct([("item_id", pa.string()), ("score", pa.float64())])))
 
     return find

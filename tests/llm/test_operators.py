@@ -175,6 +175,18 @@ def test_decontamination_finds_whole_and_edited_copies(spark):
     assert len(set(map(str, whole.values()))) == 1
 
 
+def test_decontamination_plan_does_not_grow_with_the_benchmark(spark):
+    """However many blocks: one UDF column, one block in a worker at a time."""
+    docs = spark.createDataFrame([(i, f"w{i} x{i} y{i} z{i} some other words") for i in range(40)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, f"w{i} x{i} y{i} z{i}") for i in range(40)], "item_id long, text string")
+    plans = []
+    for block_words in (8, 10**6):
+        found, name = decontaminate.with_matches(docs, bench, block_words=block_words)
+        plans.append(found._jdf.queryExecution().executedPlan().toString().count("\n"))
+        assert {(r["doc_id"], m["item_id"]) for r in found.collect() for m in r[name]} == {(i, i) for i in range(40)}
+    assert plans[0] == plans[1]
+
+
 @pytest.mark.parametrize("rows", [60, 12_000])
 def test_decontamination_finds_inserted_and_mixed_edits(spark, rows):
     rng = random.Random(11)
