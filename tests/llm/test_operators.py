@@ -722,14 +722,16 @@ def test_url_method_separates_unlike_urls(spark):
     assert got[200] == "allow" and got[201] == "block"
 
 
-@pytest.mark.parametrize("name", ["op8_top_k", "op10_url_filter"])
+@pytest.mark.parametrize(
+    "name", ["op8_top_k", "op9_secrets", "op10_url_filter", "op11_sharding", "op12_resampling", "op13_divergence"]
+)
 def test_query_matches_sql(spark, name):
     import duckdb
 
     from segstats.llm.queries import ORACLE_SQL
 
     con = duckdb.connect()
-    for t in ("pages", "embeddings"):
+    for t in ("pages", "embeddings", "documents", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_DIR}/{t}.parquet')")
     got = queries()[name](spark, SF_DIR)
     want = con.sql(ORACLE_SQL[name])
