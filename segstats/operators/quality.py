@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segstats.functions.exprs import (
@@ -711,130 +711,185 @@ class QualityConfig:
     contexts: Mapping[str, Sequence[str]] = field(default_factory=dict)
 
 
+def _report_records(df: DataFrame, checks: Sequence[tuple]) -> DataFrame:
+    """(check, shown): up to ten affected rows of every check, in one scan.
+
+    A check is ``(condition, context columns)``; its first context column
+    orders the rows. An affected row is told once per check it fails; each task
+    keeps its own ten rows of a check before the exchange.
+    """
+    cols = list(dict.fromkeys(c for _, context in checks for c in context))
+    place = {c: f"_c{i}" for i, c in enumerate(cols)}
+    any_wrong = F.lit(False)
+    for wrong, _ in checks:
+        any_wrong = any_wrong | F.coalesce(wrong, F.lit(False))
+    failed = F.filter(F.array(*[F.when(wrong, F.lit(i)) for i, (wrong, _) in enumerate(checks)]), lambda i: i.isNotNull())
+    told = df.where(any_wrong).select(*[df[c].alias(place[c]) for c in cols], F.explode(failed).alias("check"))
+    # One key for each ordering column, missing in the rows of checks that other columns order.
+    keys = []
+    for first in dict.fromkeys(context[0] for _, context in checks):
+        own = [i for i, (_, context) in enumerate(checks) if context[0] == first]
+        keys.append(F.when(F.col("check").isin(own), F.col(place[first])))
+    told = told.withColumn("_rank", F.row_number().over(Window.partitionBy("check").orderBy(*keys)))
+    shown = F.lit(None).cast("string")
+    for i, (_, context) in enumerate(checks):
+        record = F.struct(*[F.col(place[c]).alias(c) for c in context])
+        shown = F.when(F.col("check") == i, F.to_json(record, {"ignoreNullFields": "false"})).otherwise(shown)
+    return told.where(F.col("_rank") <= SAMPLE_SIZE).select("check", shown.alias("shown"))
+
+
 def quality_report(df: DataFrame, config: QualityConfig) -> DataFrame:
     """The whole assessment in one long table, in report order (Q18).
 
     Columns: ``section, item, column_name, value, row_count, metric`` plus
-    ``step`` for ordering. Every single-row counter (shape, missing per
-    column, readability classes, below-minimum, outside-domain, range) is
-    fused into ONE global aggregate; value counts come from the operators
-    above. Each part scans only the columns it needs. Affected records of a
-    checked column with a context are shown as JSON of the context columns, up
-    to ten each, with the number affected as ``row_count``.
+    ``step`` for ordering. Affected records of a checked column with a context
+    are shown as JSON of the context columns, up to ten each, with the number
+    affected as ``row_count``.
+
+    Every row tells numbered cells (the section and column by the number, a
+    value, a number whose range is wanted), which the tasks combine before one
+    shuffle: one scan for all sections. Cells that have one row whatever the
+    data (counters) are collected; values stay distributed. The
+    affected records take a second scan, duplicate rows and ids their own.
     """
     c = config
-    counters = [F.count(F.lit(1)).alias("_rows")]
-    counters += [F.count_if(_missing(df, col)).alias(f"_miss{i}") for i, col in enumerate(df.columns)]
+    checked = [*c.minimums, *c.domains, *c.range_columns, *([c.numeric_text_column] if c.numeric_text_column else [])]
+    shown_columns = [x for context in c.contexts.values() for x in context]
+    by = c.blank_context_column if c.numeric_text_column else None
+    require_columns(df, [*checked, *shown_columns, *([by] if by else []), *[x for r in c.rules for x in (r.trigger, *r.dependents)]])
+    profiled = categorical_columns(df, c.exclude_categorical)
+    names: dict[tuple, int] = {}
+    cells: list[Column] = []
+
+    def cell(name: tuple, when: Column | None = None, value: Column | None = None, number: Column | None = None) -> None:
+        told = F.struct(
+            F.lit(names.setdefault(name, len(names))).alias("cell"),
+            (F.lit(None) if value is None else value).cast("string").alias("value"),
+            (F.lit(None) if number is None else number).cast("double").alias("number"),
+        )
+        cells.append(told if when is None else F.when(when, told))
+
+    cell(("rows",))
+    for col in df.columns:
+        if col in profiled:  # its missing rows are those of the missing value
+            cell(("profile", col), value=nan_as_null(df, col))
+        else:
+            cell(("missing", col), _missing(df, col))
+    for i, r in enumerate(c.rules):
+        fired = F.coalesce(df[r.trigger] == F.lit(r.trigger_value), F.lit(False))
+        cell(("trigger", i), fired)
+        any_bad = F.lit(False)
+        for d in r.dependents:
+            any_bad = any_bad | _violation(df, r, d)
+            cell(("violation", i, d), fired & _violation(df, r, d), df[d])
+        cell(("violating", i), fired & any_bad)
     if c.numeric_text_column:
         cls = readability_class(nan_as_null(df, c.numeric_text_column))
-        counters += [F.count_if(cls == F.lit(k)).alias(f"_rd_{k}") for k in READABILITY_CLASSES]
-    for i, (col, mn) in enumerate(c.minimums.items()):
+        cell(("readability",), value=cls)
+        if by:
+            cell(("blank",), (cls == "blank") & nan_as_null(df, by).isNotNull(), row_key(df, by))
+    for col, mn in c.minimums.items():
         x = nan_as_null(df, col)
-        counters += [F.min(x).cast("double").alias(f"_bmin{i}"), F.count_if(x < F.lit(mn)).alias(f"_below{i}")]
-    for i, (col, vals) in enumerate(c.domains.items()):
-        counters += [F.count_if(~in_values(nan_as_null(df, col), list(vals))).alias(f"_out{i}")]
-    for i, col in enumerate(c.range_columns):
+        cell(("minimum", col), x.isNotNull(), number=x)
+        cell(("below", col), x < F.lit(mn))
+        cell(("below_value", col), x < F.lit(mn), row_key(df, col))
+    for col, vals in c.domains.items():
+        outside = ~in_values(nan_as_null(df, col), list(vals))
+        cell(("outside", col), outside)
+        cell(("outside_value", col), outside, row_key(df, col))
+    for col in c.range_columns:
         x = nan_as_null(df, col)
-        counters += [
-            F.count_if(x.isNull()).alias(f"_rmiss{i}"),
-            F.min(x).cast("double").alias(f"_rmin{i}"),
-            F.max(x).cast("double").alias(f"_rmax{i}"),
-        ]
-
-    def row(step, section, item, column=None, value=None, count=None, metric=None):
-        return F.struct(
-            F.lit(step).alias("step"),
-            F.lit(section).alias("section"),
-            F.lit(item).alias("item"),
-            F.lit(column).cast("string").alias("column_name"),
-            (value if isinstance(value, Column) else F.lit(value)).cast("string").alias("value"),
-            (count if isinstance(count, Column) else F.lit(count)).cast("bigint").alias("row_count"),
-            (metric if isinstance(metric, Column) else F.lit(metric)).cast("double").alias("metric"),
-        )
+        cell(("range", col), x.isNotNull(), number=x)
 
-    rows = [
-        row(0, "shape", "rows", count=F.col("_rows")),
-        row(0, "shape", "columns", count=F.lit(len(df.columns))),
-    ]
-    rows += [
-        row(2, "missing", "missing_values", col, count=F.col(f"_miss{i}"), metric=percent(F.col(f"_miss{i}"), F.col("_rows")))
-        for i, col in enumerate(df.columns)
+    counted = materialize(
+        df.select(F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("c"))
+        .groupBy("c.cell", "c.value")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("c.number").alias("low"), F.max("c.number").alias("high"))
+    )
+    # One row a counter and class, and one a column that has missing values.
+    valued = ("profile", "violation", "blank", "below_value", "outside_value")
+    counters = [i for name, i in names.items() if name[0] not in valued]
+    got = {
+        (r["cell"], r["value"]): r
+        for r in counted.where(F.col("cell").isin(counters) | F.col("value").isNull()).collect()
+    }
+
+    def found(name: tuple, value: str | None = None, what: str = "n"):
+        r = got.get((names[name], value))
+        return r[what] if r is not None else (0 if what == "n" else None)
+
+    rows = found(("rows",))
+    lines: list[tuple] = [
+        (0, "shape", "rows", None, None, rows, None),
+        (0, "shape", "columns", None, None, len(df.columns), None),
     ]
+    for col in df.columns:
+        n = found(("profile" if col in profiled else "missing", col))
+        lines.append((2, "missing", "missing_values", col, None, n, n / rows * 100.0 if rows else None))
+    for i, r in enumerate(c.rules):
+        bad = float(found(("violating", i)))
+        lines.append((4, "implication", r.name, r.trigger, str(r.trigger_value), found(("trigger", i)), bad))
     if c.numeric_text_column:
-        rows += [
-            row(5, "readability", k, c.numeric_text_column, count=F.col(f"_rd_{k}")) for k in READABILITY_CLASSES
-        ]
-    for i, col in enumerate(c.minimums):
-        rows += [
-            row(6, "below_minimum", "observed_min", col, metric=F.col(f"_bmin{i}")),
-            row(6, "below_minimum", "below_count", col, count=F.col(f"_below{i}"), metric=float(c.minimums[col])),
-        ]
-    for i, col in enumerate(c.domains):
-        rows.append(row(7, "outside_domain", "outside_count", col, count=F.col(f"_out{i}")))
-    for i, col in enumerate(c.range_columns):
-        rows += [
-            row(8, "range", "missing_count", col, count=F.col(f"_rmiss{i}")),
-            row(8, "range", "observed_min", col, metric=F.col(f"_rmin{i}")),
-            row(8, "range", "observed_max", col, metric=F.col(f"_rmax{i}")),
-        ]
-    parts = [df.agg(*counters).select(_rows(rows))]
-
-    def lit_part(frame: DataFrame, step: int, section: str, item, column, value, count, metric=None) -> DataFrame:
-        return frame.select(
-            F.lit(step).alias("step"),
-            F.lit(section).alias("section"),
-            (item if isinstance(item, Column) else F.lit(item)).cast("string").alias("item"),
-            (column if isinstance(column, Column) else F.lit(column)).cast("string").alias("column_name"),
-            (value if isinstance(value, Column) else F.lit(value)).cast("string").alias("value"),
-            (count if isinstance(count, Column) else F.lit(count)).cast("bigint").alias("row_count"),
-            (metric if isinstance(metric, Column) else F.lit(metric)).cast("double").alias("metric"),
-        )
-
-    parts.append(lit_part(count_duplicate_rows(df), 1, "duplicates", "duplicate_rows", None, None, F.col("duplicate_rows")))
-    if c.id_column:
-        parts.append(
-            lit_part(count_duplicate_ids(df, c.id_column), 1, "duplicates", "duplicate_ids", c.id_column, None, F.col("duplicate_ids"))
-        )
-    prof = categorical_profile(df, exclude=c.exclude_categorical)
-    parts.append(
-        lit_part(prof, 3, "categorical_profile", "value_count", F.col("column_name"), F.col("value"), F.col("value_count"), F.col("value_percent"))
-    )
-    if c.rules:
-        parts.append(
-            lit_part(implication_support(df, c.rules), 4, "implication", F.col("rule"), F.col("trigger_column"), F.col("trigger_value"), F.col("trigger_rows"), F.col("violating_rows"))
-        )
-        parts.append(
-            lit_part(implication_violations(df, c.rules), 4, "implication_violation", F.col("rule"), F.col("column_name"), F.col("observed_value"), F.col("affected_rows"))
-        )
-    for col, vals in c.domains.items():
-        parts.append(
-            lit_part(
-                outside_domain(df, col, vals).where(~F.col("in_domain")), 7, "outside_domain", "value_count", col, F.col(col), F.col("row_count")
-            )
-        )
-    if c.numeric_text_column and c.blank_context_column:
-        by = c.blank_context_column
-        parts.append(
-            lit_part(class_context(df, c.numeric_text_column, by), 5, "blank_context", by, c.numeric_text_column, F.col(by), F.col("row_count"))
-        )
+        for k in READABILITY_CLASSES:
+            lines.append((5, "readability", k, c.numeric_text_column, None, found(("readability",), k), None))
     for col, mn in c.minimums.items():
-        parts.append(
-            lit_part(below_minimum_values(df, col, mn), 6, "below_minimum", "value_count", col, F.col(col), F.col("row_count"))
-        )
-    affected = []
-    if c.numeric_text_column:
+        lines.append((6, "below_minimum", "observed_min", col, None, None, found(("minimum", col), what="low")))
+        lines.append((6, "below_minimum", "below_count", col, None, found(("below", col)), float(mn)))
+    for col in c.domains:
+        lines.append((7, "outside_domain", "outside_count", col, None, found(("outside", col)), None))
+    for col in c.range_columns:
+        lines.append((8, "range", "missing_count", col, None, rows - found(("range", col)), None))
+        lines.append((8, "range", "observed_min", col, None, None, found(("range", col), what="low")))
+        lines.append((8, "range", "observed_max", col, None, None, found(("range", col), what="high")))
+
+    spark = df.sparkSession
+    head = "step int, section string, item string, column_name string"
+    columns = ["step", "section", "item", "column_name", "value", "row_count", "metric"]
+    out = spark.createDataFrame(lines, f"{head}, value string, row_count bigint, metric double")
+
+    places = []
+    for name, i in names.items():
+        if name[0] == "profile":
+            places.append((i, 3, "categorical_profile", "value_count", name[1]))
+        elif name[0] == "violation":
+            places.append((i, 4, "implication_violation", c.rules[name[1]].name, name[2]))
+        elif name[0] == "blank":
+            places.append((i, 5, "blank_context", by, c.numeric_text_column))
+        elif name[0] == "below_value":
+            places.append((i, 6, "below_minimum", "value_count", name[1]))
+        elif name[0] == "outside_value":
+            places.append((i, 7, "outside_domain", "value_count", name[1]))
+    if places:  # one small row a cell
+        of_rows = F.when(F.col("step") == 3, percent(F.col("n"), F.lit(rows)))
+        values = counted.join(F.broadcast(spark.createDataFrame(places, f"cell int, {head}").coalesce(1)), "cell")
+        out = out.unionByName(values.withColumns({"row_count": F.col("n"), "metric": of_rows}).select(*columns))
+
+    checks, told = [], []
+    if c.numeric_text_column and c.contexts.get(c.numeric_text_column):
         unreadable = readability_class(nan_as_null(df, c.numeric_text_column)) != "convertible"
-        affected.append((5, "readability", c.numeric_text_column, unreadable))
-    affected += [(6, "below_minimum", col, nan_as_null(df, col) < F.lit(mn)) for col, mn in c.minimums.items()]
-    affected += [
-        (7, "outside_domain", col, ~in_values(nan_as_null(df, col), list(vals))) for col, vals in c.domains.items()
-    ]
-    for step, section, col, wrong in affected:
-        if context := list(c.contexts.get(col, ())):
-            sample = affected_sample(df, wrong, context, context[:1]).where(F.col("affected_count") > 0)
-            shown = F.to_json(F.struct(*context), {"ignoreNullFields": "false"})
-            parts.append(lit_part(sample, step, section, "affected_record", col, shown, F.col("affected_count")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        checks.append((unreadable, list(c.contexts[c.numeric_text_column])))
+        told.append((5, "readability", c.numeric_text_column, rows - found(("readability",), "convertible")))
+    for col, mn in c.minimums.items():
+        if c.contexts.get(col):
+            checks.append((nan_as_null(df, col) < F.lit(mn), list(c.contexts[col])))
+            told.append((6, "below_minimum", col, found(("below", col))))
+    for col, vals in c.domains.items():
+        if c.contexts.get(col):
+            checks.append((~in_values(nan_as_null(df, col), list(vals)), list(c.contexts[col])))
+            told.append((7, "outside_domain", col, found(("outside", col))))
+    wanted = [k for k, t in enumerate(told) if t[3]]
+    if wanted:
+        places = [(i, step, section, "affected_record", col, n) for i, (step, section, col, n) in enumerate(told[k] for k in wanted)]
+        places = spark.createDataFrame(places, f"check int, {head}, row_count bigint").coalesce(1)
+        records = _report_records(df, [checks[k] for k in wanted]).join(F.broadcast(places), "check")
+        records = records.withColumnRenamed("shown", "value").withColumn("metric", F.lit(None).cast("double"))
+        out = out.unionByName(records.select(*columns))
+
+    repeats = [("duplicate_rows", None, count_duplicate_rows(df))]
+    if c.id_column:
+        repeats.append(("duplicate_ids", c.id_column, count_duplicate_ids(df, c.id_column)))
+    for item, col, frame in repeats:
+        line = [F.lit(1), F.lit("duplicates"), F.lit(item), F.lit(col).cast("string"), F.lit(None).cast("string"), F.col(item)]
+        line.append(F.lit(None).cast("double"))
+        out = out.unionByName(frame.select(*[x.alias(name) for x, name in zip(line, columns)]))
     return out.orderBy("step", "section", "item", F.asc_nulls_first("column_name"), F.desc_nulls_last("row_count"), "value")
