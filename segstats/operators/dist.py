@@ -19,12 +19,14 @@ broadcast join whose right side has one row per expected population.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from segstats.functions.exprs import field_type, in_values, is_numeric_type, label_text, nan_as_null, ordinal_in
-from segstats.operators.quantiles import bracket_columns, exact_quantiles
+from segstats.operators.materialize import materialize
+from segstats.operators.quantiles import bracket_columns, exact_quantiles, quantiles_and_cells
 from segstats.operators.roles import bad_label, refuse_roles, require_columns
 
 DEFAULT_POPULATIONS = ("No", "Yes")
@@ -199,14 +201,35 @@ def _check_width(width: float) -> float:
     return float(width)
 
 
-def _bars(low: float | None, high: float | None, width: float) -> tuple[float, int]:
-    """First edge (a multiple of ``width``) and number of bars for an observed range."""
+#: Bins are numbered by whole doubles below this, so that an edge is one product.
+_MOST = 2**53
+
+
+def _bin(value: float, width: float) -> int:
+    """The number k of the bin whose edges ``k * width`` and ``(k + 1) * width`` enclose a value."""
+    k = math.floor(value / width)
+    return k - 1 if value < k * width else k + 1 if value >= (k + 1) * width else k
+
+
+def _bin_column(value: Column, width: float) -> Column:
+    """``_bin`` as a column: exact against the edges, whatever the rounding of the division."""
+    w = F.lit(width)
+    most = F.lit(float(_MOST))  # values beyond it, infinities too, are refused once the range is known
+    k = F.floor(F.greatest(F.least(value / w, most), -most))
+    return F.when(value < k * w, k - 1).when(value >= (k + 1) * w, k + 1).otherwise(k)
+
+
+def _bars(low: float | None, high: float | None, width: float) -> tuple[int, int]:
+    """Number of the first bin and how many bars there are for an observed range."""
     if low is None:
-        return 0.0, 1
+        return 0, 1
     if not (math.isfinite(low) and math.isfinite(high)):
         raise ValueError(f"no histogram over an infinite range: {low} to {high}")
-    first = math.floor(low / width) * width
-    return first, max(math.ceil((high - first) / width), 1)
+    if max(abs(low), abs(high)) / width >= _MOST:
+        raise ValueError(f"width {width} is too small for values from {low} to {high}")
+    first, last = _bin(low, width), _bin(high, width)
+    # The last bar is closed: a maximum on an edge belongs to the bar below it.
+    return first, max(last - first + (high > last * width), 1)
 
 
 def _numbers(df: DataFrame, count: int, name: str) -> DataFrame:
@@ -223,8 +246,8 @@ def shared_bin_edges(
 ) -> DataFrame:
     """Histogram edges shared by all populations, one row per edge.
 
-    Edges start at ``floor(min / width) * width`` and step by ``width`` until
-    one reaches the maximum; at least one bar; ``[0, width]`` when there is no
+    Edges are the multiples of ``width`` from ``floor(min / width) * width``
+    until one reaches the maximum; at least one bar; ``[0, width]`` when there is no
     observation. Columns: ``edge_index, edge``. The observed range is read at
     call time (one row); the edges are a partitioned range, however many.
     """
@@ -233,7 +256,7 @@ def shared_bin_edges(
     ends = obs.agg(F.min("_m").alias("low"), F.max("_m").alias("high")).first()
     first, bars = _bars(ends["low"], ends["high"], w)
     return _numbers(df, bars + 1, "edge_index").select(
-        "edge_index", (F.lit(first) + F.col("edge_index") * F.lit(w)).alias("edge")
+        "edge_index", ((F.col("edge_index") + F.lit(first)) * F.lit(w)).alias("edge")
     )
 
 
@@ -254,30 +277,32 @@ def histogram_by_label(
     ``churn_status, bin_index, bin_low, bin_high, observation_count,
     population_count``.
 
-    Plan: one scan for each population's count and range (a bounded collect),
-    one that counts the observations per population and bin (partial per
-    task), unioned with a partitioned range of empty bins.
+    Plan: the edges are multiples of ``width``, so the bins are numbered without
+    the range: one scan counts every population's observations per bin (partial
+    per task) with the ends of each. The range, the population counts and the
+    empty bins (a partitioned range) follow from these counts, which are
+    written to the checkpoint folder.
     """
     w = _check_width(width)
-    obs = _observations(df, measure, label, populations, status)
+    m = F.col("_m")
+    binned = materialize(
+        _observations(df, measure, label, populations, status)
+        .groupBy(status, _bin_column(m, w).alias("_bin"))
+        .agg(F.count(F.lit(1)).alias("_n"), F.min(m).alias("_low"), F.max(m).alias("_high"))
+    )
     per = {
         r[status]: r
-        for r in obs.groupBy(status)
-        .agg(F.count(F.lit(1)).alias("n"), F.min("_m").alias("low"), F.max("_m").alias("high"))
+        for r in binned.groupBy(status)
+        .agg(F.sum("_n").alias("n"), F.min("_low").alias("low"), F.max("_high").alias("high"))
         .collect()
     }
     low = min((r["low"] for r in per.values()), default=None)
     first, bars = _bars(low, max((r["high"] for r in per.values()), default=None), w)
-    m = F.col("_m")
-    start = F.lit(first)
-    b = F.floor((m - start) / F.lit(w))
-    # Exact against the edges start + i * width, whatever the rounding of the division.
-    b = F.when(m < start + b * F.lit(w), b - 1).when(m >= start + (b + 1) * F.lit(w), b + 1).otherwise(b)
-    binned = obs.select(status, F.greatest(F.least(b, F.lit(bars - 1)), F.lit(0)).cast("long").alias("bin_index"), F.lit(1).alias("_n"))
+    placed = binned.select(status, F.least(F.col("_bin") - F.lit(first), F.lit(bars - 1)).cast("long").alias("bin_index"), "_n")
     spine = _numbers(df, bars, "bin_index").select(
         F.explode(F.array(*[F.lit(p) for p in populations])).alias(status), "bin_index", F.lit(0).alias("_n")
     )
-    counts = binned.unionByName(spine).groupBy(status, "bin_index").agg(
+    counts = placed.unionByName(spine).groupBy(status, "bin_index").agg(
         F.sum("_n").cast("bigint").alias("observation_count")
     )
     size = F.lit(0)
@@ -286,8 +311,8 @@ def histogram_by_label(
     return counts.select(
         status,
         "bin_index",
-        (start + F.col("bin_index") * F.lit(w)).alias("bin_low"),
-        (start + (F.col("bin_index") + 1) * F.lit(w)).alias("bin_high"),
+        ((F.col("bin_index") + F.lit(first)) * F.lit(w)).alias("bin_low"),
+        ((F.col("bin_index") + F.lit(first + 1)) * F.lit(w)).alias("bin_high"),
         "observation_count",
         size.cast("bigint").alias("population_count"),
         ordinal_in(F.col(status), populations).alias("_ordinal"),
@@ -297,33 +322,66 @@ def histogram_by_label(
 # D6 / D7 ---------------------------------------------------------------------
 
 
-def _fences(obs: DataFrame, populations, status, whis, method, accuracy) -> DataFrame:
-    """Per population (one row each): n, quartiles and the whisker fences.
+def _fence_values(q1: float, q3: float, whis: float) -> tuple[float, float]:
+    reach = whis * (q3 - q1)
+    return q1 - reach, q3 + reach
+
+
+def _fence_ranges(brackets: Sequence[tuple[float, float]], whis: float) -> list[tuple[float, float]]:
+    """Where the two fences must lie when the quartiles lie in their brackets.
+
+    Rounded sums and products keep order, so the ends follow from the ends of
+    the brackets by the fences' own formula; interpolation may leave a bracket
+    by its rounding. Without finite ends a fence may lie anywhere.
+    """
+    (a, b), _, (c, d) = brackets
+    slack = 4 * sys.float_info.epsilon * max(map(abs, (a, b, c, d)))
+    a, b, c, d = a - slack, b + slack, c - slack, d + slack
+    ends = [(_fence_values(a, d, whis)[0], _fence_values(b, c, whis)[0])]
+    ends.append((_fence_values(b, c, whis)[1], _fence_values(a, d, whis)[1]))
+    if whis < 0 or not all(math.isfinite(x) for pair in ends for x in pair):
+        return [(-math.inf, math.inf)] * 2
+    return ends
+
+
+def _fences(obs: DataFrame, populations, status, whis, method, accuracy, counted=False) -> tuple[DataFrame, DataFrame | None]:
+    """Per population (one row each): n, quartiles and the whisker fences; with ``counted`` also the observations' cells.
 
     One scan of the observations counts them and brackets (or approximates)
     the quartiles, a second one counts the values in the brackets; the fence
-    rows are a small DataFrame with one row per population.
+    rows are a small DataFrame with one row per population. ``counted`` adds
+    cells (population, ``_low``, ``_high``, ``_n``) from the same second scan,
+    none of which has a fence inside.
     """
     _check_method(method)
-    m = F.col("_m")
+    m, whis = F.col("_m"), float(whis)
     got = [
         r.asDict()
         for r in obs.groupBy(F.col(status).alias("_g"))
         .agg(F.count(F.lit(1)).alias("size"), *_quartile_columns(m, method, accuracy))
         .collect()
     ]
-    quart = _quartiles(obs, status, got, method)
+    cells = None
+    if counted and method == "exact":
+        quart, cells = quantiles_and_cells(
+            obs, status, "_m", QUARTILES, lambda brackets: _fence_ranges(brackets, whis), first=got
+        )
+        cells = cells.withColumnRenamed("_g", status)
+    else:
+        quart = _quartiles(obs, status, got, method)
+        if counted:
+            cells = obs.select(status, m.alias("_low"), m.alias("_high"), F.lit(1).alias("_n"))
     size = {r["_g"]: r["size"] for r in got}
     out = []
     for p in populations:
         q1, q2, q3 = quart.get(p, [None] * 3)
-        reach = None if q1 is None else float(whis) * (q3 - q1)
-        fences = (None, None) if q1 is None else (q1 - reach, q3 + reach)
+        fences = (None, None) if q1 is None else _fence_values(q1, q3, whis)
         out.append((p, size.get(p, 0), q1, q2, q3, None if q1 is None else q3 - q1, *fences))
-    return obs.sparkSession.createDataFrame(
+    fences = obs.sparkSession.createDataFrame(
         out,
         f"`{status}` string, n bigint, q1 double, median double, q3 double, iqr double, _lo_fence double, _hi_fence double",
     ).coalesce(1)
+    return fences, cells
 
 
 def box_plot_stats(
@@ -343,17 +401,21 @@ def box_plot_stats(
     the observations beyond the whiskers, which are exactly those beyond the
     fences. Columns: ``churn_status, n, q1, median, q3, iqr, lower_whisker,
     upper_whisker, flier_count``.
+
+    Two scans (while the quartile brackets need no narrowing): the brackets
+    also bound the fences, so the scan that counts the values in the brackets
+    counts those near the fences too, and the rest by the side they lie on.
     """
     obs = _observations(df, measure, label, populations, status)
-    fences = _fences(obs, populations, status, whis, method, accuracy)
-    m = F.col("_m")
+    fences, cells = _fences(obs, populations, status, whis, method, accuracy, counted=True)
+    low, high, n = F.col("_low"), F.col("_high"), F.col("_n")
     inner = (
-        obs.join(F.broadcast(fences.select(status, "_lo_fence", "_hi_fence")), status)
+        cells.join(F.broadcast(fences.select(status, "_lo_fence", "_hi_fence")), status)
         .groupBy(status)
         .agg(
-            F.min(F.when(m >= F.col("_lo_fence"), m)).alias("_lo_in"),
-            F.max(F.when(m <= F.col("_hi_fence"), m)).alias("_hi_in"),
-            F.count_if((m < F.col("_lo_fence")) | (m > F.col("_hi_fence"))).alias("_fliers"),
+            F.min(F.when(low >= F.col("_lo_fence"), low)).alias("_lo_in"),
+            F.max(F.when(high <= F.col("_hi_fence"), high)).alias("_hi_in"),
+            F.sum(F.when((high < F.col("_lo_fence")) | (low > F.col("_hi_fence")), n)).alias("_fliers"),
         )
     )
     return (
@@ -387,7 +449,7 @@ def box_plot_fliers(
 ) -> DataFrame:
     """The individual observations beyond the whiskers, one row each (D7); stays distributed."""
     obs = _observations(df, measure, label, populations, status)
-    fences = _fences(obs, populations, status, whis, method, accuracy)
+    fences, _ = _fences(obs, populations, status, whis, method, accuracy)
     m = F.col("_m")
     return (
         obs.join(F.broadcast(fences.select(status, "_lo_fence", "_hi_fence")), status)

@@ -69,10 +69,26 @@ def test_matches_spark_percentile(spark):
 def test_a_bracket_that_misses_is_widened(spark, monkeypatch):
     """Even brackets that hold none of the wanted ranks end in the right values."""
     df = spark.createDataFrame([("x", float(k)) for k in range(2000)], "g string, v double")
-    first = [{"_g": "x", "n": 2000, "lo": 0.0, "hi": 1999.0, "near": [1500.0, 1501.0]}]
+    first = [{"_g": "x", "n": 2000, "lo": 0.0, "hi": 1999.0, "near": [1500.0, 1501.0] * 4}]
     assert exact_quantiles(df, "g", "v", [0.5], first=first, rows_at_once=5) == {"x": [999.5]}
 
 
 def test_only_nulls(spark):
     df = spark.createDataFrame([("x", None)], "g string, v double")
     assert exact_quantiles(df, "g", "v", [0.5]) == {}
+
+
+def test_many_brackets_are_narrowed_until_all_together_are_few(spark, monkeypatch):
+    collected = []
+    take = quantiles._values_at_ranks
+
+    def counted(cells, targets):
+        collected.append(cells.count())
+        return take(cells, targets)
+
+    monkeypatch.setattr(quantiles, "_values_at_ranks", counted)
+    data = spark.range(0, 60_000, 1, 4).selectExpr("cast(id % 60 as string) AS g", "cast(id * 7919 % 60000 as double) AS v")
+    want = quantiles.exact_quantiles(data, "g", "v", (0.25, 0.5, 0.75))
+    got = quantiles.exact_quantiles(data, "g", "v", (0.25, 0.5, 0.75), rows_at_once=45)
+    assert got == want and len(got) == 60
+    assert collected[1] < collected[0] <= 60 * 3 * 45
