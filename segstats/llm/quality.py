@@ -3,8 +3,9 @@
 Transformed statistics of a document (shares of character classes, repetition,
 lengths) are modelled by one Gaussian per class. Each class covariance is
 shrunk towards the pooled one and its diagonal; scores come from the
-difference of the Mahalanobis log densities, computed with Cholesky factors
-that are made once and sent to the tasks.
+difference of the Mahalanobis log densities. The inverses of the covariances'
+Cholesky factors are made once and sent to the tasks, where a batch of
+documents takes one triangular product per class.
 """
 
 from __future__ import annotations
@@ -78,17 +79,17 @@ def statistics(text: str) -> list[float]:
 
 @dataclass(frozen=True)
 class Discriminant:
-    """Per class: mean, Cholesky factor of the covariance, log prior minus half the log determinant."""
+    """Per class: mean, inverse Cholesky factor of the covariance, log prior minus half the log determinant."""
 
     means: tuple[np.ndarray, np.ndarray]
-    factors: tuple[np.ndarray, np.ndarray]  # lower Cholesky factors of the shrunk covariances
+    whitenings: tuple[np.ndarray, np.ndarray]  # inverses of the shrunk covariances' lower Cholesky factors
     offsets: tuple[float, float]
 
     def log_odds(self, x: np.ndarray) -> np.ndarray:
         """Log odds of class 1 for each row."""
         density = [
-            offset - 0.5 * (np.linalg.solve(factor, (x - mean).T) ** 2).sum(axis=0)
-            for mean, factor, offset in zip(self.means, self.factors, self.offsets)
+            offset - 0.5 * (((x - mean) @ whitening.T) ** 2).sum(axis=1)
+            for mean, whitening, offset in zip(self.means, self.whitenings, self.offsets)
         ]
         return density[1] - density[0]
 
@@ -111,16 +112,16 @@ def fit(
     spread = {c: p / n - np.outer(means[c], means[c]) for c, (n, _, p) in moments.items()}
     pooled = sum(moments[c][0] * spread[c] for c in (0, 1)) / total
     size = len(pooled)
-    factors, offsets = [], []
+    whitenings, offsets = [], []
     for c in (0, 1):
         n = moments[c][0]
         weight = shrink + (1 - shrink) * size / (size + n)  # few rows lean on the pooled covariance
         cov = (1 - weight) * spread[c] + weight * pooled
         cov = (1 - ridge) * cov + ridge * np.diag(np.diag(cov)) + 1e-4 * np.eye(size)
         factor = np.linalg.cholesky((cov + cov.T) / 2)
-        factors.append(factor)
+        whitenings.append(np.tril(np.linalg.inv(factor)))
         offsets.append(float(math.log(n / total) - np.log(np.diag(factor)).sum()))
-    return Discriminant((means[0], means[1]), tuple(factors), tuple(offsets))
+    return Discriminant((means[0], means[1]), tuple(whitenings), tuple(offsets))
 
 
 def features(text: Column) -> Column:
@@ -209,11 +210,13 @@ def keep_accepted(
     Null texts are empty ones; empty and very long texts are scored like any
     other; repeated rows fare alike; an empty table stays empty. When the
     labels hold fewer than two classes there is nothing to tell apart and every
-    document stays.
+    document stays. Documents are written once with their statistics, so texts
+    are measured once, for learning and for scoring.
     """
-    model = train(measure(docs, id_col, text_col), labels, learn, id_col)
+    prepare_workers(docs.sparkSession)
+    name = fresh_name("_features", docs.columns)
+    measured = write_table(docs.withColumn(name, features(text_of(text_col))), "quality-measured")
+    model = train(measured.select(id_col, F.col(name).alias("features")), labels, learn, id_col)
     if isinstance(model, float):
         return docs
-    name = fresh_name("_features", docs.columns)
-    measured = docs.withColumn(name, features(text_of(text_col)))
     return measured.filter(score(F.col(name), model) >= accept).drop(name)
