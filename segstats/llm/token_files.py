@@ -132,7 +132,6 @@ def write_token_files(
     if dictionary:
         with store.open_output_stream(f"{root}/{DICTIONARY}") as f:
             f.write(dictionary)
-    end = int(end_id).to_bytes(4, "little")
     packed = spark.sparkContext.broadcast(dictionary)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +146,8 @@ def write_token_files(
         squeeze = zstandard.ZstdCompressor(
             level=3, dict_data=zstandard.ZstdCompressionDict(shared) if shared else None
         ).compress
-        ids_of = encoder(tokenizer).ids
+        each = encoder(tokenizer).each
+        end = np.array([end_id], "<u4")
         name = f"ids-{part:05d}"
         own = f"{root}/.{name}-{attempt}"
         entries: list[np.ndarray] = []
@@ -158,8 +158,8 @@ def write_token_files(
                 continue
             data = data or store.open_output_stream(f"{own}.bin")
             known = np.zeros(batch.num_rows, ENTRY)
-            for k, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                ids = np.frombuffer(ids_of(text) + end, "<u4")
+            for k, (doc_id, text_ids) in enumerate(zip(batch.column(0).to_pylist(), each(batch.column(1)))):
+                ids = np.concatenate([text_ids, end])
                 if int(ids.max()) >= 1 << 8 * width:
                     raise ValueError(f"an id of {int(ids.max())} does not fit into {width} bytes")
                 frame = squeeze(ids.astype(f"<u{width}").tobytes())

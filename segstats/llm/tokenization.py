@@ -12,8 +12,11 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Fixed value: the split pattern of the word BPE file, whose pieces never hold white space.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -25,6 +28,9 @@ _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-Þß-öø-ÿ]+)([.,!?;:*%$#&|]*)")
 #: and the characters from which a chunk is not remembered (scripts without spaces make a chunk of every sentence).
 CACHE_BYTES, ENTRY_BYTES, LONGEST_CHUNK = 160 << 20, 200, 64
 
+#: Bytes of text whose chunks are told apart together; a longer text goes alone.
+SLICE_BYTES = 4 << 20
+
 _ENCODERS: dict[tuple, object] = {}
 
 
@@ -36,7 +42,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordEncoder:
-    """``ids(text)``: little-endian uint32 ids as bytes; ``count(text)``: how many."""
+    """``ids(text)``: little-endian uint32 ids as bytes; ``count(text)``: how many; ``each(texts)``: the ids one by one."""
 
     def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -85,23 +91,30 @@ class WordEncoder:
 
     def encode_words(self, words: set[str]) -> dict[str, bytes]:
         """The ids of each chunk: its own merges for plain Latin words, the library's whole path for the rest."""
-        plain = {w: m for w in words if (m := _PLAIN.fullmatch(w))}
+        plain = {w: (m[1].lower(), m[2]) for w in words if (m := _PLAIN.fullmatch(w))}
         rest = [w for w in words if w not in plain]
-        rest += {m[2] for m in plain.values() if m[2]}
+        rest += {mark for _, mark in plain.values() if mark}
         out = {}
         if rest:
             for w, e in zip(rest, self._tokenizer.encode_batch(rest, add_special_tokens=False)):
                 out[w] = np.array(e.ids, "<u4").tobytes()
-        tokenize = self._model.tokenize
-        for w, m in plain.items():
-            body = m[1].lower()
-            got = self._ids.get(body)
-            if got is None:
-                spelt = body if body.isascii() else body.translate(self._spell)
-                got = np.array([t.id for t in tokenize(spelt)], "<u4").tobytes()
-            out[w] = got + out[m[2]] if m[2] else got
+        known = self._merged({body for body, _ in plain.values() if body not in self._ids})
+        for w, (body, mark) in plain.items():
+            got = known[body] if body in known else self._ids[body]
+            out[w] = got + out[mark] if mark else got
         return out
 
+    def _merged(self, bodies: set[str]) -> dict[str, bytes]:
+        """The ids of each lower-case run of Latin letters, by its merges."""
+        tokenize = self._model.tokenize
+        ids, ends = [], []
+        for body in bodies:
+            spelt = body if body.isascii() else body.translate(self._spell)
+            ids += [t.id for t in tokenize(spelt)]
+            ends.append(4 * len(ids))
+        data = np.array(ids, "<u4").tobytes()
+        return {b: data[lo:hi] for b, lo, hi in zip(bodies, [0, *ends], ends)}
+
     def ids(self, text: str) -> bytes:
         words = self.chunks(text)
         parts = list(map(self._ids.get, words))
@@ -111,6 +124,42 @@ class WordEncoder:
             self._keep(new)
         return b"".join(parts)
 
+    def each(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of every text in turn (null: none), as uint32.
+
+        Arrow cuts ``SLICE_BYTES`` of texts into chunks and tells these apart, so
+        a chunk is looked up once a slice, and its ids are set in for its repeats.
+        """
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy())
+        lo = 0
+        while lo < len(texts):
+            most = SLICE_BYTES + (ends[lo - 1] if lo else 0)
+            hi = max(lo + 1, int(np.searchsorted(ends, most, "right")))
+            chunks = pc.ascii_split_whitespace(texts.slice(lo, hi - lo))
+            told = chunks.flatten().dictionary_encode()
+            parts = self._known(told.dictionary.to_numpy(zero_copy_only=False).tolist())
+            bounds = np.zeros(len(parts) + 1, "i8")
+            np.cumsum(np.fromiter(map(len, parts), "i8", len(parts)) // 4, out=bounds[1:])
+            every = pa.LargeListArray.from_arrays(bounds, np.frombuffer(b"".join(parts), "<u4")).take(told.indices)
+            places = every.offsets.to_numpy()[chunks.offsets.to_numpy() - chunks.offsets[0].as_py()]
+            ids = every.values.to_numpy()
+            for a, b in zip(places[:-1].tolist(), places[1:].tolist()):
+                yield ids[a:b]
+            lo = hi
+
+    def _known(self, words: list[str]) -> list[bytes]:
+        """The ids of each of some different chunks."""
+        parts = list(map(self._ids.get, words))
+        if None in parts:
+            new = self.encode_words({w for w, p in zip(words, parts) if p is None})
+            parts = [new[w] if p is None else p for w, p in zip(words, parts)]
+            held = self.held
+            self._keep(new)
+            if self.held < held:  # begun anew: the chunks at hand are mostly the frequent ones
+                self._keep({w: p for w, p in zip(words, parts) if w not in self._ids})
+        return parts
+
     def _keep(self, new: dict[str, bytes]) -> None:
         """Remember the ids of chunks that aren't long; begin anew where there is no more room."""
         for w, ids in new.items():
@@ -124,7 +173,14 @@ class WordEncoder:
         return len(self.ids(text)) // 4
 
 
-class LibraryEncoder:
+class _OneByOne:
+    """Encoders that are asked for one whole text at a time."""
+
+    def each(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        return (np.frombuffer(self.ids(t or ""), "<u4") for t in texts.to_pylist())
+
+
+class LibraryEncoder(_OneByOne):
     """Whole texts through the ``tokenizers`` library."""
 
     def __init__(self, path: str):
@@ -142,7 +198,7 @@ class LibraryEncoder:
         return len(self._tokenizer.encode(text, add_special_tokens=False).ids)
 
 
-class PieceEncoder:
+class PieceEncoder(_OneByOne):
     """Whole texts through ``sentencepiece``, without begin or end ids."""
 
     def __init__(self, path: str):

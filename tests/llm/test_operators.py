@@ -740,3 +740,26 @@ def test_query_matches_sql(spark, name):
     assert rows == set(want.fetchall())
     kinds = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR"}
     assert {f.name: kinds[f.dataType.simpleString()] for f in got.schema} == dict(zip(want.columns, map(str, want.types)))
+
+
+def test_chunks_of_many_texts_are_looked_up_once(monkeypatch):
+    import pyarrow as pa
+
+    from segstats.llm import tokenization
+
+    texts = [None, "", " ", *[t for t in ODD_TEXTS if t], "a\x0bb\x0cc d\xa0e <|endoftext|> <|ENDOFTEXT|>, J̌"]
+    texts += [f"Word {k % 50}, word and some\nmore of it {k}." for k in range(400)]
+    for slice_bytes, cache_bytes in ((4 << 20, 160 << 20), (300, 20_000)):  # one slice; many, beginning anew
+        monkeypatch.setattr(tokenization, "SLICE_BYTES", slice_bytes)
+        model = tokenization.WordEncoder(brute.VOCABULARY, cache_bytes)
+        asked, known = [], model._known
+        monkeypatch.setattr(model, "_known", lambda words: (asked.extend(words), known(words))[1])
+        got = [ids.tolist() for ids in model.each(pa.array(texts).slice(1))]
+        assert got == [brute.ids(t).tolist()[:-1] for t in texts[1:]]
+        if slice_bytes > 300:
+            assert len(asked) == len(set(asked)) < 1000 < sum(len((t or "").split()) for t in texts)
+    assert list(model.each(pa.array([], pa.string()))) == []
+    for path in (brute.public_tokenizers.path("byte_bpe_50k.json"), brute.public_tokenizers.path("piece_bpe_32k.model")):
+        other = encoder(path)
+        got = [ids.tobytes() for ids in other.each(pa.array(["Hello  world, it's", None, "日本語 a"]))]
+        assert got == [other.ids(t) for t in ("Hello  world, it's", "", "日本語 a")]
